@@ -957,7 +957,11 @@ def q_fill_missing_init(spark, sf_dir):
     return rounded(_Masked(spark, sf_dir).filled)
 
 
-RECONSTRUCT = "w.m + (coalesce(x.x_0, 0.0) - s_0) * g.c_0 * 1e-4 + (coalesce(x.x_1, 0.0) - s_1) * g.c_1 * 1e-4"
+# A factor with many digits keeps values off the ties of rounding.
+SCALE = 0.000123456789
+RECONSTRUCT = (
+    f"w.m + (coalesce(x.x_0, 0.0) - s_0) * g.c_0 * {SCALE}::DOUBLE + (coalesce(x.x_1, 0.0) - s_1) * g.c_1 * {SCALE}::DOUBLE"
+)
 
 
 def reconstruct_sql(coords: str, value: str) -> str:
@@ -966,7 +970,7 @@ LEFT JOIN x USING (row_id), xm"""
 
 
 def _small_factor(parts):
-    return products.factor_times_small(parts.factor, np.eye(2) * 1e-4)
+    return products.factor_times_small(parts.factor, np.eye(2) * SCALE)
 
 
 @register("impute_missing", sql.query("b", ",\n".join([FILLED, sql.scores("both_cells"), sql.shift("b")]), reconstruct_sql("mask", R(RECONSTRUCT, 5))))
