@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import cut_lineage
+from .session import cut_lineage, fits_broadcast
 
 CELL_SCHEMA = T.StructType(
     [
@@ -72,7 +72,8 @@ def dense_ids(df: DataFrame, column: str, out: str = "dense_id") -> DataFrame:
 
     The distinct values are range-partitioned and sorted; each partition then numbers its own
     values, starting after the counts of the partitions before it. The sorted values are
-    checkpointed first, so both uses see the same partitions.
+    checkpointed first, so both uses see the same partitions. A table that its count shows to be small is
+    marked for broadcast, so that joining it back does not shuffle ``df``.
     """
     ordered = (
         df.select(column)
@@ -91,9 +92,13 @@ def dense_ids(df: DataFrame, column: str, out: str = "dense_id") -> DataFrame:
         .agg(F.count("*").alias("_n"))
         .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     )
-    return ordered.join(F.broadcast(starts), "_part").select(
+    ids = ordered.join(F.broadcast(starts), "_part").select(
         column, (F.col("_start") + F.col("_pos")).alias(out)
     )
+    size = ordered.agg(F.count("*"), F.max(F.length(F.col(column).cast("string")))).first()
+    # Names may be long; four bytes a letter, on top of the number.
+    fits = fits_broadcast(df.sparkSession, size[0], 2 + (size[1] or 0) // 2)
+    return F.broadcast(ids) if fits else ids
 
 
 def pack(cells: DataFrame, chunk_cols: int = 65536) -> DataFrame:

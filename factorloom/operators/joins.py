@@ -1,7 +1,8 @@
 """Look-ups from cells into per-column and per-row tables.
 
-A per-column table is sent to all executors only if its row count proves that it is small; otherwise the
-join shuffles, and adaptive execution splits the partitions of hot keys.
+A per-column table is sent to all executors only if its row count proves that it is small. Otherwise both sides are
+shuffled, and a key that holds very many cells is salted: its cells take ``spread`` salts by their other
+coordinate, and its one row of the table is copied once for each.
 """
 
 from __future__ import annotations
@@ -9,16 +10,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import fits_broadcast
+from ..session import cut_lineage, fits_broadcast
 
+# A key with more cells than this is split.
+HOT_CELLS = 1_000_000
 
-def with_columns_of(cells: DataFrame, side: DataFrame, n_cols: int, how: str = "inner") -> DataFrame:
+
+def hot_keys(cells: DataFrame, key: str, over: int) -> DataFrame | None:
+    """``(key, spread)`` of the keys with more than ``over`` cells; None where there is none.
+
+    There are at most ``cells / over`` of them. Their number is checked, and the bound raised until the table is
+    small enough for every executor.
+    """
+    counts = cells.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > over)
+    counts = cut_lineage(counts)
+    found = counts.count()
+    while not fits_broadcast(cells.sparkSession, found, 2) and found > 1:
+        over *= 4
+        counts = counts.filter(F.col("_n") > over)
+        found = counts.count()
+    if not found:
+        return None
+    return counts.select(key, F.ceil(F.col("_n") / F.lit(over)).alias("spread"))
+
+
+def salted_join(
+    cells: DataFrame, side: DataFrame, key: str, other: str, how: str, over: int | None = None
+) -> DataFrame:
+    """``cells`` joined with ``side`` (one row per ``key``) without a task per hot key."""
+    hot = hot_keys(cells, key, over or HOT_CELLS)
+    if hot is None:
+        return cells.join(side, key, how)
+    salts = F.broadcast(hot)
+    salted = cells.join(salts, key, "left").withColumn(
+        "_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("spread")), F.lit(0))
+    )
+    copies = side.join(salts, key, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("spread", F.lit(1)) - 1))
+    )
+    return (
+        salted.drop("spread").join(copies.drop("spread"), [key, "_salt"], how).drop("_salt")
+    )
+
+
+def with_columns_of(
+    cells: DataFrame, side: DataFrame, n_cols: int, how: str = "inner", over: int | None = None
+) -> DataFrame:
     """``cells`` joined with ``side`` (at most ``n_cols`` rows) on ``col_id``."""
     if fits_broadcast(cells.sparkSession, n_cols, len(side.columns) - 1):
-        side = F.broadcast(side)
-    return cells.join(side, "col_id", how)
+        return cells.join(F.broadcast(side), "col_id", how)
+    return salted_join(cells, side, "col_id", "row_id", how, over)
 
 
-def with_rows_of(cells: DataFrame, side: DataFrame, how: str = "inner") -> DataFrame:
-    """``cells`` joined with a per-row table; the planner picks the join from sizes it measured."""
-    return cells.join(side, "row_id", how)
+def with_rows_of(
+    cells: DataFrame, side: DataFrame, how: str = "inner", over: int | None = None
+) -> DataFrame:
+    """``cells`` joined with a per-row table."""
+    return salted_join(cells, side, "row_id", "col_id", how, over)

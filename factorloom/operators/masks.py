@@ -10,7 +10,9 @@ from ..session import cut_lineage, fits_broadcast
 
 # Digits of the digest per counting level: at most 16^4 counts for each stratum.
 _DIGITS = 4
-_LEVELS = 2
+_MAX_LEVELS = 4
+# Cells with the boundary prefix that may be put in order at once.
+_SORT_AT_ONCE = 100_000
 
 
 def mask_cells(
@@ -20,7 +22,7 @@ def mask_cells(
 
     The cells with the smallest digests are taken. Nothing is sorted as a whole: counts per
     digest prefix give the prefix in which the quota is reached, counts inside that prefix narrow it
-    further, and only the few digests left are put in order to find the exact last one. The choice itself is
+    further while it is large, and only the few digests left are put in order to find the exact last one. The choice itself is
     then one filter.
     """
     if not 0 <= percent <= 100:
@@ -41,12 +43,14 @@ def mask_cells(
         "_need > 0"
     )
     cut = _small(_boundary(counts.join(need, "_s")), strata)
-    for level in range(1, _LEVELS):
-        inside = _inside(keyed, cut, level).groupBy(
-            "_s", F.substring("_h", 1, _DIGITS * (level + 1)).alias("_p")
+    level = 1
+    while level < _MAX_LEVELS and (cut.agg(F.max("_n")).first()[0] or 0) > _SORT_AT_ONCE:
+        level += 1
+        inside = _inside(keyed, cut, level - 1).groupBy(
+            "_s", F.substring("_h", 1, _DIGITS * level).alias("_p")
         ).agg(F.count("*").alias("_n"))
         cut = _small(_boundary(inside.join(cut.select("_s", "_need"), "_s")), strata)
-    ranked = _inside(keyed, cut, _LEVELS).withColumn(
+    ranked = _inside(keyed, cut, level).withColumn(
         "_rank", F.row_number().over(Window.partitionBy("_s").orderBy("_h"))
     )
     limits = (
@@ -77,7 +81,7 @@ def _boundary(counts: DataFrame) -> DataFrame:
     return (
         counts.withColumn("_upto", F.sum("_n").over(order))
         .filter("_upto - _n < _need AND _need <= _upto")
-        .selectExpr("_s", "_p", "_need - (_upto - _n) AS _need")
+        .selectExpr("_s", "_p", "_n", "_need - (_upto - _n) AS _need")
     )
 
 

@@ -92,10 +92,15 @@ def cross_ytx(
     k = width_of(scores, "x")
     xs, ys = names("x", k), names("y", k)
     centered = _center(scores, shift)
-    sums = centered.agg(F.count("*").alias("_n"), *[F.sum(x).alias(x) for x in xs]).first()
-    rest = [
-        (sums[x] or 0.0) - (n_rows - sums["_n"]) * float(shift[j]) for j, x in enumerate(xs)
-    ]
+    # Rows without scores have x = 0. The subquery and the join read one exchange of the scores.
+    rest = centered.selectExpr(
+        "array("
+        + ", ".join(
+            f"coalesce(sum({x}), 0D) - ({int(n_rows)} - count(*)) * {number(shift[j])}"
+            for j, x in enumerate(xs)
+        )
+        + ") AS r"
+    )
     stored = (
         with_rows_of(cells, centered)
         .groupBy("col_id")
@@ -105,12 +110,10 @@ def cross_ytx(
     return (
         spine.join(stored, "col_id", "left")
         .join(mean, "col_id", "left")
+        .withColumn("_r", rest.scalar())
         .selectExpr(
             "col_id",
-            *[
-                f"coalesce({y}, 0D) - coalesce(m, 0D) * {number(rest[j])} AS {y}"
-                for j, y in enumerate(ys)
-            ],
+            *[f"coalesce({y}, 0D) - coalesce(m, 0D) * _r[{j}] AS {y}" for j, y in enumerate(ys)],
         )
     )
 

@@ -317,15 +317,13 @@ class Gaps:
         )
         first = self.columns.selectExpr("col_id", "m_first")
         guess = F.pmod(word(digest(options.seed, "row_id", "col_id"), 0), F.lit(5)).cast("double")
-        filled = self._join_columns(layout.place(missing), first).withColumn(
-            "value", F.when(F.col("m_first") != 0, F.col("m_first")).otherwise(guess)
-        )
-        self._store(filled)
+        with layout.planning():
+            filled = layout.with_factor(layout.place(missing), first).withColumn(
+                "value", F.when(F.col("m_first") != 0, F.col("m_first")).otherwise(guess)
+            )
+            self._store(filled)
         self.profile = Profile(shape, self.table.select("col_id", "n", "avg", "m2", "m"))
 
-    def _join_columns(self, cells: DataFrame, side: DataFrame) -> DataFrame:
-        return self.layout.with_factor(cells, side)
-
     def _store(self, cells: DataFrame) -> None:
         """Keep the new values, and the column table with the means they give."""
         layout = self.layout
@@ -368,10 +366,11 @@ class Gaps:
         new = multiply(
             done.table, ["col_id", "m"], names("y", k), done.small.weights, names("c", k)
         )
-        located = self._join_columns(self.cells, new).join(done.scores, layout.keys)
         terms = " + ".join(f"x_{j} * c_{j}" for j in range(k))
         value = rounded(F.expr(f"m + {terms}"), self.options.rounding)
-        self._store(located.select(*layout.keys, "col_id", value.alias("value")))
+        with layout.planning():
+            located = layout.with_factor(self.cells, new).join(done.scores, layout.keys)
+            self._store(located.select(*layout.keys, "col_id", value.alias("value")))
         layout.end_round()
         state = done.state().drop("m").join(self.table.select("col_id", "m"), "col_id")
         shift = mean_product(state, k) @ done.small.weights

@@ -24,12 +24,12 @@ from pyspark.sql import functions as F
 
 from ..cells import Shape
 from ..functions.exprs import names, sums_of_products, with_numbers
-from ..session import broadcast_limit, cut_lineage, fits_broadcast
+from ..operators.joins import HOT_CELLS, hot_keys
+from ..session import broadcast_limit, fits_broadcast, settings
 
 CELL_BYTES = 32
 PARTITION_BYTES = 256 * 1024 * 1024
 MAX_PARTITIONS = 50_000
-HOT_ROW_CELLS = 1_000_000
 TILES_PER_PARTITION = 8
 
 
@@ -73,21 +73,13 @@ class RowLayout:
         The bound grows with the matrix so that the scores of all hot rows stay below the
         broadcast limit.
         """
-        over = hot_over or max(
-            HOT_ROW_CELLS, -(-nnz * 16 * (width + 2) // broadcast_limit(self.spark))
-        )
+        over = hot_over or max(HOT_CELLS, -(-nnz * 16 * (width + 2) // broadcast_limit(self.spark)))
         if nnz <= over:
             return None
         ids = cells.select("row_id")
         if extra is not None:
             ids = ids.union(extra.select("row_id"))
-        hot = cut_lineage(
-            ids.groupBy("row_id")
-            .agg(F.count("*").alias("_n"))
-            .filter(F.col("_n") > over)
-            .select("row_id", F.ceil(F.col("_n") / F.lit(over)).alias("spread"))
-        )
-        return None if hot.isEmpty() else hot
+        return hot_keys(ids, "row_id", over)
 
     def place(self, cells: DataFrame) -> DataFrame:
         """Partition a cell table the way the layout is partitioned."""
@@ -152,6 +144,18 @@ class RowLayout:
         sums = sums_of_products("value", names("x", width), names("y", width))
         return cells.join(scores, self.keys).groupBy("col_id").agg(*map(F.expr, sums))
 
+    def planning(self):
+        """Settings for plans over this layout.
+
+        Partial sums from all its partitions meet in as many partitions (adaptive execution merges
+        small ones). Tables placed by tile count as placed for joins on the tile and another key.
+        """
+        present = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = {"spark__sql__shuffle__partitions": str(max(present, self.partitions))}
+        if self.tiled:
+            wanted["spark__sql__requireAllClusterKeysForCoPartition"] = "false"
+        return settings(self.spark, **wanted)
+
     def _keep(self, df: DataFrame) -> DataFrame:
         df = df.persist(StorageLevel.MEMORY_AND_DISK)
         self._held.append(df)

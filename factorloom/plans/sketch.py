@@ -95,9 +95,10 @@ def one_pass(
         factor = state.select("col_id", *fs)
     else:
         factor = multiply(state, ["col_id"], names("f", inner), weights, fs)
-    scores = layout.scores(cells, factor, width, shift, hold)
-    crossed = layout.cross(cells, scores, width)
-    result = cut_lineage(state.join(crossed, "col_id", "left").na.fill(0.0, ys))
+    with layout.planning():
+        scores = layout.scores(cells, factor, width, shift, hold)
+        crossed = layout.cross(cells, scores, width)
+        result = cut_lineage(state.join(crossed, "col_id", "left").na.fill(0.0, ys))
     if not hold:
         layout.end_round()
     return result, scores

@@ -5,7 +5,10 @@ from pyspark.sql import functions as F
 
 from factorloom import PPCA
 from factorloom.operators.masks import mask_cells
+from factorloom.operators.starts import random_factor
+from factorloom.plans.layout import RowLayout
 from factorloom.plans.sketch import profile_columns
+from factorloom.session import cut_lineage
 
 
 def centred(dense):
@@ -225,3 +228,48 @@ def test_projection_and_imputation_of_a_model(spark):
 def test_arguments_are_checked(wrong):
     with pytest.raises(ValueError):
         PPCA(2, **wrong)
+
+
+def exchanges(df):
+    """Keys of the shuffles that joins and groupings ask for, in the final plan above the layout's cells."""
+    keys, skipped = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        node = line.lstrip(" :+-")
+        depth = len(line) - len(node)
+        if skipped is not None and depth >= skipped:
+            continue
+        inner = node.startswith("== Initial Plan") or ("InMemoryRelation" in node and "value#" in node)
+        skipped = depth if inner else None
+        if node.startswith("Exchange hashpartitioning") and "ENSURE_REQUIREMENTS" in node:
+            keys.append([k.split("#")[0] for k in node[node.index("(") + 1 : node.index(")")].split(", ")[:-1]])
+    return keys
+
+
+@pytest.mark.parametrize(
+    "limit, hot_over, allowed",
+    [
+        (None, None, {"col_id"}),  # per-column sums
+        (None, 4, {"col_id", "row_id"}),  # and the few partial scores of hot rows
+        ("1", None, {"col_id"}),  # and factor rows joined with the columns that tiles use
+    ],
+    ids=["plain", "hot rows", "routed"],
+)
+def test_a_pass_does_not_shuffle_cells(spark, limit, hot_over, allowed):
+    dense = low_rank(n=40, d=12, density=0.4)
+    dense[7] = np.arange(1, 13)
+    cells = to_cells(spark, dense)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    if limit:
+        spark.conf.set("spark.factorloom.broadcastBytes", limit)
+    try:
+        profile = profile_columns(cells)
+        with RowLayout(cells, profile.shape, 2, hot_over=hot_over, partitions=3) as layout:
+            factor = cut_lineage(random_factor(profile.table, 2, prefix="f"))
+            with layout.planning():
+                crossed = layout.cross(layout.cells, layout.scores(layout.cells, factor, 2, [0.1, 0.2]), 2)
+                assert len(crossed.collect()) == 12
+            found = exchanges(crossed)
+            assert found and {"+".join(key) for key in found} <= allowed
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.unset("spark.factorloom.broadcastBytes")
