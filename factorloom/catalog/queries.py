@@ -613,14 +613,14 @@ yx AS MATERIALIZED (SELECT w.col_id, coalesce(p.y_0, 0.0) - w.m * r_0 AS y_0, co
 
 @register(
     "cross_ytx",
-    sql.query("b", FIXED_B + ",\n" + cross_sql("b"), f"SELECT col_id, {R('y_0', 3)} AS y_0, {R('y_1', 3)} AS y_1 FROM yx"),
+    sql.query("b", FIXED_B + ",\n" + cross_sql("b"), f"SELECT col_id, {R('y_0 / 1234.56789::DOUBLE', 5)} AS y_0, {R('y_1 / 1234.56789::DOUBLE', 5)} AS y_1 FROM yx"),
 )
 def q_cross_ytx(spark, sf_dir):
     parts = _Parts(spark, sf_dir)
     crossed = products.cross_ytx(
         parts.cells, parts.scores, parts.shift(), parts.mean, parts.shape.n_rows, parts.shape.n_cols
     )
-    return rounded(crossed, 3)
+    return rounded(crossed.selectExpr("col_id", *[f"{y} / 1234.56789D AS {y}" for y in ("y_0", "y_1")]), 5)
 
 
 @register(
@@ -628,7 +628,7 @@ def q_cross_ytx(spark, sf_dir):
     sql.query(
         "b",
         ",\n".join([FILLED, sql.scores("both_cells"), sql.shift("b"), cross_sql("both_cells")]),
-        f"SELECT col_id, {R('y_0', 3)} AS y_0, {R('y_1', 3)} AS y_1 FROM yx",
+        f"SELECT col_id, {R('y_0 / 1234.56789::DOUBLE', 5)} AS y_0, {R('y_1 / 1234.56789::DOUBLE', 5)} AS y_1 FROM yx",
     ),
 )
 def q_cross_ytx_missing(spark, sf_dir):
@@ -636,7 +636,7 @@ def q_cross_ytx_missing(spark, sf_dir):
     crossed = products.cross_ytx_missing(
         parts.observed, parts.filled, parts.scores, parts.shift(), parts.mean, parts.shape.n_rows, parts.shape.n_cols
     )
-    return rounded(crossed, 3)
+    return rounded(crossed.selectExpr("col_id", *[f"{y} / 1234.56789D AS {y}" for y in ("y_0", "y_1")]), 5)
 
 
 @register(
@@ -1061,4 +1061,19 @@ def q_sample_rows(spark, sf_dir):
     return missing.sample_rows(fx.customer_parts(spark, sf_dir), 0.75, 9)
 
 
+@register(
+    "center_rows",
+    sql.query(
+        "b",
+        sql.mean("b") + ",\nkept AS (SELECT c_custkey AS row_id FROM customer WHERE "
+        "(CAST(CAST('0x' || substr(md5('9:' || c_custkey), 1, 8) AS BIGINT) AS DOUBLE) + 0.5) / 4294967296.0 > 0.98)",
+        f"SELECT k.row_id, w.col_id, {R('coalesce(v.value, 0.0) - w.m')} AS value FROM kept k CROSS JOIN b_mean w LEFT JOIN b v USING (row_id, col_id)",
+    ),
+)
+def q_center_rows(spark, sf_dir):
+    parts = _Parts(spark, sf_dir)
+    sample = missing.sample_rows(fx.customers(spark, parts.shape), 0.98, 9)
+    return rounded(missing.center_rows(parts.cells, sample, parts.mean, parts.shape.n_cols))
+
+
 __all__ = ["ORACLES", "QUERIES"]

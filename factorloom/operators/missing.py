@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import names, number
-from ..functions.hashing import digest, word
+from ..functions.exprs import number
+from ..functions.hashing import digest, uniform, word
 from .joins import with_columns_of, with_rows_of
 from .products import width_of
 
@@ -71,10 +71,23 @@ def center_cells(cells: DataFrame, mean: DataFrame, n_cols: int) -> DataFrame:
     )
 
 
+def center_rows(cells: DataFrame, rows: DataFrame, mean: DataFrame, n_cols: int) -> DataFrame:
+    """``y - m`` at all columns of the given ``rows(row_id)``; meant for a sample of rows.
+
+    The result has ``n_cols`` cells a row, made row by row from the column numbers.
+    """
+    spread = rows.select(
+        "row_id", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("col_id")
+    )
+    data = cells.join(rows, "row_id", "left_semi").select("row_id", "col_id", F.col("value").alias("_v"))
+    full = with_columns_of(spread, mean, n_cols).join(data, ["row_id", "col_id"], "left")
+    return full.select(
+        "row_id", "col_id", (F.coalesce("_v", F.lit(0.0)) - F.col("m")).alias("value")
+    )
+
+
 def sample_rows(cells: DataFrame, rate: float, seed: int | str) -> DataFrame:
     """Keep whole rows, each with probability ``1 - rate``."""
-    from ..functions.hashing import uniform
-
     return cells.filter(uniform(digest(seed, "row_id")) > F.lit(float(rate)))
 
 
@@ -98,9 +111,9 @@ def recon_residual(
 
 __all__ = [
     "center_cells",
+    "center_rows",
     "fill_missing_init",
     "impute_missing",
-    "names",
     "recon_residual",
     "reconstruct_cells",
     "rounded",

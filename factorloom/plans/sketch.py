@@ -7,6 +7,7 @@ One pass over the cells gives ``P = Ycᵀ(Yc·F)`` for a D×s table ``F``. Every
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +23,7 @@ from ..operators.products import orient, width_of
 from ..operators.starts import random_factor
 from ..operators.stats import column_profile
 from ..session import cut_lineage
+from ..sinks.tables import RunStats
 from .layout import RowLayout
 
 
@@ -154,23 +156,32 @@ def start_state(
 
 @dataclass
 class Iterated:
-    """Result of an iteration: the value, its history and the rounds done."""
+    """Result of an iteration: the value, its history and seconds by round, and whether it settled."""
 
     value: float
     history: list[float]
     converged: bool
+    round_sec: list[float]
+
+    def run_stats(self, app: str, shape: Shape, k: int, dataset: str = "") -> RunStats:
+        return RunStats(
+            app, dataset, shape.n_rows, shape.n_cols, k, round_sec=self.round_sec, errors=self.history
+        )
 
 
 def _iterate(rounds: int, precision: int, step) -> Iterated:
     """Repeat ``step`` until its value, rounded to ``precision`` decimals, comes twice."""
     history: list[float] = []
+    seconds: list[float] = []
     for _ in range(rounds):
+        began = time.monotonic()
         value = round(step(), precision)
+        seconds.append(time.monotonic() - began)
         repeated = bool(history) and history[-1] == value
         history.append(value)
         if repeated:
-            return Iterated(value, history, True)
-    return Iterated(history[-1], history, False)
+            return Iterated(value, history, True, seconds)
+    return Iterated(history[-1], history, False, seconds)
 
 
 def kth_singular_value(

@@ -152,3 +152,38 @@ def test_runs_are_appended(spark, tmp_path):
 
 def test_the_shared_folder_is_the_named_one(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_projection_as_text(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    out_tables.write_projection(spark.range(2).selectExpr("id AS row_id", "id + 0.5D AS x_0"), path, text=True)
+    assert sorted(r.value for r in spark.read.text(path).collect()) == ["0,0.5", "1,1.5"]
+
+
+def test_start_values():
+    from factorloom.operators.starts import uniform_scalar
+    from factorloom.plans.sketch import cap_components
+
+    assert 0 < uniform_scalar(1) < 1 and uniform_scalar(1) == uniform_scalar(1) != uniform_scalar(2)
+    assert (cap_components(5, 5), cap_components(2, 5), cap_components(1, 1)) == (4, 2, 1)
+    with pytest.raises(ValueError):
+        cap_components(0, 5)
+
+
+def test_a_named_folder_is_required_on_a_cluster():
+    class Context:
+        master = "spark://host"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        shared_dir(Session())

@@ -3,6 +3,7 @@ import pytest
 from matrices import factor_frame, low_rank, to_cells
 
 from factorloom import kth_singular_value, recon_error, residual_spectral_norm
+from factorloom.cells import Shape
 from factorloom.functions.small import whitener
 
 
@@ -20,6 +21,8 @@ def test_kth_singular_value(spark, k):
 def test_stops_when_the_value_repeats(spark):
     dense = low_rank(noise=0.01, density=1.0)
     found = kth_singular_value(to_cells(spark, dense), 1, subsample=3, q=20, precision=3)
+    run = found.run_stats("sigma", Shape(60, 9, 0), 1)
+    assert run.n_rounds == len(run.errors) == len(found.history)
     assert found.converged and found.history[-1] == found.history[-2] and len(found.history) < 20
 
 
