@@ -223,6 +223,8 @@ class PPCA:
             if n_rows is None or n_cols is None:
                 found = profile_columns(cells, n_rows, n_cols).shape
                 n_rows, n_cols = found.n_rows, found.n_cols
+            # Read by every pass over the observed cells, so it is worked out once.
+            mask = cut_lineage(mask.select("row_id", "col_id").distinct())
             cells, missing = apply_mask(cells, mask, n_rows, n_cols)
             missing = cut_lineage(missing) if self.handle_missing else None
         if n_cols is not None:
@@ -349,14 +351,16 @@ class Gaps:
         columns = [*self.layout.keys, "col_id", "value"]
         return self.layout.cells.select(*columns).unionByName(self.cells.select(*columns))
 
-    def norm2(self) -> float:
-        """``‖Yc‖²`` with the present values and means."""
+    def _squares(self) -> str:
+        """SQL text: what a row of ``table`` adds to ``‖Yc‖²`` with the present values and means."""
         n_rows = self.layout.shape.n_rows
-        both = (
-            f"m2 + n * (avg - m) * (avg - m) + g_m2 + g_n * (g_avg - m) * (g_avg - m)"
+        return (
+            "m2 + n * (avg - m) * (avg - m) + g_m2 + g_n * (g_avg - m) * (g_avg - m)"
             f" + ({int(n_rows)}D - n - g_n) * m * m"
         )
-        return float(self.table.selectExpr(f"coalesce(sum({both}), 0D)").first()[0])
+
+    def norm2(self) -> float:
+        return float(self.table.selectExpr(f"coalesce(sum({self._squares()}), 0D)").first()[0])
 
     def round(self, state: DataFrame, small: Small) -> tuple[Round, DataFrame, Small]:
         """An EM round on all cells, then new values for the missing ones and new means."""
@@ -372,10 +376,17 @@ class Gaps:
             located = layout.with_factor(self.cells, new).join(done.scores, layout.keys)
             self._store(located.select(*layout.keys, "col_id", value.alias("value")))
         layout.end_round()
-        state = done.state().drop("m").join(self.table.select("col_id", "m"), "col_id")
-        shift = mean_product(state, k) @ done.small.weights
-        after = replace(done.small, shift=shift, norm2=self.norm2())
-        return done, state, after
+        state = (
+            done.state().drop("m").join(self.table.selectExpr("col_id", "m", f"{self._squares()} AS sq"), "col_id")
+        )
+        fs = names("f", k)
+        sums = state.selectExpr(
+            "coalesce(sum(sq), 0D)", *[f"coalesce(sum(m * {f}), 0D)" for f in fs]
+        ).first()
+        after = replace(
+            done.small, shift=np.array(sums[1:]) @ done.small.weights, norm2=float(sums[0])
+        )
+        return done, state.select("col_id", "m", *fs), after
 
 
 @dataclass
