@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing
+from . import packing, quality, toxicity
+from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,6 +30,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def verdicts(scores: DataFrame, kept_out, least: float) -> DataFrame:
+    """doc_id, held_out, score and predicted of a classifier's scores."""
+    predicted = F.when(F.col("score") >= least, 1).otherwise(0).cast("int")
+    return scores.select("doc_id", kept_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@register("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 3, 1)
+    return verdicts(quality.classify(documents(spark, sf_dir), labels(spark, sf_dir), "quality", ~out), out, 0.5)
+
+
+@register("op10_toxicity")
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = held_out("doc_id", 4, 2)
+    return verdicts(toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir), "toxic", ~out), out, 0.3)
+
+
 @register("op6_packing")
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
