@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, simhash, toxicity
+from . import huffman, packing, quality, simhash, toxicity
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +46,12 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(quality.classify(documents(spark, sf_dir), labels(spark, sf_dir), "quality", ~out), out, 0.5)
 
 
+@register("op2_huffman")
+def op2_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return huffman.round_trip(documents(spark, sf_dir), path, end_id=2)
+
+
 @register("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
