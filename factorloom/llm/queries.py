@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import huffman, packing, quality, simhash, toxicity
+from . import huffman, packing, quality, repeats, simhash, toxicity
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@register("op8_repeats")
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(documents(spark, sf_dir))
+
+
 @register("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out("doc_id", 4, 2)
