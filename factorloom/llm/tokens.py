@@ -8,13 +8,18 @@ of bounded size that lives as long as the Python worker. A text where a space fo
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
+import regex
 
 ID = np.dtype("<u4")
 KEPT_PARTS = 500_000
 LONGEST_PART = 48
+#: The pattern of the byte-level pieces.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+#: The character that stands for each byte: visible ones for themselves, the others from 256 on.
+BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 _ENCODERS: dict[tuple, PartEncoder] = {}
 
 
@@ -25,42 +30,84 @@ def encoder(path: str, kept: int = KEPT_PARTS) -> PartEncoder:
     return _ENCODERS[path, kept]
 
 
+class _Table(dict):
+    """What is kept, and behind it what the present group of texts has besides."""
+
+    extra: dict
+
+    def __missing__(self, key):
+        return self.extra[key]
+
+
 class PartEncoder:
-    """``encode`` gives what ``encode_batch(texts, add_special_tokens=False)`` gives, as little-endian uint32 bytes."""
+    """``encode`` gives what ``encode_batch(texts, add_special_tokens=False)`` gives, as little-endian uint32 bytes.
+
+    A new part is cut into the pieces of the byte-level pattern, and each new piece goes once through the library's BPE
+    model, many pieces in a call. A part with an added token, and a text that can't be cut, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, kept: int = KEPT_PARTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.model_only = Tokenizer.from_file(path)
+        for t in (self.tokenizer, self.model_only):
+            t.no_truncation()
+            t.no_padding()
+        self.model_only.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces = regex.compile(PIECES)
         self.kept = kept
-        self.after_space: dict[str, bytes | None] = {}
+        self.after_space = _Table()
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), ID, int(sizes.sum())).tobytes()
-        ends = np.cumsum(sizes) * ID.itemsize
-        return [flat[a:b] for a, b in zip((ends - sizes * ID.itemsize).tolist(), ends.tolist(), strict=True)]
+        """Through the whole tokenizer."""
+        return [np.array(x.ids, ID).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of each piece of the byte-level pattern."""
+        out: dict[str, bytes] = {}
+        for k in range(0, len(pieces), 1000):
+            some = pieces[k : k + 1000]
+            mapped = "\0".join(some).encode().decode("latin-1").translate(BYTE_CHARS).split(BYTE_CHARS[0])
+            found = self.model_only.encode_batch([mapped], add_special_tokens=False, is_pretokenized=True)[0]
+            ids, of = np.array(found.ids, ID).tobytes(), np.array(found.word_ids, np.int64)
+            ends = (np.searchsorted(of, np.arange(len(some)), side="right") * ID.itemsize).tolist()
+            start = 0
+            for piece, end in zip(some, ends, strict=True):
+                out[piece] = ids[start:end]
+                start = end
+        return out
 
-    def table(self, parts: set[str]) -> dict[str, bytes | None]:
+    def of_parts(self, parts: list[str]) -> dict[str, bytes | None]:
         """Ids of each part behind a space; none for a part after which a space wouldn't start a piece."""
+        found: dict[str, bytes | None] = {}
+        letters, others, odd = [], [], []
+        for x in parts:
+            if x.isalpha():
+                letters.append(x)
+            elif not x or x[-1].isspace():
+                found[x] = None
+            elif "\0" in x or any(t in x for t in self.added):
+                odd.append(x)
+            else:
+                others.append(x)
+        found.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
+        cut = [self.pieces.findall(" " + x) for x in others]
+        table = self.of_pieces(list({p for c in cut for p in c} | {" " + x for x in letters}))
+        found.update((x, table[" " + x]) for x in letters)
+        found.update((x, b"".join([table[p] for p in c])) for x, c in zip(others, cut, strict=True))
+        return found
+
+    def learn(self, parts: set[str]) -> _Table:
         known = self.after_space
-        new = [x for x in parts if x not in known]
-        if not new:
-            return known
-        good = [x for x in new if x and not x[-1].isspace()]
-        found = dict.fromkeys(new)
-        found.update(zip(good, self.whole([" " + x for x in good]), strict=True))
-        if len(known) + len(found) <= self.kept:
+        known.extra = found = self.of_parts(list(parts - known.keys()))
+        if len(known) < self.kept:
             known.update((k, v) for k, v in found.items() if len(k) <= LONGEST_PART)
-            if len(known) >= len(parts) and all(k in known for k in new):
-                return known
-        return {x: known[x] if x in known else found[x] for x in parts}
+        return known
 
-    def encode(self, texts: list[str], group_chars: int = 8_000_000) -> list[bytes]:
+    def encode(self, texts: list[str], group_chars: int = 16_000_000) -> list[bytes]:
         out: list[bytes] = []
         group: list[str] = []
         size = 0
@@ -74,15 +121,19 @@ class PartEncoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
-        table = self.table({p for parts in split for p in parts[1:]})
-        firsts = self.whole([parts[0] for parts in split])
+        parts: set[str] = set()
+        for own in split:
+            parts.update(own)
+        table = self.learn(parts)
+        firsts = self.whole([own[0] for own in split])
         out: list[bytes | None] = []
         odd = []
-        for k, (first, parts) in enumerate(zip(firsts, split, strict=True)):
+        for k, (first, own) in enumerate(zip(firsts, split, strict=True)):
             try:
-                if len(parts) > 1 and parts[0][-1:].isspace():
+                if len(own) > 1 and own[0][-1:].isspace():
                     raise TypeError
-                out.append(first + b"".join([table[p] for p in parts[1:]]))
+                del own[0]
+                out.append(first + b"".join([table[p] for p in own]))
             except TypeError:  # a part without ids of its own
                 out.append(None)
                 odd.append(k)
