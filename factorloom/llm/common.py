@@ -24,6 +24,13 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(batches: Batches, rows: int = 1000) -> Batches:
+    """Batches of at most ``rows`` rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def crc_mod(doc_id: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod

@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches
+from .common import Batches, slices
 from .tokens import ID, encoder
 
 WINDOW = 2048
@@ -118,7 +118,7 @@ def pack_documents(
             done.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-        for batch in batches:
+        for batch in slices(batches):
             held = [batch.column(c).to_pylist() for c in keep]
             texts = [x or "" for x in batch.column("_text").to_pylist()]
             for kept, ids in zip(zip(*held, strict=True), encode(texts), strict=True):

@@ -13,7 +13,7 @@ import numpy as np
 import regex
 
 ID = np.dtype("<u4")
-KEPT_PARTS = 500_000
+KEPT_PARTS = 900_000
 LONGEST_PART = 48
 #: The pattern of the byte-level pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -30,15 +30,6 @@ def encoder(path: str, kept: int = KEPT_PARTS) -> PartEncoder:
     return _ENCODERS[path, kept]
 
 
-class _Table(dict):
-    """What is kept, and behind it what the present group of texts has besides."""
-
-    extra: dict
-
-    def __missing__(self, key):
-        return self.extra[key]
-
-
 class PartEncoder:
     """``encode`` gives what ``encode_batch(texts, add_special_tokens=False)`` gives, as little-endian uint32 bytes.
 
@@ -56,58 +47,76 @@ class PartEncoder:
             t.no_truncation()
             t.no_padding()
         self.model_only.pre_tokenizer = pre_tokenizers.Sequence([])
-        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [x.content for x in added.values() if x.content.isascii() and x.content.isprintable()]
+        if len(self.added) < len(added):
+            self.added = []
+        self.all_added = [x.content for x in added.values()]
+        self.between = next(iter(added), -1)
         self.pieces = regex.compile(PIECES)
         self.kept = kept
-        self.after_space = _Table()
+        self.after_space: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Through the whole tokenizer."""
         return [np.array(x.ids, ID).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of each piece of the byte-level pattern."""
+        """Ids of each piece of the byte-level pattern, none of which holds an added token or a zero character."""
         out: dict[str, bytes] = {}
+        size = ID.itemsize
         for k in range(0, len(pieces), 1000):
             some = pieces[k : k + 1000]
-            mapped = "\0".join(some).encode().decode("latin-1").translate(BYTE_CHARS).split(BYTE_CHARS[0])
-            found = self.model_only.encode_batch([mapped], add_special_tokens=False, is_pretokenized=True)[0]
-            ids, of = np.array(found.ids, ID).tobytes(), np.array(found.word_ids, np.int64)
-            ends = (np.searchsorted(of, np.arange(len(some)), side="right") * ID.itemsize).tolist()
-            start = 0
-            for piece, end in zip(some, ends, strict=True):
-                out[piece] = ids[start:end]
-                start = end
+            mapped = "\0".join(some).encode().decode("latin-1").translate(BYTE_CHARS)
+            if self.added:  # stands between the pieces
+                text = mapped.replace(BYTE_CHARS[0], self.added[0])
+                ids = np.array(self.model_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
+                ends = (np.append(np.flatnonzero(ids == self.between), len(ids)) * size).tolist()
+                flat = ids.tobytes()
+                start = 0
+                for piece, end in zip(some, ends, strict=True):
+                    out[piece] = flat[start:end]
+                    start = end + size
+            else:
+                found = self.model_only.encode_batch_fast(mapped.split(BYTE_CHARS[0]), add_special_tokens=False)
+                out.update((p, np.array(x.ids, ID).tobytes()) for p, x in zip(some, found, strict=True))
         return out
 
     def of_parts(self, parts: list[str]) -> dict[str, bytes | None]:
         """Ids of each part behind a space; none for a part after which a space wouldn't start a piece."""
         found: dict[str, bytes | None] = {}
-        letters, others, odd = [], [], []
+        letters, ended, others, odd = [], [], [], []
         for x in parts:
             if x.isalpha():
                 letters.append(x)
+            elif x[:-1].isalpha() and x[-1] in ",.;:!?|":
+                ended.append(x)
             elif not x or x[-1].isspace():
                 found[x] = None
-            elif "\0" in x or any(t in x for t in self.added):
+            elif "\0" in x or any(t in x for t in self.all_added):
                 odd.append(x)
             else:
                 others.append(x)
         found.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
         cut = [self.pieces.findall(" " + x) for x in others]
-        table = self.of_pieces(list({p for c in cut for p in c} | {" " + x for x in letters}))
-        found.update((x, table[" " + x]) for x in letters)
-        found.update((x, b"".join([table[p] for p in c])) for x, c in zip(others, cut, strict=True))
+        pieces = {p for c in cut for p in c}
+        pieces.update([" " + x for x in letters])
+        pieces.update([" " + x[:-1] for x in ended])
+        pieces.update([x[-1] for x in ended])
+        table = self.of_pieces(list(pieces))
+        found.update([(x, table[" " + x]) for x in letters])
+        found.update([(x, table[" " + x[:-1]] + table[x[-1]]) for x in ended])
+        found.update([(x, b"".join([table[p] for p in c])) for x, c in zip(others, cut, strict=True)])
         return found
 
-    def learn(self, parts: set[str]) -> _Table:
-        known = self.after_space
-        known.extra = found = self.of_parts(list(parts - known.keys()))
-        if len(known) < self.kept:
-            known.update((k, v) for k, v in found.items() if len(k) <= LONGEST_PART)
-        return known
+    def learn(self, parts: set[str]) -> dict[str, bytes | None]:
+        """Ids of parts that aren't kept yet; they are kept from now on while there is room."""
+        found = self.of_parts(list(parts))
+        if len(self.after_space) < self.kept:
+            self.after_space.update([(k, v) for k, v in found.items() if v is not None and len(k) <= LONGEST_PART])
+        return found
 
-    def encode(self, texts: list[str], group_chars: int = 16_000_000) -> list[bytes]:
+    def encode(self, texts: list[str], group_chars: int = 6_000_000) -> list[bytes]:
         out: list[bytes] = []
         group: list[str] = []
         size = 0
@@ -121,22 +130,23 @@ class PartEncoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
-        parts: set[str] = set()
-        for own in split:
-            parts.update(own)
-        table = self.learn(parts)
         firsts = self.whole([own[0] for own in split])
+        get = self.after_space.get
+        known = [list(map(get, own)) for own in split]
+        unknown = [[k for k, ids in enumerate(row) if ids is None] for row in known]
+        found = self.learn({own[k] for own, at in zip(split, unknown, strict=True) for k in at if k})
         out: list[bytes | None] = []
         odd = []
-        for k, (first, own) in enumerate(zip(firsts, split, strict=True)):
-            try:
-                if len(own) > 1 and own[0][-1:].isspace():
-                    raise TypeError
-                del own[0]
-                out.append(first + b"".join([table[p] for p in own]))
-            except TypeError:  # a part without ids of its own
+        for n, (first, own, row, at) in enumerate(zip(firsts, split, known, unknown, strict=True)):
+            row[0] = first
+            for k in at:
+                if k:
+                    row[k] = found[own[k]]
+            if None in row or len(own) > 1 and own[0][-1:].isspace():  # a part without ids of its own
                 out.append(None)
-                odd.append(k)
-        for k, ids in zip(odd, self.whole([texts[k] for k in odd]), strict=True):
-            out[k] = ids
+                odd.append(n)
+            else:
+                out.append(b"".join(row))
+        for n, ids in zip(odd, self.whole([texts[n] for n in odd]), strict=True):
+            out[n] = ids
         return out
