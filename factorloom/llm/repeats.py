@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import fits_broadcast
-from .common import Batches, stored, utf8
+from .common import Batches, slices, stored, utf8
 
 WINDOW = 13
 REACH = 3
@@ -176,9 +176,23 @@ def with_text_hash(docs: DataFrame) -> DataFrame:
     return docs.withColumn("text_hash", F.xxhash64("text"))
 
 
+def exact_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash) of the documents whose whole text, by 128 bits of hash, stands under a smaller doc_id."""
+    whole = with_text_hash(docs.where("doc_id is not null and text is not null")).select("doc_id", "text_hash", F.unhex(F.md5("text")).alias("whole"))
+    whole = stored(whole, "whole-texts")
+    least = whole.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    return whole.join(least, "whole").where("doc_id > least").select("doc_id", "text_hash").distinct()
+
+
 def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, starts): first words of the windows that also start in a document with a smaller doc_id."""
-    narrow = with_text_hash(docs.select("doc_id", "text"))
+    """(doc_id, text_hash, starts): first words of the windows that also start in a document with a smaller doc_id.
+
+    ``starts`` is null for an exact copy of a document with a smaller id, all of whose windows do. Such copies take no part
+    in the comparison: what they hold, the other one holds too.
+    """
+    copies = stored(exact_copies(docs), "exact-copies")
+    few = fits_broadcast(docs.sparkSession, copies.count(), 2)
+    narrow = with_text_hash(docs.select("doc_id", "text")).join(F.broadcast(copies) if few else copies, ["doc_id", "text_hash"], "left_anti")
     counts = narrow.mapInArrow(_count_symbols, "symbol long, docs int").groupBy("symbol").agg(F.sum("docs").alias("docs"))
     shared = stored(counts.where("docs > 1").select("symbol"), "shared-symbols")
     small = fits_broadcast(docs.sparkSession, shared.count(), 1)
@@ -188,7 +202,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     least = each.groupBy("symbol", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
     found = each.join(least.where("least < most"), ["symbol", "window"]).where("doc_id > least")
     starts = found.groupBy("doc_id", "text_hash").agg(F.collect_list((F.col("first") + F.col("k")).cast("int")).alias("starts"))
-    return stored(starts, "repeated-windows")
+    return stored(starts.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))), "repeated-windows")
 
 
 def removed_words(n: int, starts: list[int]) -> np.ndarray:
@@ -224,20 +238,20 @@ def dedup(docs: DataFrame, keep: list[str] | None = None, with_text: bool = Fals
     narrow = with_text_hash(docs).select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, names, strict=True)], F.col("doc_id").alias("d"), "text_hash", F.col("text").alias("t"))
     size = removed.agg(F.count("*"), F.coalesce(F.sum(F.size("starts")), F.lit(0))).head()
     small = fits_broadcast(docs.sparkSession, size[0] + size[1] // 4, 2)
-    removed = removed.withColumnRenamed("doc_id", "d")
-    joined = narrow.join(F.broadcast(removed) if small else removed, ["d", "text_hash"], "left").select(*names, "t", "starts")
+    removed = removed.withColumnRenamed("doc_id", "d").withColumn("found", F.lit(True))
+    joined = narrow.join(F.broadcast(removed) if small else removed, ["d", "text_hash"], "left").select(*names, "t", "found", "starts")
     schema = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in joined.select(*names).schema)
     schema += "n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
-            for text, starts in zip(utf8(batch.column("t")), batch.column("starts").to_pylist(), strict=True):
+            for text, found, starts in zip(utf8(batch.column("t")), batch.column("found").to_pylist(), batch.column("starts").to_pylist(), strict=True):
                 words = text.split() if text else []
                 kept = text
                 n = len(words)
-                if starts:
-                    gone = removed_words(n, starts)
+                if found and n >= WINDOW:
+                    gone = np.ones(n, bool) if starts is None else removed_words(n, starts)
                     words = [w for w, x in zip(words, gone.tolist(), strict=True) if not x]
                     kept = without_words(text, gone) if with_text else None
                 rows.append((n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest(), kept))
