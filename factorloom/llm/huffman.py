@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from .common import Batches, stored
+from .common import Batches, slices, stored
 from .tokens import ID, encoder
 
 LONGEST_CODE = 16
@@ -126,7 +126,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataF
 
     def run(batches: Batches) -> Batches:
         encode = encoder(tokenizer).encode
-        for batch in batches:
+        for batch in slices(batches):
             ids = [np.frombuffer(x + end, ID) for x in encode([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([_narrow(x) for x in ids], pa.binary())], ["part", "doc_id", "ids"])
 
@@ -150,11 +150,9 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Batches) -> Batches:
         total = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column("ids").to_pylist():
-                total += np.bincount(_wide(x), minlength=size) if len(x) > size else 0
-                if len(x) <= size:
-                    np.add.at(total, _wide(x), 1)
+        for batch in slices(batches):
+            ids = [_wide(x) for x in batch.column("ids").to_pylist()]
+            total += np.bincount(np.concatenate(ids), minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
 
@@ -190,7 +188,7 @@ def write_ids(tokens: DataFrame, path: str, vocabulary: int) -> None:
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
 
-        for batch in batches:
+        for batch in slices(batches):
             for p, d, x in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
                 if held and (p != part or n >= BLOCK_IDS):
                     yield close()
@@ -214,7 +212,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         coder = Coder(lengths)
-        for batch in batches:
+        for batch in slices(batches, 20):
             out: list[tuple] = []
             for b in batch.to_pylist():
                 ids = coder.decode(b["bits"], b["steps"], b["n_ids"])
