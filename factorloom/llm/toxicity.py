@@ -219,17 +219,20 @@ def for_terms(doc_id: str):
     return F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(3)) < 2
 
 
-def classify(docs: DataFrame, labels: DataFrame, label: str, learn, keep: list[str] | None = None) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, label: str, learn, keep: list[str] | None = None, most_labelled: int = 40_000) -> DataFrame:
     """Score every row of ``docs`` (doc_id, text): the columns of ``keep`` and ``score``.
 
-    Lexicons come from two thirds of the labelled rows where ``learn`` holds (by a hash of the id). The label model and
+    Lexicons come from two thirds of the labelled rows where ``learn`` holds (by a hash of the id), and from
+    ``most_labelled`` of them at most, those with the least hashes. The label model and
     the classifier take all other rows where ``learn`` holds, so that a term met by chance is found out. Null and empty texts get the score of a text without hits. Repeated rows are each scored and each
     learned from. Without labels of both classes the lexicons are empty and only the fixed voters speak.
     """
     keep = ["doc_id"] if keep is None else keep
     known = labels.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_y")).where("_y in (0, 1)")
-    learned = docs.where(learn)
-    labelled = learned.where(for_terms("doc_id")).join(known, learned["doc_id"] == known["_id"]).select(F.col("text").alias("_t"), "_y")
+    mined = known.withColumnRenamed("_id", "doc_id").where(learn).where(for_terms("doc_id"))
+    mined = mined.orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(most_labelled).withColumnRenamed("doc_id", "_id")
+    # At most ``most_labelled`` ids and labels are broadcast, so that no text is moved.
+    labelled = docs.join(F.broadcast(mined), docs["doc_id"] == mined["_id"]).select(F.col("text").alias("_t"), "_y")
     voters = Voters(mine_lexicon(labelled, "_t", "_y"))
     votes = stored(cast_votes(docs, voters, keep), "toxic-votes")
     own = known.groupBy("_id").agg(F.avg("_y").alias("_y"))
