@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, huffman, packing, quality, repeats, simhash, toxicity
+from . import attention, bpe, huffman, multiindex, packing, quality, repeats, simhash, toxicity
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+@register("op4_bpe")
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 @register("op5_attention")
 def op5_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,6 +73,12 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(documents(spark, sf_dir))
 
 
+@register("op9_multiindex")
+def op9_multiindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return multiindex.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 @register("op10_toxicity")
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = held_out("doc_id", 4, 2)
