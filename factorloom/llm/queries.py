@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, bpe, huffman, multiindex, packing, quality, repeats, simhash, toxicity
+from . import attention, bpe, huffman, multiindex, outliers, packing, quality, repeats, simhash, toxicity
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,11 @@ def op5_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention.score_documents(documents(spark, sf_dir), 7, 2, path, public_tokenizers.PATTERN)
 
 
+@register("op7_outliers")
+def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return outliers.verdicts(documents(spark, sf_dir))
+
+
 @register("op8_repeats")
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(documents(spark, sf_dir))

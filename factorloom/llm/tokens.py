@@ -20,6 +20,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 #: The character that stands for each byte: visible ones for themselves, the others from 256 on.
 BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
+#: Marks that are a piece of their own behind letters.
+ENDS = ",.;:!?|"
 _ENCODERS: dict[tuple, PartEncoder] = {}
 
 
@@ -30,6 +32,17 @@ def encoder(path: str, kept: int = KEPT_PARTS) -> PartEncoder:
     return _ENCODERS[path, kept]
 
 
+def _nones(row: list) -> list[int]:
+    """Where a list holds None."""
+    out, at = [], -1
+    try:
+        while True:
+            at = row.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
+
 class PartEncoder:
     """``encode`` gives what ``encode_batch(texts, add_special_tokens=False)`` gives, as little-endian uint32 bytes.
 
@@ -61,35 +74,31 @@ class PartEncoder:
         """Through the whole tokenizer."""
         return [np.array(x.ids, ID).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def of_pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def of_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece of the byte-level pattern, none of which holds an added token or a zero character."""
-        out: dict[str, bytes] = {}
+        out: list[bytes] = []
         size = ID.itemsize
         for k in range(0, len(pieces), 1000):
-            some = pieces[k : k + 1000]
-            mapped = "\0".join(some).encode().decode("latin-1").translate(BYTE_CHARS)
+            mapped = "\0".join(pieces[k : k + 1000]).encode().decode("latin-1").translate(BYTE_CHARS)
             if self.added:  # stands between the pieces
                 text = mapped.replace(BYTE_CHARS[0], self.added[0])
                 ids = np.array(self.model_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
-                ends = (np.append(np.flatnonzero(ids == self.between), len(ids)) * size).tolist()
+                ends = np.append(np.flatnonzero(ids == self.between), len(ids)) * size
+                starts = np.append(0, ends[:-1] + size).tolist()
                 flat = ids.tobytes()
-                start = 0
-                for piece, end in zip(some, ends, strict=True):
-                    out[piece] = flat[start:end]
-                    start = end + size
+                out += [flat[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
             else:
                 found = self.model_only.encode_batch_fast(mapped.split(BYTE_CHARS[0]), add_special_tokens=False)
-                out.update((p, np.array(x.ids, ID).tobytes()) for p, x in zip(some, found, strict=True))
+                out += [np.array(x.ids, ID).tobytes() for x in found]
         return out
 
-    def of_parts(self, parts: list[str]) -> dict[str, bytes | None]:
+    def of_parts(self, parts: set[str]) -> dict[str, bytes | None]:
         """Ids of each part behind a space; none for a part after which a space wouldn't start a piece."""
-        found: dict[str, bytes | None] = {}
-        letters, ended, others, odd = [], [], [], []
-        for x in parts:
-            if x.isalpha():
-                letters.append(x)
-            elif x[:-1].isalpha() and x[-1] in ",.;:!?|":
+        letters = [x for x in parts if x.isalpha()]
+        found: dict[str, bytes | None] = dict(zip(letters, self.of_pieces([" " + x for x in letters]), strict=True))
+        ended, others, odd = [], [], []
+        for x in parts.difference(letters):
+            if x[:-1].isalpha() and x[-1] in ENDS:
                 ended.append(x)
             elif not x or x[-1].isspace():
                 found[x] = None
@@ -97,21 +106,21 @@ class PartEncoder:
                 odd.append(x)
             else:
                 others.append(x)
+        known = self.after_space
+        new = list({x[:-1] for x in ended if x[:-1] not in found and x[:-1] not in known})
+        found.update(zip(new, self.of_pieces([" " + x for x in new]), strict=True))
+        marks = dict(zip(ENDS, self.of_pieces(list(ENDS)), strict=True))
+        found.update([(x, (found.get(x[:-1]) or known[x[:-1]]) + marks[x[-1]]) for x in ended])
         found.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
         cut = [self.pieces.findall(" " + x) for x in others]
-        pieces = {p for c in cut for p in c}
-        pieces.update([" " + x for x in letters])
-        pieces.update([" " + x[:-1] for x in ended])
-        pieces.update([x[-1] for x in ended])
-        table = self.of_pieces(list(pieces))
-        found.update([(x, table[" " + x]) for x in letters])
-        found.update([(x, table[" " + x[:-1]] + table[x[-1]]) for x in ended])
+        pieces = list({p for c in cut for p in c})
+        table = dict(zip(pieces, self.of_pieces(pieces), strict=True))
         found.update([(x, b"".join([table[p] for p in c])) for x, c in zip(others, cut, strict=True)])
         return found
 
     def learn(self, parts: set[str]) -> dict[str, bytes | None]:
         """Ids of parts that aren't kept yet; they are kept from now on while there is room."""
-        found = self.of_parts(list(parts))
+        found = self.of_parts(parts)
         if len(self.after_space) < self.kept:
             self.after_space.update([(k, v) for k, v in found.items() if v is not None and len(k) <= LONGEST_PART])
         return found
@@ -133,7 +142,7 @@ class PartEncoder:
         firsts = self.whole([own[0] for own in split])
         get = self.after_space.get
         known = [list(map(get, own)) for own in split]
-        unknown = [[k for k, ids in enumerate(row) if ids is None] for row in known]
+        unknown = [_nones(row) for row in known]
         found = self.learn({own[k] for own, at in zip(split, unknown, strict=True) for k in at if k})
         out: list[bytes | None] = []
         odd = []
