@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Batches, stored, utf8
@@ -61,15 +61,27 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", widt
     return out.select(*[F.col(k).alias(c) for c, k in zip(keep, names, strict=True)], "fp")
 
 
-def covering_masks(radius: int) -> list[int]:
-    """2^(radius+1) - 1 masks such that any ``radius`` bits lie outside of one of them.
+def covering_masks(radius: int, bits: list[int] | None = None) -> list[int]:
+    """2^(radius+1) - 1 masks over ``bits`` such that any ``radius`` of them lie outside of one mask.
 
     Bit i carries a vector m(i) of radius + 1 bits, dealt in turn over the vectors other than zero. Mask v keeps bit i
     if the scalar product of m(i) and v is odd. For ``radius`` bits there is always a v at right angles to all of their
     vectors, so two fingerprints that differ in these bits alone agree under mask v.
     """
+    bits = list(range(BITS)) if bits is None else bits
     size = (1 << (radius + 1)) - 1
-    return [sum(1 << i for i in range(BITS) if ((1 + i % size) & v).bit_count() % 2) for v in range(1, size + 1)]
+    return [sum(1 << b for i, b in enumerate(bits) if ((1 + i % size) & v).bit_count() % 2) for v in range(1, size + 1)]
+
+
+def tables(radius: int, parts: int = 1) -> list[tuple[int, int, int]]:
+    """(mask, radius, bits that are looked at) of each table: of ``parts`` shares of the bits, one differs in no more than its share of
+    ``radius``. More parts need fewer tables with shorter keys."""
+    out = []
+    for k in range(parts):
+        own = list(range(k, BITS, parts))
+        share = radius // parts
+        out += [(m, share, sum(1 << b for b in own)) for m in covering_masks(share, own)]
+    return out
 
 
 def _signed(x: int) -> int:
@@ -99,41 +111,54 @@ def _link_small(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 2, small: int = SMALL_BUCKET) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = 2, parts: int = 1, small: int = SMALL_BUCKET) -> DataFrame:
     """Edges (a, b) between distinct fingerprints (column ``fp``) that connect all pairs within ``radius`` bits.
 
     A fingerprint goes to one bucket per mask. Buckets of up to ``small`` are compared inside a task. In a larger bucket
-    only the bits outside the mask can differ; there each fingerprint is keyed by every choice of ``radius`` of these bits,
-    cleared, and is linked to the least one with the same key. That is exact and needs no pairs of a bucket.
+    each fingerprint is keyed by every choice of two bits outside of the mask, cleared, and is linked to the least one
+    with the same key. For a radius of two that is exact, and it needs no pairs of a bucket. For a larger radius the
+    fingerprints of a large bucket are besides compared with their neighbours in ascending order, ``small`` at a time: a
+    dense group is linked by its near members, but two that only a farther link joins, in a large bucket of every table
+    that they share, can be missed.
     """
-    masks = covering_masks(radius)
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
-    keyed = fps.select("fp", F.explode(tables).alias("k")).select("fp", "k.t", "k.key")
+    made = tables(radius, parts)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (m, _, _) in enumerate(made)])
+    keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     sizes = stored(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     few = sizes.where(F.col("n") <= small).select("t", "key")
     lists = keyed.join(few, ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
-    edges = lists.mapInArrow(_link_small(radius), "a long, b long")
+    edges = lists.mapInArrow(_link_small(radius), "a long, b long").distinct()
     many = sizes.where(F.col("n") > small).select("t", "key")
     if not many.isEmpty():
-        choices = []
-        for t, m in enumerate(masks):
-            outside = [i for i in range(BITS) if not m >> i & 1]
-            holes = [_signed(~sum(1 << i for i in c) & (2**64 - 1)) for c in combinations(outside, radius)]
-            choices.append(F.when(F.col("t") == t, F.array(*map(F.lit, holes))))
-        hot = keyed.join(many, ["t", "key"]).select("fp", "t", F.posexplode(F.coalesce(*choices)).alias("c", "hole"))
-        hot = hot.select("fp", "t", "c", F.col("fp").bitwiseAND(F.col("hole")).alias("cleared"))
-        least = hot.groupBy("t", "c", "cleared").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("own"))
-        edges = edges.unionByName(least.where(F.size("own") > 1).select("a", F.explode("own").alias("b")).where("a <> b"))
+        edges = edges.unionByName(_link_large(keyed.join(many, ["t", "key"]), made, radius, small))
     return edges
 
 
-def near_components(rows: DataFrame, radius: int = 2) -> DataFrame:
+def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]], radius: int, small: int) -> DataFrame:
+    """Edges inside of large buckets (fp, t, key)."""
+    choices = []
+    for t, (m, share, looked) in enumerate(made):
+        outside = [i for i in range(BITS) if looked >> i & 1 and not m >> i & 1]
+        holes = [_signed(~sum(1 << i for i in c) & (2**64 - 1)) for c in combinations(outside, min(2, share))]
+        choices.append(F.when(F.col("t") == t, F.array(*map(F.lit, holes))))
+    hot = keyed.select("fp", "t", F.posexplode(F.coalesce(*choices)).alias("c", "hole"))
+    hot = hot.select("fp", "t", "c", F.col("fp").bitwiseAND(F.col("hole")).alias("cleared"))
+    least = hot.groupBy("t", "c", "cleared").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("own"))
+    edges = least.where(F.size("own") > 1).select("a", F.explode("own").alias("b")).where("a <> b").distinct()
+    if radius <= 2:
+        return edges
+    place = F.floor(F.row_number().over(Window.partitionBy("t", "key").orderBy("fp")) / small)
+    lists = keyed.withColumn("place", place).groupBy("t", "key", "place").agg(F.collect_list("fp").alias("fps")).select("fps")
+    return edges.unionByName(lists.mapInArrow(_link_small(radius), "a long, b long").distinct())
+
+
+def near_components(rows: DataFrame, radius: int = 2, parts: int = 1) -> DataFrame:
     """(fp, component_id) of the rows (doc_id, fp): the least doc_id reachable over fingerprints within ``radius`` bits.
 
     Rows are first brought to one per fingerprint, so groups of copies cost as much as one text.
     """
     own = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    linked = stored(components(near_links(own.select("fp"), radius)), "linked")
+    linked = stored(components(near_links(own.select("fp"), radius, parts)), "linked")
     group = linked.join(own, linked["node"] == own["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     of_linked = linked.join(group, "root").select(F.col("node").alias("fp"), "component_id")
     alone = own.join(of_linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
@@ -150,3 +175,21 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     rows = stored(with_fingerprints(docs, ["doc_id"], width=width), "simhash")
     out = rows.join(near_components(rows, radius), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 5, width: int = 5, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-copies: of every component the row with the least doc_id stays.
+
+    Five-word shingles and up to five bits: documents of a similarity of about 0.8 or more. Of rows with the least id of a
+    component one stays. Rows without id stay, as they can't be told apart, and so do texts without words, which are nobody's copy.
+    """
+    keep = docs.columns
+    uid = "_uid"
+    marked = docs.withColumn(uid, F.xxhash64(*keep))
+    worded = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
+    rows = stored(with_fingerprints(marked.where(worded), ["doc_id", uid], text, width), "simhash")
+    groups = near_components(rows, radius)
+    kept = rows.join(groups, "fp").where("doc_id = component_id")
+    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.min(uid).alias("_best"))
+    chosen = marked.where(worded).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col(uid) == F.col("_best")), "left_semi")
+    return chosen.dropDuplicates(["doc_id", uid]).select(*keep).unionByName(docs.where(~worded))
