@@ -200,7 +200,9 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     held = stored(held.join(F.broadcast(shared) if small else shared, "symbol"), "shared-windows")
     each = held.select("symbol", "doc_id", "text_hash", "first", F.posexplode("windows").alias("k", "window"))
     least = each.groupBy("symbol", "window").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    found = each.join(least.where("least < most"), ["symbol", "window"]).where("doc_id > least")
+    # Stored, so that both sides of the join are dealt out anew and adaptive execution can split a common window.
+    least = stored(least.where("least < most").select("symbol", "window", "least"), "common-windows")
+    found = each.join(least, ["symbol", "window"]).where("doc_id > least")
     starts = found.groupBy("doc_id", "text_hash").agg(F.collect_list((F.col("first") + F.col("k")).cast("int")).alias("starts"))
     return stored(starts.unionByName(copies.withColumn("starts", F.lit(None).cast("array<int>"))), "repeated-windows")
 
