@@ -19,17 +19,11 @@ HOT_CELLS = 1_000_000
 def hot_keys(cells: DataFrame, key: str, over: int) -> DataFrame | None:
     """``(key, spread)`` of the keys with more than ``over`` cells; None where there is none.
 
-    There are at most ``cells / over`` of them. Their number is checked, and the bound raised until the table is
-    small enough for every executor.
+    There are at most ``cells / over`` of them.
     """
     counts = cells.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > over)
     counts = cut_lineage(counts)
-    found = counts.count()
-    while not fits_broadcast(cells.sparkSession, found, 2) and found > 1:
-        over *= 4
-        counts = counts.filter(F.col("_n") > over)
-        found = counts.count()
-    if not found:
+    if counts.isEmpty():
         return None
     return counts.select(key, F.ceil(F.col("_n") / F.lit(over)).alias("spread"))
 
@@ -41,7 +35,8 @@ def salted_join(
     hot = hot_keys(cells, key, over or HOT_CELLS)
     if hot is None:
         return cells.join(side, key, how)
-    salts = F.broadcast(hot)
+    # Too many hot keys for every executor: a shuffled join, whose larger side adaptive execution splits.
+    salts = F.broadcast(hot) if fits_broadcast(cells.sparkSession, hot.count(), 2) else hot
     salted = cells.join(salts, key, "left").withColumn(
         "_salt", F.coalesce(F.pmod(F.xxhash64(other), F.col("spread")), F.lit(0))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,16 +18,18 @@ _SORT_AT_ONCE = 100_000
 
 
 def mask_cells(
-    cells: DataFrame, percent: int, seed: int | str, strata: str | None = None
+    cells: DataFrame, percent: float | str, seed: int | str, strata: str | None = None
 ) -> DataFrame:
-    """``(row_id, col_id)`` of ``floor(nnz·percent/100)`` stored cells, in each stratum if given.
+    """``(row_id, col_id)`` of ``floor(nnz·percent/100)`` stored cells, in each stratum if given; a fraction of a
+    percent counts as it is written in decimals.
 
     The cells with the smallest digests are taken. Nothing is sorted as a whole: counts per
     digest prefix give the prefix in which the quota is reached, counts inside that prefix narrow it
     further while it is large, and only the few digests left are put in order to find the exact last one. The choice itself is
     then one filter.
     """
-    if not 0 <= percent <= 100:
+    share = Fraction(str(percent)) / 100
+    if not 0 <= share <= 1:
         raise ValueError("percent must be between 0 and 100")
     keyed = cells.filter(F.col("value") != 0).select(
         (F.col(strata) if strata else F.lit(0)).alias("_s"),
@@ -39,7 +43,10 @@ def mask_cells(
     # The first level serves two uses; it has at most 16^4 rows per stratum.
     counts = cut_lineage(counts)
     totals = counts.groupBy("_s").agg(F.sum("_n").alias("_all"))
-    need = totals.select("_s", F.expr(f"div(_all * {int(percent)}, 100)").alias("_need")).filter(
+    if share.denominator > 10**12:
+        raise ValueError("percent has too many decimals")
+    exact = f"div(cast(_all AS DECIMAL(19, 0)) * {share.numerator}BD, {share.denominator}BD)"
+    need = totals.select("_s", F.expr(f"cast({exact} AS BIGINT)").alias("_need")).filter(
         "_need > 0"
     )
     cut = _small(_boundary(counts.join(need, "_s")), strata)

@@ -113,6 +113,9 @@ def em_step(
     fitted = float(np.trace(weights.T @ p_p))
     spread = float(np.trace(xtx @ new_gram))
     variance = (small.norm2 + spread - 2.0 * fitted) / (float(n_rows) * n_cols)
+    # Rounding may take an exact fit a little below zero; more than that is a wrong input.
+    if variance * float(n_rows) * n_cols < -1e-6 * (small.norm2 + abs(spread)):
+        raise ValueError(f"the variance came out as {variance}: the cells don't fit the sizes or norm given")
     after = Small(weights, new_gram, m_p @ weights, max(float(variance), 0.0), small.norm2)
     return Round(passed, small, after, scores)
 
@@ -132,17 +135,10 @@ def first_small(
     return Small(np.eye(width), full[:width, :width], full[width, :width], variance, norm2)
 
 
-def total_norm(profile: Profile) -> float:
-    """``‖Yc‖²_F`` from the column profile."""
-    return float(
-        profile.table.selectExpr(f"coalesce(sum({centered_sq(profile.shape.n_rows)}), 0D)").first()[0]
-    )
-
-
 class PPCA:
     """Estimator: ``PPCA(k).fit(cells)`` gives a ``PPCAModel``.
 
-    k            number of components; at most D - 1
+    k            number of components; D is lowered to D - 1 with a warning, more is refused
     max_iter     most rounds
     tol          stop when the change of the loadings falls below; None never stops early, a negative
                  value stands for 0.05
@@ -213,8 +209,9 @@ class PPCA:
     ) -> PPCAModel:
         """Fit to ``cells``; ``mask(row_id, col_id)`` lists missing cells.
 
+        A coordinate may be stored once; repeats raise a ValueError (``dedupe_cells`` takes them out).
         ``n_rows`` and ``n_cols`` default to the largest ids plus 1; pass them when trailing rows or
-        columns may be empty. ``start(col_id, c_*)`` replaces the seeded start matrix.
+        columns may be empty. Cells of columns beyond ``n_cols`` are left out, of rows beyond ``n_rows`` refused. ``start(col_id, c_*)`` replaces the seeded start matrix.
         """
         began = time.monotonic()
         stats = RunStats("ppca", dataset)
@@ -231,9 +228,11 @@ class PPCA:
             cells = cells.filter(F.col("col_id") < n_cols)
         profile = profile_columns(cells, n_rows, n_cols)
         shape = profile.shape
+        if n_rows is not None and profile.top_row >= n_rows:
+            raise ValueError(f"row {profile.top_row} lies outside of n_rows = {n_rows}")
         k = cap_components(self.k, shape.n_cols)
-        if start is not None and width_of(start, "c") > k:
-            start = start.select("col_id", *names("c", k))
+        if start is not None and width_of(start, "c") != k:
+            raise ValueError(f"the start has {width_of(start, 'c')} columns for {k} components")
         width = k + self.subsample if self.sketch else k
         n_missing = missing.count() if missing is not None else 0
         layout = RowLayout(
@@ -242,6 +241,7 @@ class PPCA:
         )
         stats.n_rows, stats.n_cols, stats.n_components = shape.n_rows, shape.n_cols, k
         with layout:
+            layout.refuse_repeats()
             if n_missing:
                 gaps = Gaps(layout, profile, missing, self)
                 model = self._rounds(layout, gaps.profile, k, start, stats, began, gaps)
@@ -330,7 +330,7 @@ class Gaps:
         """Keep the new values, and the column table with the means they give."""
         layout = self.layout
         kept = cut_lineage(cells.select(*layout.keys, "col_id", "value"))
-        # Placed again by number, so that a union with the observed cells needs no exchange.
+        # Placed again like the observed cells, so that both go through a pass where they lie.
         self.cells = kept.repartition(layout.partitions, layout.keys[0])
         added = kept.groupBy("col_id").agg(
             F.count("*").alias("g_n"),
@@ -347,9 +347,9 @@ class Gaps:
     def values(self) -> DataFrame:
         return self.cells.select("row_id", "col_id", "value")
 
-    def all_cells(self) -> DataFrame:
-        columns = [*self.layout.keys, "col_id", "value"]
-        return self.layout.cells.select(*columns).unionByName(self.cells.select(*columns))
+    def all_cells(self) -> list[DataFrame]:
+        """Observed and missing cells, each placed by the layout."""
+        return [self.layout.cells, self.cells]
 
     def _squares(self) -> str:
         """SQL text: what a row of ``table`` adds to ``‖Yc‖²`` with the present values and means."""
@@ -429,7 +429,9 @@ class PPCAModel:
         Missing cells take part with their imputed values when ``cells`` contains them:
         ``model.completed(observed)`` adds them.
         """
-        k = self.k if n_components is None else min(n_components, self.k)
+        k = self.k if n_components is None else n_components
+        if not 1 <= k <= self.k:
+            raise ValueError(f"n_components must be between 1 and {self.k}")
         factor = self.factor.select("col_id", *names("c", k))
         shift = self.mean_product[:k] if center else None
         return project_rows(cells, factor, self.shape.n_cols, spine, shift)
@@ -455,4 +457,4 @@ class PPCAModel:
         )
 
 
-__all__ = ["Gaps", "PPCA", "PPCAModel", "Round", "Small", "em_step", "first_small", "total_norm"]
+__all__ = ["Gaps", "PPCA", "PPCAModel", "Round", "Small", "em_step", "first_small"]

@@ -25,17 +25,22 @@ from pyspark.sql import functions as F
 from ..cells import Shape
 from ..functions.exprs import names, sums_of_products, with_numbers
 from ..operators.joins import HOT_CELLS, hot_keys
+
+Cells = DataFrame | Sequence[DataFrame]
 from ..session import broadcast_limit, fits_broadcast, settings
 
 CELL_BYTES = 32
 PARTITION_BYTES = 256 * 1024 * 1024
-MAX_PARTITIONS = 50_000
 TILES_PER_PARTITION = 8
 
 
 def partition_count(df: DataFrame, nnz: int) -> int:
     wanted = -(-nnz * CELL_BYTES // PARTITION_BYTES)
-    return max(df.sparkSession.sparkContext.defaultParallelism, min(wanted, MAX_PARTITIONS))
+    return max(df.sparkSession.sparkContext.defaultParallelism, wanted)
+
+
+def tables(cells: Cells) -> list[DataFrame]:
+    return [cells] if isinstance(cells, DataFrame) else list(cells)
 
 
 class RowLayout:
@@ -102,6 +107,12 @@ class RowLayout:
         sent = self.routes.join(factor, "col_id").repartition(self.partitions, "tile")
         return cells.join(sent, ["tile", "col_id"])
 
+    def refuse_repeats(self) -> None:
+        """Raise where a coordinate is stored twice; cells of a row lie together, so that moves nothing."""
+        twice = self.cells.groupBy(*self.keys, "col_id").agg(F.count("*").alias("n")).filter("n > 1").head()
+        if twice is not None:
+            raise ValueError(f"cell ({twice['row_id']}, {twice['col_id']}) is stored {twice['n']} times")
+
     @property
     def routes(self) -> DataFrame:
         """Which columns each tile uses, missing cells included; found once."""
@@ -114,18 +125,29 @@ class RowLayout:
 
     def scores(
         self,
-        cells: DataFrame,
+        cells: Cells,
         factor: DataFrame,
         width: int,
         shift: Sequence[float],
         hold: bool = False,
     ) -> DataFrame:
-        """``(keys, x_0 …)``: centred scores ``y·f - shift`` of rows with cells, in place."""
+        """``(keys, x_0 …)``: centred scores ``y·f - shift`` of rows with cells, in place.
+
+        ``cells`` may be several tables placed by this layout. Each goes through the pass alone, and the scores of
+        a row are added up where they lie; a union of the tables would lose their placing.
+        """
         xs = names("x", width)
         # Without nulls the generated code is short enough to be compiled for wide factors.
         factor = factor.selectExpr("col_id", *[f"coalesce({f}, 0D) AS {f}" for f in names("f", width)])
         sums = sums_of_products("value", names("f", width), xs)
-        part = self.with_factor(cells, factor).groupBy(*self.keys).agg(*map(F.expr, sums))
+        first, *others = tables(cells)
+        part = self.with_factor(first, factor).groupBy(*self.keys).agg(*map(F.expr, sums))
+        for other in others:
+            more = self.with_factor(other, factor).groupBy(*self.keys).agg(*map(F.expr, sums))
+            more = more.select(*self.keys, *[F.col(x).alias(f"more_{x}") for x in xs])
+            part = part.join(more, self.keys, "full").selectExpr(
+                *self.keys, *[f"coalesce({x}, 0D) + coalesce(more_{x}, 0D) AS {x}" for x in xs]
+            )
         moved = [f"coalesce({x}, 0D) - _s[{j}] AS {x}" for j, x in enumerate(xs)]
         if self.hot is not None:
             part = self._keep(part)
@@ -139,10 +161,17 @@ class RowLayout:
         centered = with_numbers(part, "_s", shift).selectExpr(*self.keys, *moved)
         return self._keep(centered) if hold else centered
 
-    def cross(self, cells: DataFrame, scores: DataFrame, width: int) -> DataFrame:
-        """``(col_id, y_0 …)``: ``Σ v·x`` by column, summed inside each task first."""
-        sums = sums_of_products("value", names("x", width), names("y", width))
-        return cells.join(scores, self.keys).groupBy("col_id").agg(*map(F.expr, sums))
+    def cross(self, cells: Cells, scores: DataFrame, width: int) -> DataFrame:
+        """``(col_id, y_0 …)``: ``Σ v·x`` by column, summed inside each task first, for each table of cells."""
+        ys = names("y", width)
+        sums = sums_of_products("value", names("x", width), ys)
+        found = [c.join(scores, self.keys).groupBy("col_id").agg(*map(F.expr, sums)) for c in tables(cells)]
+        if len(found) == 1:
+            return found[0]
+        total = found[0]
+        for other in found[1:]:
+            total = total.unionByName(other)
+        return total.groupBy("col_id").agg(*[F.sum(y).alias(y) for y in ys])
 
     def planning(self):
         """Settings for plans over this layout.

@@ -8,6 +8,7 @@ One pass over the cells gives ``P = Ycᵀ(Yc·F)`` for a D×s table ``F``. Every
 from __future__ import annotations
 
 import time
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +22,7 @@ from ..functions.rowmath import multiply
 from ..functions.small import eigen_desc, inverse_sqrt, whitener
 from ..operators.products import orient, width_of
 from ..operators.starts import random_factor
-from ..operators.stats import column_profile
+from ..operators.stats import centered_sq, column_profile
 from ..session import cut_lineage
 from ..sinks.tables import RunStats
 from .layout import RowLayout
@@ -33,6 +34,7 @@ class Profile:
 
     shape: Shape
     table: DataFrame
+    top_row: int = -1
 
 
 def profile_columns(
@@ -55,7 +57,7 @@ def profile_columns(
             f"coalesce(total, 0D) / {max(int(n_rows), 1)}D AS m",
         )
     )
-    return Profile(Shape(n_rows, n_cols, top[2] or 0), table)
+    return Profile(Shape(n_rows, n_cols, top[2] or 0), table, top[0] if top[0] is not None else -1)
 
 
 @dataclass
@@ -200,7 +202,8 @@ def kth_singular_value(
 ) -> Iterated:
     """The ``k``-th singular value of the centred matrix, by at most ``q`` passes."""
     profile = profile or profile_columns(cells, n_rows, n_cols)
-    k = cap_components(k, profile.shape.n_cols)
+    if not 1 <= k <= profile.shape.n_cols:
+        raise ValueError(f"k must be between 1 and {profile.shape.n_cols}")
     width = min(k + subsample, profile.shape.n_cols)
     if q < 1:
         raise ValueError("q must be at least 1")
@@ -303,7 +306,11 @@ def recon_error(
     seed: int | str = 0,
     dist: str = "normal",
 ) -> ReconError:
-    """``(‖Yc - Yc·V·Vᵀ‖₂ - σ_{k+1}) / σ_{k+1}``: how far the basis is from the best one of its size."""
+    """``(‖Yc - Yc·V·Vᵀ‖₂ - σ_{k+1}) / σ_{k+1}``: how far the basis is from the best one of its size.
+
+    Where ``σ_{k+1}`` is 0 (the matrix has rank k, or the basis all columns) the error is 0 for a residual of 0 and
+    infinite otherwise. Both count as 0 below 1e-7 of the largest singular value.
+    """
     k = width_of(basis, "c")
     profile = profile_columns(cells, n_rows, n_cols)
     with RowLayout(cells, profile.shape, max(k + 1 + subsample, 1 + subsample)) as layout:
@@ -312,16 +319,31 @@ def recon_error(
             layout=layout, profile=profile,
         )
         if sigma_next is None:
-            sigma_next = kth_singular_value(cells, k + 1, **common).value
+            sigma_next = kth_singular_value(cells, k + 1, **common).value if k < profile.shape.n_cols else 0.0
         residual = residual_spectral_norm(cells, basis, **common)
+        nothing = 1e-7 * total_norm(profile) ** 0.5
+    if sigma_next <= nothing:
+        return ReconError(0.0 if residual.value <= nothing else float("inf"), residual, sigma_next)
     return ReconError((residual.value - sigma_next) / sigma_next, residual, sigma_next)
 
 
+def total_norm(profile: Profile) -> float:
+    """``‖Yc‖²_F`` from the column profile."""
+    return float(
+        profile.table.selectExpr(f"coalesce(sum({centered_sq(profile.shape.n_rows)}), 0D)").first()[0]
+    )
+
+
 def cap_components(k: int, n_cols: int) -> int:
-    """At most ``n_cols - 1`` components."""
+    """``k`` components of a model; all columns are lowered to one less with a warning, more are refused."""
     if k < 1:
         raise ValueError("at least one component is needed")
-    return max(1, min(k, n_cols - 1))
+    if k > max(n_cols, 1):
+        raise ValueError(f"{k} components are more than the {n_cols} columns")
+    if k == n_cols and k > 1:
+        warnings.warn(f"{k} components of {n_cols} columns: {k - 1} are fitted", stacklevel=3)
+        return k - 1
+    return k
 
 
 def warm_start(sketch: Sketch, k: int, n_rows: int) -> tuple[DataFrame, float]:

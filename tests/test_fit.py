@@ -4,8 +4,9 @@ from matrices import SAMPLE, factor_array, factor_frame, low_rank, to_array, to_
 from pyspark.sql import functions as F
 
 from factorloom import PPCA
-from factorloom.operators.masks import mask_cells
+from factorloom.operators.masks import apply_mask, mask_cells
 from factorloom.operators.starts import random_factor
+from factorloom.plans.em import Gaps
 from factorloom.plans.layout import RowLayout
 from factorloom.plans.sketch import profile_columns
 from factorloom.session import cut_lineage
@@ -273,3 +274,69 @@ def test_a_pass_does_not_shuffle_cells(spark, limit, hot_over, allowed):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
         spark.conf.unset("spark.factorloom.broadcastBytes")
+
+
+@pytest.mark.parametrize(
+    "limit, hot_over", [(None, None), ("1", None), (None, 4)], ids=["plain", "routed", "hot rows"]
+)
+def test_a_masked_round_does_not_shuffle_observed_cells(spark, limit, hot_over):
+    """Observed cells are ten times the missing ones; no exchange of a masked pass carries that many rows."""
+    dense = low_rank(n=200, d=12, density=1.0)
+    cells = to_cells(spark, dense)
+    mask = cells.filter("pmod(row_id * 12 + col_id, 11) = 0").select("row_id", "col_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    if limit:
+        spark.conf.set("spark.factorloom.broadcastBytes", limit)
+    try:
+        n = mask.count()
+        observed, missing = apply_mask(cells, mask, 200, 12)
+        profile = profile_columns(observed, 200, 12)
+        with RowLayout(observed, profile.shape, 2, extra=missing, extra_count=n, hot_over=hot_over, partitions=3) as layout:
+            gaps = Gaps(layout, profile, missing, PPCA(2))
+            factor = cut_lineage(random_factor(profile.table, 2, prefix="f"))
+            with layout.planning():
+                for hold in (True, False):
+                    both = gaps.all_cells()
+                    crossed = layout.cross(both, layout.scores(both, factor, 2, [0.1, 0.2], hold), 2)
+                    assert len(crossed.collect()) == 12
+                    assert max(exchanged_rows(crossed)) < dense.size // 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")
+        spark.conf.unset("spark.factorloom.broadcastBytes")
+
+
+def exchanged_rows(df):
+    """Rows written by each exchange of the plan that ran, outside of what was persisted before."""
+    found = []
+
+    def walk(node):
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        if name == "AdaptiveSparkPlanExec":
+            return walk(node.finalPhysicalPlan())
+        if name.endswith("QueryStageExec"):
+            return walk(node.plan())
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k))
+
+    walk(df._jdf.queryExecution().executedPlan())
+    return found
+
+
+def test_wrong_input_is_refused(spark):
+    dense = low_rank()
+    cells = to_cells(spark, dense)
+    with pytest.raises(ValueError, match="n_rows"):
+        PPCA(2).fit(cells, n_rows=20)
+    with pytest.raises(ValueError, match="stored 2 times"):
+        PPCA(2).fit(cells.unionByName(cells.filter("row_id = 3")))
+    with pytest.raises(ValueError, match="start"):
+        PPCA(2).fit(cells, start=factor_frame(spark, np.eye(9)[:, :3]))
+    with pytest.raises(ValueError, match="more than"):
+        PPCA(10).fit(cells)
+    with pytest.warns(UserWarning, match="8 are fitted"):
+        assert PPCA(9, max_iter=1).fit(cells).k == 8
+    with pytest.raises(ValueError, match="n_components"):
+        PPCA(2, max_iter=1).fit(cells).transform(cells, n_components=3)

@@ -58,3 +58,22 @@ def test_whitener_of_a_deficient_matrix():
     t = whitener(z.T @ z)
     q = z @ t
     np.testing.assert_allclose(q.T @ q, np.diag([1, 1, 1, 0]), atol=1e-6)
+
+
+def test_the_last_singular_value(spark):
+    dense = low_rank()
+    found = kth_singular_value(to_cells(spark, dense), 9, subsample=4, q=12, precision=5)
+    assert found.value == pytest.approx(singular(dense)[1][8], abs=2e-3)
+    with pytest.raises(ValueError):
+        kth_singular_value(to_cells(spark, dense), 10)
+
+
+def test_error_of_the_best_basis_next_to_full(spark):
+    dense = low_rank()
+    best = singular(dense)[2].T
+    assert recon_error(to_cells(spark, dense), factor_frame(spark, best[:, :8]), q=12).error == pytest.approx(0, abs=1e-3)
+    full = recon_error(to_cells(spark, dense), factor_frame(spark, best), q=12)
+    assert full.error == 0 and full.sigma == 0
+    flat = np.outer(np.arange(30), [1.0, 2, 0, 1])  # of rank one
+    worse = np.eye(4)[:, :1]
+    assert recon_error(to_cells(spark, flat), factor_frame(spark, worse), q=12).error == float("inf")
