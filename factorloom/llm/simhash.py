@@ -7,7 +7,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, stored, utf8
@@ -117,9 +117,9 @@ def near_links(fps: DataFrame, radius: int = 2, parts: int = 1, small: int = SMA
     A fingerprint goes to one bucket per mask. Buckets of up to ``small`` are compared inside a task. In a larger bucket
     each fingerprint is keyed by every choice of two bits outside of the mask, cleared, and is linked to the least one
     with the same key. For a radius of two that is exact, and it needs no pairs of a bucket. For a larger radius the
-    fingerprints of a large bucket are besides compared with their neighbours in ascending order, ``small`` at a time: a
-    dense group is linked by its near members, but two that only a farther link joins, in a large bucket of every table
-    that they share, can be missed.
+    links of up to two bits are found that way, by their own tables, and the fingerprints of a large bucket are compared with
+    their neighbours in ascending order, ``small`` at a time: a dense group is linked by its near members, but two that
+    only a farther link joins, in a large bucket of every table that they share, can be missed.
     """
     made = tables(radius, parts)
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (m, _, _) in enumerate(made)])
@@ -130,12 +130,13 @@ def near_links(fps: DataFrame, radius: int = 2, parts: int = 1, small: int = SMA
     edges = lists.mapInArrow(_link_small(radius), "a long, b long").distinct()
     many = sizes.where(F.col("n") > small).select("t", "key")
     if not many.isEmpty():
-        edges = edges.unionByName(_link_large(keyed.join(many, ["t", "key"]), made, radius, small))
-    return edges
+        hot = keyed.join(many, ["t", "key"])
+        edges = edges.unionByName(_link_large(hot, made) if radius <= 2 else _link_neighbours(hot, radius, small))
+    return edges if radius <= 2 else edges.unionByName(near_links(fps, 2))
 
 
-def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]], radius: int, small: int) -> DataFrame:
-    """Edges inside of large buckets (fp, t, key)."""
+def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]]) -> DataFrame:
+    """Edges inside of large buckets (fp, t, key), up to two bits."""
     choices = []
     for t, (m, share, looked) in enumerate(made):
         outside = [i for i in range(BITS) if looked >> i & 1 and not m >> i & 1]
@@ -144,12 +145,29 @@ def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]], radius: int,
     hot = keyed.select("fp", "t", F.posexplode(F.coalesce(*choices)).alias("c", "hole"))
     hot = hot.select("fp", "t", "c", F.col("fp").bitwiseAND(F.col("hole")).alias("cleared"))
     least = hot.groupBy("t", "c", "cleared").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("own"))
-    edges = least.where(F.size("own") > 1).select("a", F.explode("own").alias("b")).where("a <> b").distinct()
-    if radius <= 2:
-        return edges
-    place = F.floor(F.row_number().over(Window.partitionBy("t", "key").orderBy("fp")) / small)
-    lists = keyed.withColumn("place", place).groupBy("t", "key", "place").agg(F.collect_list("fp").alias("fps")).select("fps")
-    return edges.unionByName(lists.mapInArrow(_link_small(radius), "a long, b long").distinct())
+    return least.where(F.size("own") > 1).select("a", F.explode("own").alias("b")).where("a <> b").distinct()
+
+
+def _link_neighbours(keyed: DataFrame, radius: int, small: int) -> DataFrame:
+    """Edges inside of large buckets (fp, t, key) between fingerprints that stand near in ascending order.
+
+    The order runs over all partitions, so a bucket of any size is spread over tasks.
+    """
+    link = _link_small(radius)
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            t, key, fp = (batch.column(c).to_numpy() for c in ("t", "key", "fp"))
+            new = np.ones(len(fp), bool)
+            new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
+            first = np.flatnonzero(new)
+            place = np.arange(len(fp)) - np.repeat(first, np.diff(np.append(first, len(fp))))
+            cuts = np.append(np.flatnonzero(place % small == 0), len(fp)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(fp))
+            yield from link(iter([pa.RecordBatch.from_arrays([lists], ["fps"])]))
+
+    ordered = keyed.repartitionByRange("t", "key", "fp").sortWithinPartitions("t", "key", "fp")
+    return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
 def near_components(rows: DataFrame, radius: int = 2, parts: int = 1) -> DataFrame:
