@@ -64,5 +64,11 @@ def fixed_factor(spark: SparkSession, shape: Shape, width: int = 2) -> DataFrame
     return random_factor(col_spine(spark, shape.n_cols), width, dist="fixed")
 
 
+def data_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A factor from the data: cells of each part and the sum of their values, whole numbers."""
+    cells = customer_parts(spark, sf_dir)
+    return cells.groupBy("col_id").agg(F.count("*").cast("double").alias("c_0"), F.sum("value").alias("c_1"))
+
+
 def parts_mask(cells: DataFrame) -> DataFrame:
     return mask_cells(cells, MASK_PERCENT, MASK_SEED)

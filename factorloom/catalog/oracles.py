@@ -51,6 +51,11 @@ def fixed(t: str, name: str = "f") -> str:
     )
 
 
+def data_factor(t: str, name: str = "f") -> str:
+    """Cells of each column and the sum of their values."""
+    return f"{name} AS MATERIALIZED (SELECT col_id, CAST(count(*) AS DOUBLE) AS c_0, sum(value) AS c_1 FROM {t} GROUP BY 1)"
+
+
 def scores(t: str, factor: str = "f", name: str = "x") -> str:
     return f"""{name} AS MATERIALIZED (SELECT v.row_id, sum(v.value * g.c_0) AS x_0, sum(v.value * g.c_1) AS x_1
   FROM {t} v JOIN {factor} g USING (col_id) GROUP BY 1)"""

@@ -140,6 +140,43 @@ def q_parse_ratings(spark, sf_dir):
     return in_text.parse_ratings(rated.unionByName(titles), 0, shape.n_rows // 2)
 
 
+@register(
+    "ratings_rejects",
+    sql.query("b", "", "SELECT col_id, row_id, 'r' || row_id || ',' || value || ',x' AS value FROM b WHERE row_id % 10 = 3"),
+)
+def q_ratings_rejects(spark, sf_dir):
+    cells = fx.customer_parts(spark, sf_dir)
+    row = F.when(F.col("row_id") % 10 == 3, F.concat(F.lit("r"), "row_id")).otherwise(F.col("row_id").cast("string"))
+    lines = cells.select(
+        F.format_string("part-%09d", "col_id").alias("file"),
+        (F.col("row_id") + 1).alias("file_line"),
+        F.concat_ws(",", row, "value", F.lit("x")).alias("value"),
+    )
+    found = in_text.ratings_rejects(lines)
+    return found.select(
+        F.substring("file", 6, 9).cast("int").alias("col_id"), (F.col("file_line") - 1).alias("row_id"), "value"
+    )
+
+
+@register(
+    "probe_rejects",
+    sql.query(
+        "b",
+        "bad AS (SELECT * FROM b WHERE col_id % 5 = 2)",
+        "SELECT row_id || ',x' AS value FROM bad UNION ALL SELECT DISTINCT 'c' || col_id || ':' FROM bad",
+    ),
+)
+def q_probe_rejects(spark, sf_dir):
+    """Headers that can't be read, in the middle and at the first line of a chunk, and the rows under them."""
+    cells = fx.customer_parts(spark, sf_dir)
+    span = 1 << 24
+    head = F.when(F.col("col_id") % 5 == 2, F.concat(F.lit("c"), "col_id", F.lit(":"))).otherwise(F.concat("col_id", F.lit(":")))
+    body = cells.select((F.col("col_id").cast("bigint") * span + F.col("row_id") + 1).alias("at"), F.concat_ws(",", "row_id", F.lit("x")).alias("text"))
+    heads = cells.select("col_id").distinct().select((F.col("col_id").cast("bigint") * span).alias("at"), head.alias("text"))
+    lines = text_lines(body.unionByName(heads), "text", "at")
+    return in_text.probe_rejects(lines, chunk_lines=span * 7).select("value")
+
+
 @register("parse_probe", sql.query("b", "", "SELECT row_id, col_id FROM b"))
 def q_parse_probe(spark, sf_dir):
     cells = fx.customer_parts(spark, sf_dir)
@@ -173,25 +210,26 @@ def q_number_lines(spark, sf_dir):
     "dense_row_ids",
     sql.query(
         "b",
-        "kept AS (SELECT * FROM b WHERE value > 60)",
-        "SELECT dense_rank() OVER (ORDER BY row_id) - 1 AS row_id, col_id, value FROM kept",
+        "",
+        "SELECT dense_rank() OVER (ORDER BY row_id) - 1 AS row_id, col_id, value FROM b",
     ),
 )
 def q_dense_row_ids(spark, sf_dir):
-    return in_text.renumber_rows(fx.customer_parts(spark, sf_dir).filter("value > 60"))
+    # Sparse ids in another order of digits; the rank is that of the customers with orders.
+    return in_text.renumber_rows(fx.customer_parts(spark, sf_dir).withColumn("row_id", F.col("row_id") * 7 + 3))
 
 
 @register(
     "row_spine",
     sql.query(
         "b",
-        "kept AS (SELECT row_id, count(*) AS n_cells FROM b WHERE value > 60 GROUP BY 1)",
+        "kept AS (SELECT row_id, count(*) AS n_cells FROM b GROUP BY 1)",
         "SELECT c_custkey AS row_id, coalesce(n_cells, 0) AS n_cells FROM customer LEFT JOIN kept ON row_id = c_custkey",
     ),
 )
 def q_row_spine(spark, sf_dir):
     shape = fx.customer_parts_shape(spark, sf_dir)
-    kept = fx.customer_parts(spark, sf_dir).filter("value > 60").groupBy("row_id").agg(F.count("*").alias("n_cells"))
+    kept = fx.customer_parts(spark, sf_dir).groupBy("row_id").agg(F.count("*").alias("n_cells"))
     return row_spine(spark, 0, shape.n_rows).join(kept, "row_id", "left").na.fill(0, ["n_cells"])
 
 
@@ -222,12 +260,11 @@ def q_pack_rows(spark, sf_dir):
 
 @register(
     "read_factor",
-    sql.query("b", sql.spine("b") + ",\n" + sql.fixed("b"), "SELECT col_id, c_0, c_1 FROM f"),
+    sql.query("b", sql.data_factor("b"), "SELECT col_id, c_0, c_1 FROM f"),
 )
 def q_read_factor(spark, sf_dir):
-    shape = fx.customer_parts_shape(spark, sf_dir)
     path = fresh_path(spark, "factor")
-    factor = fx.fixed_factor(spark, shape)
+    factor = fx.data_factor(spark, sf_dir)
     factor.repartitionByRange("col_id").sortWithinPartitions("col_id").select(
         F.concat_ws(" ", "c_0", "c_1")
     ).write.text(path)
@@ -252,14 +289,14 @@ def q_write_dense(spark, sf_dir):
     "write_lil",
     sql.query(
         "b",
-        "kept AS (SELECT * FROM b WHERE value > 60)",
+        "",
         "SELECT c_custkey AS row_id, '{' || coalesce(string_agg(col_id || ':' || value, ',' ORDER BY col_id), '') || '}' AS line "
-        "FROM customer LEFT JOIN kept ON row_id = c_custkey GROUP BY 1",
+        "FROM customer LEFT JOIN b ON row_id = c_custkey GROUP BY 1",
     ),
 )
 def q_write_lil(spark, sf_dir):
     shape = fx.customer_parts_shape(spark, sf_dir)
-    return out_text.lil_lines(fx.customer_parts(spark, sf_dir).filter("value > 60"), fx.customers(spark, shape))
+    return out_text.lil_lines(fx.customer_parts(spark, sf_dir), fx.customers(spark, shape))
 
 
 @register(
@@ -399,8 +436,27 @@ quota AS (SELECT part, count(*) * 30 // 100 AS q FROM s GROUP BY 1)""",
     ),
 )
 def q_mask_cells_by_file(spark, sf_dir):
+    path = fresh_path(spark, "coo-files")
     cells = fx.customer_parts(spark, sf_dir).withColumn("part", F.col("row_id") % 7)
-    return masks.mask_cells(cells, 30, 5, strata="part")
+    # One file for each part.
+    lines = cells.select("part", F.concat_ws(" ", "row_id", "col_id", "value").alias("value"))
+    lines.repartition("part").write.partitionBy("part").text(path)
+    n_cols = fx.customer_parts_shape(spark, sf_dir).n_cols
+    read = in_text.parse_coo(in_text.read_lines(spark, path), base=0, n_cols=n_cols, keep_file=True)
+    return masks.mask_cells(read, 30, 5, strata="file")
+
+
+@register(
+    "mask_cells_fraction",
+    sql.query(
+        "b",
+        """ranked AS (SELECT row_id, col_id, row_number() OVER (ORDER BY md5('9:' || row_id || ':' || col_id)) AS r FROM b WHERE value <> 0),
+quota AS (SELECT count(*) * 339 // 1000 AS q FROM b WHERE value <> 0)""",
+        "SELECT row_id, col_id FROM ranked, quota WHERE r <= q",
+    ),
+)
+def q_mask_cells_fraction(spark, sf_dir):
+    return masks.mask_cells(fx.customer_parts(spark, sf_dir), 33.9, 9)
 
 
 @register("apply_mask", sql.query("b", sql.MASK, "SELECT row_id, col_id, value FROM obs"))
@@ -582,11 +638,11 @@ def gram_sql(source: str, digits: int = 4) -> str:
 
 @register(
     "gram_factor",
-    sql.query("b", sql.spine("b") + ",\n" + sql.fixed("b"),
+    sql.query("b", sql.data_factor("b"),
               gram_sql("SELECT sum(c_0 * c_0) AS g00, sum(c_0 * c_1) AS g01, sum(c_1 * c_1) AS g11 FROM f")),
 )
 def q_gram_factor(spark, sf_dir):
-    factor = fx.fixed_factor(spark, fx.customer_parts_shape(spark, sf_dir))
+    factor = fx.data_factor(spark, sf_dir)
     return rounded(products.small_frame(factor, products.gram_factor(factor)), 4)
 
 
@@ -644,14 +700,18 @@ def q_cross_ytx_missing(spark, sf_dir):
     sql.query(
         "b",
         FIXED_B,
-        f"SELECT {R('(sum((x_0 - s_0) * (x_0 - s_0) + (x_1 - s_1) * (x_1 - s_1)) + ((SELECT n FROM b_n) - count(*)) * max(s_0 * s_0 + s_1 * s_1)) / 1e6')} AS xcty FROM x, xm",
+        # X is Y·C of the fixed factor, the other factor is C·S for a small S.
+        f"""SELECT {R('(sum((x_0 - s_0) * p_0 + (x_1 - s_1) * p_1) + ((SELECT n FROM b_n) - count(*)) * max(s_0 * (0.5 * s_0 - 0.25 * s_1) + s_1 * (2 * s_0 + s_1))) / 1e6')} AS xcty
+FROM (SELECT *, 0.5 * (x_0 - s_0) - 0.25 * (x_1 - s_1) AS p_0, 2 * (x_0 - s_0) + (x_1 - s_1) AS p_1 FROM x, xm)""",
     ),
 )
 def q_xcty(spark, sf_dir):
     parts = _Parts(spark, sf_dir)
     shift = parts.shift()
+    small = np.array([[0.5, 2.0], [-0.25, 1.0]])
     total = products.xcty(
-        parts.cells, parts.scores, parts.factor, shift, shift, parts.shape.n_rows, parts.shape.n_cols
+        parts.cells, parts.scores, products.factor_times_small(parts.factor, small), shift,
+        np.array(shift) @ small, parts.shape.n_rows, parts.shape.n_cols,
     )
     return rounded(total.select((F.col("xcty") / 1e6).alias("xcty")))
 
@@ -677,12 +737,11 @@ def q_trace(spark, sf_dir):
 
 @register(
     "factor_times_small",
-    sql.query("b", sql.spine("b") + ",\n" + sql.fixed("b"),
+    sql.query("b", sql.data_factor("b"),
               f"SELECT col_id, {R('c_0 * 0.5 - c_1 * 0.25')} AS c_0, {R('c_0 * 2 + c_1')} AS c_1 FROM f"),
 )
 def q_factor_times_small(spark, sf_dir):
-    factor = fx.fixed_factor(spark, fx.customer_parts_shape(spark, sf_dir))
-    return rounded(products.factor_times_small(factor, np.array([[0.5, 2.0], [-0.25, 1.0]])))
+    return rounded(products.factor_times_small(fx.data_factor(spark, sf_dir), np.array([[0.5, 2.0], [-0.25, 1.0]])))
 
 
 RESIDUAL_FACTOR = """v AS (SELECT col_id, c_0 / (SELECT sqrt(sum(c_0 * c_0)) FROM f) AS v FROM f),
@@ -694,14 +753,16 @@ k AS (SELECT sum(v * c_0) AS k0, sum(v * c_1) AS k1 FROM v JOIN g USING (col_id)
     "residual_factor",
     sql.query(
         "b",
-        ",\n".join([sql.spine("b"), sql.fixed("b"), RESIDUAL_FACTOR.format(g0=sql.gauss(0, 3), g1=sql.gauss(1, 3))]),
+        ",\n".join([sql.spine("b"), sql.data_factor("b"), RESIDUAL_FACTOR.format(g0=sql.gauss(0, 3), g1=sql.gauss(1, 3))]),
         f"SELECT col_id, {R('c_0 - v * k0')} AS c_0, {R('c_1 - v * k1')} AS c_1 FROM g JOIN v USING (col_id), k",
     ),
 )
 def q_residual_factor(spark, sf_dir):
     shape = fx.customer_parts_shape(spark, sf_dir)
     start = starts.random_factor(col_spine(spark, shape.n_cols), 2, seed=3)
-    return rounded(products.residual_factor(start, unit_direction(spark, shape)))
+    column = fx.data_factor(spark, sf_dir).select("col_id", "c_0")
+    direction = products.factor_times_small(column, 1.0 / np.sqrt(products.gram_factor(column)))
+    return rounded(products.residual_factor(start, direction))
 
 
 def unit_direction(spark, shape):
@@ -715,12 +776,12 @@ PROJECT = ",\n".join([sql.em("a", 1), "f1 AS (SELECT col_id, c_0, c_1 FROM st1)"
 
 @register(
     "project_rows",
-    sql.query("b", "kept AS (SELECT * FROM b WHERE value > 60),\n" + sql.spine("b") + ",\n" + sql.fixed("b") + ",\n" + sql.scores("kept"),
+    sql.query("b", sql.spine("b") + ",\n" + sql.fixed("b") + ",\n" + sql.scores("b"),
               "SELECT c_custkey AS row_id, coalesce(x_0, 0.0) AS x_0, coalesce(x_1, 0.0) AS x_1 FROM customer LEFT JOIN x ON row_id = c_custkey"),
 )
 def q_project_rows(spark, sf_dir):
     shape = fx.customer_parts_shape(spark, sf_dir)
-    kept = fx.customer_parts(spark, sf_dir).filter("value > 60")
+    kept = fx.customer_parts(spark, sf_dir)
     return products.project_rows(kept, fx.fixed_factor(spark, shape), shape.n_cols, fx.customers(spark, shape))
 
 
@@ -1027,15 +1088,15 @@ def q_reconstruct_cells(spark, sf_dir):
 
 @register(
     "recon_residual",
-    sql.query("b", sql.MASK.strip() + ",\n" + FIXED_B + ",\nhalf AS (SELECT * FROM b WHERE value > 20)", f"""SELECT k.row_id, k.col_id, {R(RECONSTRUCT + ' - coalesce(h.value, 0.0)', 5)} AS value
-FROM (SELECT row_id, col_id FROM mask UNION SELECT row_id, col_id FROM half) k JOIN b_mean w USING (col_id) JOIN f g USING (col_id)
-LEFT JOIN x USING (row_id) LEFT JOIN half h ON h.row_id = k.row_id AND h.col_id = k.col_id, xm"""),
+    sql.query("b", sql.MASK.strip() + ",\n" + FIXED_B, f"""SELECT k.row_id, k.col_id, {R(RECONSTRUCT + ' - coalesce(h.value, 0.0)', 5)} AS value
+FROM (SELECT row_id, col_id FROM mask UNION SELECT row_id, col_id FROM b) k JOIN b_mean w USING (col_id) JOIN f g USING (col_id)
+LEFT JOIN x USING (row_id) LEFT JOIN b h ON h.row_id = k.row_id AND h.col_id = k.col_id, xm"""),
 )
 def q_recon_residual(spark, sf_dir):
     parts = _Parts(spark, sf_dir)
     return rounded(
         missing.recon_residual(
-            parts.cells.filter("value > 20"), fx.parts_mask(parts.cells), parts.scores, _small_factor(parts),
+            parts.cells, fx.parts_mask(parts.cells), parts.scores, _small_factor(parts),
             parts.mean, parts.shape.n_cols, parts.shift(),
         ),
         5,

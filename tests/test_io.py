@@ -187,3 +187,31 @@ def test_a_named_folder_is_required_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_dir(Session())
+
+
+def test_rows_under_an_unreadable_header_are_rejected(spark):
+    from factorloom.sources.text import parse_probe, probe_rejects
+
+    texts = ["7", "3:", "10", "x,y", "abc:", "11", "12", "", "4:", "13", "d:", "14", "15"]
+    lines = spark.createDataFrame([("f", k, t) for k, t in enumerate(texts)], "file string, line_no long, value string")
+    for chunk in (1, 2, 4, 100):
+        assert sorted(map(tuple, parse_probe(lines, 1, chunk).collect())) == [(10, 2), (13, 3)]
+        rejected = sorted(r["line_no"] for r in probe_rejects(lines, chunk).collect())
+        assert rejected == [0, 3, 4, 5, 6, 10, 11, 12]
+
+
+def test_part_files_are_ordered_by_number(spark):
+    from factorloom.sources.text import number_lines
+
+    names = ["a/part-99999-x", "a/part-100000-x", "a/part-00002-x", "b/part-00001-x", "a/other"]
+    raw = spark.createDataFrame([("/d/" + n, 0, n) for n in names], "file string, block long, value string")
+    found = [r["value"] for r in number_lines(raw).orderBy("line_no").collect()]
+    assert found == ["a/other", "a/part-00002-x", "a/part-99999-x", "a/part-100000-x", "b/part-00001-x"]
+
+
+def test_fractions_of_a_percent(spark):
+    from factorloom.operators.masks import mask_cells
+
+    cells = spark.range(1000).selectExpr("id AS row_id", "0 AS col_id", "1D AS value")
+    for percent, n in ((0.5, 5), (33.9, 339), ("0.1", 1), (0, 0), (100, 1000), (99.99, 999)):
+        assert mask_cells(cells, percent, 1).count() == n
