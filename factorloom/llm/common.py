@@ -43,7 +43,10 @@ def held_out(doc_id: str, mod: int, rest: int) -> Column:
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files."""
-    path = fresh_path(df.sparkSession, name)
+    return stored_at(df, fresh_path(df.sparkSession, name))
+
+
+def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

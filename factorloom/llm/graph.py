@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..session import discard, fresh_path
+from .common import stored_at
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,14 +33,14 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); root is the least node that can be reached.
 
-    Each round is written to the shared folder. An edge from a node to itself makes a component of its own. Null ends
+    Each round is written to the shared folder, and the one before it is deleted then. An edge from a node to itself makes a component of its own. Null ends
     are left out. An empty table gives no rows.
     """
     edges = edges.where("a is not null and b is not null")
     nodes_alone = edges.where("a = b").select(F.col("a").alias("node"), F.col("a").alias("root"))
-    now = stored(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
+    spark = edges.sparkSession
+    path = fresh_path(spark, "edges")
+    now = stored_at(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path)
     for _ in range(rounds):
         # Done when every node hangs on one root that hangs on nothing.
         odd = now.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
@@ -49,5 +50,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             out = linked.unionByName(roots)
             return out.unionByName(nodes_alone.join(out.select("node"), "node", "left_anti").distinct())
-        now = stored(_stars(_stars(now, True), False), "edges")
+        before, path = path, fresh_path(spark, "edges")
+        now = stored_at(_stars(_stars(now, True), False), path)
+        discard(spark, before)
     raise RuntimeError(f"components did not settle in {rounds} rounds")
