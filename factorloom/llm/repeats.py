@@ -181,6 +181,7 @@ def exact_copies(docs: DataFrame) -> DataFrame:
     whole = with_text_hash(docs.where("doc_id is not null and text is not null")).select("doc_id", "text_hash", F.unhex(F.md5("text")).alias("whole"))
     whole = stored(whole, "whole-texts")
     least = whole.groupBy("whole").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    least = stored(least.select("whole", "least"), "copied-texts")  # as in repeated_windows, to let a large group be split
     return whole.join(least, "whole").where("doc_id > least").select("doc_id", "text_hash").distinct()
 
 
