@@ -73,7 +73,20 @@ def op7_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.verdicts(documents(spark, sf_dir))
 
 
-@register("op8_repeats")
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+least AS (SELECT g, min(doc_id) AS first_id FROM windows GROUP BY g),
+gone AS (SELECT DISTINCT doc_id, i + o AS k FROM windows JOIN least USING (g), (SELECT unnest(range(13)) AS o) WHERE doc_id > first_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS k FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS line, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op8_repeats", OP8_SQL)
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.dedup(documents(spark, sf_dir))
 
