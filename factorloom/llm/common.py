@@ -25,7 +25,11 @@ def utf8(column: pa.Array) -> list[bytes | None]:
 
 
 def slices(batches: Batches, rows: int = 1000) -> Batches:
-    """Batches of at most ``rows`` rows, so that what is made of them stays small."""
+    """Batches of at most ``rows`` rows, so that what is made of them stays small.
+
+    What Arrow has freed goes back to the system at once: a worker lives on through stages that need little.
+    """
+    pa.default_memory_pool().release_unused()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, sigmoid, stored, utf8
+from .common import Batches, sigmoid, slices, stored, utf8
 
 LOGGED = ["n_words", "word_chars", "longest", "n_lines", "words_a_line"]
 SHARES = [
@@ -79,7 +79,7 @@ def with_statistics(docs: DataFrame, keep: list[str], text: str = "text") -> Dat
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "t")
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             rows = [statistics(x) for x in utf8(batch.column("t"))]
             flat = np.concatenate(rows) if rows else np.zeros(0)
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * len(NAMES)
@@ -150,7 +150,7 @@ def scored(features: DataFrame, model: Discriminant, keep: list[str]) -> DataFra
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "x")
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(NAMES))
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], pa.array(model.scores(x))], [*names, "score"])
 

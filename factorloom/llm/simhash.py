@@ -10,7 +10,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, stored, utf8
+from ..session import fits_broadcast
+from .common import Batches, slices, stored, utf8
 from .graph import components
 
 BITS = 64
@@ -53,7 +54,7 @@ def with_fingerprints(docs: DataFrame, keep: list[str], text: str = "text", widt
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "t")
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             found = np.array([fingerprint(shingle_hashes(t, width)) for t in utf8(batch.column("t"))], np.uint64)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], pa.array(found.view(np.int64))], [*names, "fp"])
 
@@ -208,6 +209,7 @@ def one_of_each(docs: DataFrame, radius: int = 5, width: int = 5, text: str = "t
     rows = stored(with_fingerprints(marked.where(worded), ["doc_id", uid], text, width), "simhash")
     groups = near_components(rows, radius)
     kept = rows.join(groups, "fp").where("doc_id = component_id")
-    kept = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.min(uid).alias("_best"))
+    kept = stored(kept.groupBy(F.col("doc_id").alias("_id")).agg(F.min(uid).alias("_best")), "kept")
+    kept = F.broadcast(kept) if fits_broadcast(docs.sparkSession, kept.count(), 2) else kept
     chosen = marked.where(worded).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col(uid) == F.col("_best")), "left_semi")
     return chosen.dropDuplicates(["doc_id", uid]).select(*keep).unionByName(docs.where(~worded))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Batches, sigmoid, stored, summed, utf8
+from .common import Batches, sigmoid, slices, stored, summed, utf8
 
 #: Lexicon voters: so many groups of words, and of beginnings of words, are found in the labelled rows.
 WORD_VOTERS, PREFIX_VOTERS = 24, 12
@@ -52,7 +52,7 @@ def term_counts(labelled: DataFrame, text: str, label: str, flush: int = 150_000
             return pa.RecordBatch.from_arrays(rows, ["term", "n0", "n1"])
 
         seen = (Counter(), Counter())
-        for batch in batches:
+        for batch in slices(batches):
             for t, y in zip(utf8(batch.column("t")), batch.column("y").to_pylist(), strict=True):
                 found = terms(t)
                 seen[y].update(found)
@@ -201,7 +201,7 @@ def cast_votes(docs: DataFrame, voters: Voters, keep: list[str], text: str = "te
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name != "t")
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.zeros((batch.num_rows, N_INPUTS), np.float32)
             for row, t in zip(x, utf8(batch.column("t")), strict=True):
                 row[:N_VOTERS], hits, share = voters.votes(t)
@@ -245,7 +245,7 @@ def classify(docs: DataFrame, labels: DataFrame, label: str, learn, keep: list[s
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in narrow.schema if f.name not in ("inputs", "y"))
 
     def run(batches: Batches) -> Batches:
-        for batch in batches:
+        for batch in slices(batches):
             score = sigmoid(_unpack(batch)[1] @ weights)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in names], pa.array(score)], [*names, "score"])
 
