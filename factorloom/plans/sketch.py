@@ -164,14 +164,16 @@ class Iterated:
     history: list[float]
     converged: bool
     round_sec: list[float]
+    prepare_sec: float = 0.0
 
     def run_stats(self, app: str, shape: Shape, k: int, dataset: str = "") -> RunStats:
         return RunStats(
-            app, dataset, shape.n_rows, shape.n_cols, k, round_sec=self.round_sec, errors=self.history
+            app, dataset, shape.n_rows, shape.n_cols, k,
+            prepare_sec=self.prepare_sec, round_sec=self.round_sec, errors=self.history,
         )
 
 
-def _iterate(rounds: int, precision: int, step) -> Iterated:
+def _iterate(rounds: int, precision: int, step, prepare_sec: float = 0.0) -> Iterated:
     """Repeat ``step`` until its value, rounded to ``precision`` decimals, comes twice."""
     history: list[float] = []
     seconds: list[float] = []
@@ -182,8 +184,8 @@ def _iterate(rounds: int, precision: int, step) -> Iterated:
         repeated = bool(history) and history[-1] == value
         history.append(value)
         if repeated:
-            return Iterated(value, history, True, seconds)
-    return Iterated(history[-1], history, False, seconds)
+            return Iterated(value, history, True, seconds, prepare_sec)
+    return Iterated(history[-1], history, False, seconds, prepare_sec)
 
 
 def kth_singular_value(
@@ -201,6 +203,7 @@ def kth_singular_value(
     profile: Profile | None = None,
 ) -> Iterated:
     """The ``k``-th singular value of the centred matrix, by at most ``q`` passes."""
+    began = time.monotonic()
     profile = profile or profile_columns(cells, n_rows, n_cols)
     if not 1 <= k <= profile.shape.n_cols:
         raise ValueError(f"k must be between 1 and {profile.shape.n_cols}")
@@ -218,7 +221,7 @@ def kth_singular_value(
         return float(sketch.values[k - 1])
 
     try:
-        return _iterate(q, precision, step)
+        return _iterate(q, precision, step, time.monotonic() - began)
     finally:
         if own:
             layout.close()
@@ -242,6 +245,7 @@ def residual_spectral_norm(
 
     ``I - VVᵀ`` is applied to the D×s side only: to the start before a pass and to the result after it.
     """
+    began = time.monotonic()
     profile = profile or profile_columns(cells, n_rows, n_cols)
     width = min(1 + subsample, profile.shape.n_cols)
     if q < 1:
@@ -281,7 +285,7 @@ def residual_spectral_norm(
         return float(np.sqrt(eigen_desc(squares)[0][0]))
 
     try:
-        return _iterate(q, precision, step)
+        return _iterate(q, precision, step, time.monotonic() - began)
     finally:
         if own:
             layout.close()
@@ -292,6 +296,13 @@ class ReconError:
     error: float
     residual: Iterated
     sigma: float
+    prepare_sec: float = 0.0
+
+    def run_stats(self, shape: Shape, k: int, dataset: str = "") -> RunStats:
+        """Rounds of the residual norm; what came before them, the singular value too, is preparation."""
+        run = self.residual.run_stats("recon_error", shape, k, dataset)
+        run.prepare_sec += self.prepare_sec
+        return run
 
 
 def recon_error(
@@ -311,6 +322,7 @@ def recon_error(
     Where ``σ_{k+1}`` is 0 (the matrix has rank k, or the basis all columns) the error is 0 for a residual of 0 and
     infinite otherwise. Both count as 0 below 1e-7 of the largest singular value.
     """
+    began = time.monotonic()
     k = width_of(basis, "c")
     profile = profile_columns(cells, n_rows, n_cols)
     with RowLayout(cells, profile.shape, max(k + 1 + subsample, 1 + subsample)) as layout:
@@ -320,11 +332,12 @@ def recon_error(
         )
         if sigma_next is None:
             sigma_next = kth_singular_value(cells, k + 1, **common).value if k < profile.shape.n_cols else 0.0
+        prepare = time.monotonic() - began
         residual = residual_spectral_norm(cells, basis, **common)
         nothing = 1e-7 * total_norm(profile) ** 0.5
     if sigma_next <= nothing:
-        return ReconError(0.0 if residual.value <= nothing else float("inf"), residual, sigma_next)
-    return ReconError((residual.value - sigma_next) / sigma_next, residual, sigma_next)
+        return ReconError(0.0 if residual.value <= nothing else float("inf"), residual, sigma_next, prepare)
+    return ReconError((residual.value - sigma_next) / sigma_next, residual, sigma_next, prepare)
 
 
 def total_norm(profile: Profile) -> float:

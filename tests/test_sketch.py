@@ -22,6 +22,7 @@ def test_stops_when_the_value_repeats(spark):
     dense = low_rank(noise=0.01, density=1.0)
     found = kth_singular_value(to_cells(spark, dense), 1, subsample=3, q=20, precision=3)
     run = found.run_stats("sigma", Shape(60, 9, 0), 1)
+    assert run.prepare_sec > 0
     assert run.n_rounds == len(run.errors) == len(found.history)
     assert found.converged and found.history[-1] == found.history[-2] and len(found.history) < 20
 
@@ -74,6 +75,8 @@ def test_error_of_the_best_basis_next_to_full(spark):
     assert recon_error(to_cells(spark, dense), factor_frame(spark, best[:, :8]), q=12).error == pytest.approx(0, abs=1e-3)
     full = recon_error(to_cells(spark, dense), factor_frame(spark, best), q=12)
     assert full.error == 0 and full.sigma == 0
+    run = full.run_stats(Shape(60, 9, 0), 9)
+    assert run.prepare_sec > full.residual.prepare_sec and run.n_rounds == len(full.residual.history)
     flat = np.outer(np.arange(30), [1.0, 2, 0, 1])  # of rank one
     worse = np.eye(4)[:, :1]
     assert recon_error(to_cells(spark, flat), factor_frame(spark, worse), q=12).error == float("inf")
