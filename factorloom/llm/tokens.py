@@ -69,6 +69,7 @@ class PartEncoder:
         self.pieces = regex.compile(PIECES)
         self.kept = kept
         self.after_space: dict[str, bytes] = {}
+        self.at_start: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Through the whole tokenizer."""
@@ -118,6 +119,18 @@ class PartEncoder:
         found.update([(x, b"".join([table[p] for p in c])) for x, c in zip(others, cut, strict=True)])
         return found
 
+    def first_parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of the parts that begin the texts, with no space before them."""
+        known = self.at_start
+        new = {x for x in parts if x not in known}
+        letters = [x for x in new if x.isalpha()]
+        found = dict(zip(letters, self.of_pieces(letters), strict=True))
+        rest = list(new.difference(letters))
+        found.update(zip(rest, self.whole(rest), strict=True))
+        if len(known) < self.kept // 10:
+            known.update([(k, v) for k, v in found.items() if len(k) <= LONGEST_PART])
+        return [known[x] if x in known else found[x] for x in parts]
+
     def learn(self, parts: set[str]) -> dict[str, bytes | None]:
         """Ids of parts that aren't kept yet; they are kept from now on while there is room."""
         found = self.of_parts(parts)
@@ -139,7 +152,7 @@ class PartEncoder:
 
     def _group(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
-        firsts = self.whole([own[0] for own in split])
+        firsts = self.first_parts([own[0] for own in split])
         get = self.after_space.get
         known = [list(map(get, own)) for own in split]
         unknown = [_nones(row) for row in known]
