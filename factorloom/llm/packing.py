@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Batches, slices
-from .tokens import ID, encoder
+from .tokens import ID, KEPT_PARTS, encoder
 
 WINDOW = 2048
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -76,13 +76,14 @@ class SquaresPacker:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, keep_ids: bool = False, keep: list[str] | None = None
+    docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, keep_ids: bool = False, keep: list[str] | None = None, kept_parts: int = KEPT_PARTS
 ) -> DataFrame:
     """One row per piece of a document, with its place in a window of ``window`` tokens.
 
     Each task packs the documents that it reads, in their order. Documents over ``window`` tokens give whole windows and
     a rest. At the end of a task the windows still open are poured together, so at most one window per task is short.
-    ``keep`` names the columns that go along (doc_id); ``keep_ids`` adds the ids of the piece.
+    ``keep`` names the columns that go along (doc_id); ``keep_ids`` adds the ids of the piece. ``kept_parts`` bounds what the tokenizer
+    remembers in a worker (about 250 bytes each): more is faster.
     Null and empty texts have their end id alone. Repeated rows are packed as often as they stand. An empty table
     gives no rows.
     """
@@ -93,7 +94,7 @@ def pack_documents(
 
     def run(batches: Batches) -> Batches:
         task = TaskContext.get().partitionId() << 33
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, kept_parts).encode
         packer = SquaresPacker(window)
         waiting: dict[int, tuple[np.ndarray, tuple, int]] = {}  # of documents with pieces in open windows
         done: list[tuple] = []
