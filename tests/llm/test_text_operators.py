@@ -398,6 +398,22 @@ def test_attention_at_the_edges(spark, odd_docs, no_docs):
     assert (held["held_out"], held["train_tokens"], held["n_known"]) == (True, 0, 0) and held["score"] < 0
 
 
+def test_attention_learns_from_all_windows(spark):
+    """Every id of every text is a target once, in one of the rounds."""
+    texts = [f"text {k} " + "some more words of it " * (k % 40) for k in range(300)] + ["", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    tool = attention.subwords(RANKS, public_tokenizers.PATTERN)
+    ids = [len(b"".join(tool.words(attention.words_lower((t or "").encode())))) // 2 + 1 for t in texts]
+    alphabet = attention.Alphabet(np.arange(tool.size))
+    turns = [attention.part_of_round(docs, turn, 6).collect() for turn in range(6)]
+    assert sorted((r["text"] for own in turns for r in own), key=repr) == sorted(texts, key=repr)
+    targets = 0
+    for own in turns:
+        for _, y in attention.learning_windows([(r["text"] or "").encode() for r in own], alphabet, tool):
+            targets += int((y != attention.PAD).sum())
+    assert targets == sum(ids)
+
+
 # ------------------------------------------------------------------ 7: outliers
 
 
