@@ -130,10 +130,8 @@ def near_links(fps: DataFrame, radius: int = 2, parts: int = 1, small: int = SMA
 
     A fingerprint goes to one bucket per mask. Buckets of up to ``small`` are compared inside a task. In a larger bucket
     each fingerprint is keyed by every choice of two bits outside of the mask, cleared, and is linked to the least one
-    with the same key. For a radius of two that is exact, and it needs no pairs of a bucket. For a larger radius the
-    links of up to two bits are found that way, by their own tables, and the fingerprints of a large bucket are compared with
-    their neighbours in ascending order, ``small`` at a time: a dense group is linked by its near members, but two that
-    only a farther link joins, in a large bucket of every table that they share, can be missed.
+    with the same key. For a radius of two that is exact, and it needs no pairs of a bucket. For a larger radius a large
+    bucket is cut into blocks, and each two blocks of it are compared in a task of their own, so that is exact too.
     """
     made = tables(radius, parts)
     keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (m, _, _) in enumerate(made)])
@@ -142,11 +140,11 @@ def near_links(fps: DataFrame, radius: int = 2, parts: int = 1, small: int = SMA
     few = sizes.where(F.col("n") <= small).select("t", "key")
     lists = keyed.join(few, ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
     edges = lists.mapInArrow(_link_small(radius), "a long, b long").distinct()
-    many = sizes.where(F.col("n") > small).select("t", "key")
+    many = sizes.where(F.col("n") > small)
     if not many.isEmpty():
         hot = keyed.join(many, ["t", "key"])
-        edges = edges.unionByName(_link_large(hot, made) if radius <= 2 else _link_neighbours(hot, radius, small))
-    return edges if radius <= 2 else edges.unionByName(near_links(fps, 2))
+        edges = edges.unionByName(_link_large(hot, made) if radius <= 2 else _link_blocks(hot, radius, 8 * small))
+    return edges
 
 
 def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]]) -> DataFrame:
@@ -162,26 +160,19 @@ def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]]) -> DataFrame
     return least.where(F.size("own") > 1).select("a", F.explode("own").alias("b")).where("a <> b").distinct()
 
 
-def _link_neighbours(keyed: DataFrame, radius: int, small: int) -> DataFrame:
-    """Edges inside of large buckets (fp, t, key) between fingerprints that stand near in ascending order.
+def _link_blocks(keyed: DataFrame, radius: int, block: int) -> DataFrame:
+    """Edges inside of large buckets (fp, t, key, n): every two blocks of about ``block`` fingerprints of a bucket are compared."""
+    k = F.ceil(F.col("n") / block)
+    put = keyed.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("fp"), "k")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    put = put.select("fp", "t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
 
-    The order runs over all partitions, so a bucket of any size is spread over tasks.
-    """
-    link = _link_small(radius)
+    def run(two: pa.Table) -> pa.Table:
+        x = np.sort(two.column("fp").to_numpy())
+        u = x.view(np.uint64)
+        i, j = _forest(np.bitwise_count(u[:, None] ^ u[None, :]) <= radius)
+        return pa.table({"a": pa.array(x[i], pa.int64()), "b": pa.array(x[j], pa.int64())})
 
-    def run(batches: Batches) -> Batches:
-        for batch in batches:
-            t, key, fp = (batch.column(c).to_numpy() for c in ("t", "key", "fp"))
-            new = np.ones(len(fp), bool)
-            new[1:] = (t[1:] != t[:-1]) | (key[1:] != key[:-1])
-            first = np.flatnonzero(new)
-            place = np.arange(len(fp)) - np.repeat(first, np.diff(np.append(first, len(fp))))
-            cuts = np.append(np.flatnonzero(place % small == 0), len(fp)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(fp))
-            yield from link(iter([pa.RecordBatch.from_arrays([lists], ["fps"])]))
-
-    ordered = keyed.repartitionByRange("t", "key", "fp").sortWithinPartitions("t", "key", "fp")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    return put.groupBy("t", "key", "p", "q").applyInArrow(run, "a long, b long").distinct()
 
 
 def component_ids(own: DataFrame, edges: DataFrame) -> DataFrame:

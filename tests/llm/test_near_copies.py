@@ -77,3 +77,18 @@ def test_common_hashes_count_all():
     sets = [np.unique(r.integers(0, 300, n).astype(np.uint64)) for n in r.integers(1, 200, 30)]
     expected = [[len(np.intersect1d(a, b)) * (i != j) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
     assert np.array_equal(simhash.common_hashes(sets), expected)
+
+
+def test_links_of_five_bits_in_large_buckets(spark):
+    """Fingerprints that differ in the first fifteen bits share three buckets as a whole; the links are of four or five bits."""
+    r = np.random.default_rng(13)
+    prints = []
+    for x in r.permutation(1 << 15).tolist():
+        if all((x ^ y).bit_count() >= 4 for y in prints) and len(prints) < 150:
+            prints.append(x)
+    edges = [(e["a"], e["b"]) for e in simhash.near_links(spark.createDataFrame([(f,) for f in prints], "fp long"), 5, small=4).collect()]
+    assert all((a ^ b).bit_count() <= 5 for a, b in edges)
+    linked = set(edges) | {(b, a) for a, b in edges}
+    ids = sorted(prints)
+    found = least_of_components(ids, lambda a, b: (a, b) in linked)
+    assert found == least_of_components(ids, lambda a, b: (a ^ b).bit_count() <= 5)
