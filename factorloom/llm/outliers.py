@@ -20,10 +20,10 @@ LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Share of a group that the estimate rests on, steps, and the least rows of a group with an estimate of its own.
 SUBSET, STEPS, LEAST_ROWS = 0.75, 4, 100
 #: Rows beyond this share of the chi-square distribution are rejected.
-INLIERS = 0.9999
-#: Least standard deviations of the transformed statistics, so that one that is the same nearly everywhere doesn't reject
-#: whatever differs a little.
-FLOORS = {"x0": 0.7, "x1": 0.1, "x2": 0.06, "x3": 0.2, "x4": 0.2}
+INLIERS = 0.999
+#: Least standard deviations of the transformed statistics, a twentieth of the range of a share's root and less of the others:
+#: they keep the matrix regular where a statistic is the same nearly everywhere, and leave each able to reject alone.
+FLOORS = {"x0": 0.1, "x1": 0.03, "x2": 0.02, "x3": 0.05, "x4": 0.05}
 X = list(FLOORS)
 ALL = "all"
 

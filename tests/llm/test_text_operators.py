@@ -459,6 +459,26 @@ def test_estimates_equal_dense_steps(spark):
     assert np.allclose(low @ low.T, cov, atol=0.1)
 
 
+@pytest.mark.parametrize("kind", ["lines", "symbols", "repeats"])
+def test_outliers_of_one_statistic(spark, kind):
+    r = np.random.default_rng(14)
+
+    def text(k):
+        lines = [" ".join(f"w{x}" for x in r.integers(0, 10**6, 8)) for _ in range(20 + k % 9)]
+        if k < 5 and kind == "lines":
+            lines += ["ab cd"] * 10
+        if k < 5 and kind == "symbols":
+            lines[3:9] = [f"{x} ### $$$" for x in lines[3:9]]
+        if k < 5 and kind == "repeats":
+            lines += [f"{x} {k}" for k, x in enumerate(lines[:5])]
+        return "\n".join(lines)
+
+    rows = [(k, text(k), "en", "src0") for k in range(300)]
+    found = {x["doc_id"]: x for x in outliers.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(found[k]["kept"] or found[k]["base_failed"] for k in range(5))
+    assert sum(x["kept"] for x in found.values()) >= 280
+
+
 def test_outliers_at_the_edges(spark, odd_docs, no_docs):
     assert outliers.verdicts(no_docs).count() == 0
     found = outliers.verdicts(odd_docs, keep=odd_docs.columns)
