@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,17 @@ def slices(batches: Batches, rows: int = 1000) -> Batches:
             yield batch.slice(at, rows)
 
 
+def groups(batches: Batches, column: str, rows: int = 1000, size: int = 4_000_000) -> Batches:
+    """Slices of at most ``rows`` rows whose strings in ``column`` take about ``size`` bytes; a longer string goes alone."""
+    for batch in slices(batches, rows):
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        at = 0
+        while at < batch.num_rows:
+            n = max(1, int(np.searchsorted(np.cumsum(lengths[at:]), size, "right")))
+            yield batch.slice(at, n)
+            at += n
+
+
 def crc_mod(doc_id: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; null for a null id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % mod
