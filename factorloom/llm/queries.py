@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention, bpe, huffman, lines, multiindex, outliers, packing, quality, repeats, runs, simhash, toxicity
+from . import alignment, attention, bpe, huffman, lines, multiindex, outliers, packing, quality, repeats, runs, simhash, toxicity
 from .common import held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,9 @@ def op13_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_runs")
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(documents(spark, sf_dir), plant=runs.tail_repeats)
+
+
+@register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(documents(spark, sf_dir), *paths)

@@ -25,11 +25,11 @@ ENDS = ",.;:!?|"
 _ENCODERS: dict[tuple, PartEncoder] = {}
 
 
-def encoder(path: str, kept: int = KEPT_PARTS) -> PartEncoder:
+def encoder(path: str, kept: int = KEPT_PARTS, plain: bool = False) -> PartEncoder:
     """The encoder of this worker for the vocabulary file at ``path``, which every machine has."""
-    if (path, kept) not in _ENCODERS:
-        _ENCODERS[path, kept] = PartEncoder(path, kept)
-    return _ENCODERS[path, kept]
+    if (path, kept, plain) not in _ENCODERS:
+        _ENCODERS[path, kept, plain] = PartEncoder(path, kept, plain)
+    return _ENCODERS[path, kept, plain]
 
 
 def _nones(row: list) -> list[int]:
@@ -46,15 +46,18 @@ def _nones(row: list) -> list[int]:
 class PartEncoder:
     """``encode`` gives what ``encode_batch(texts, add_special_tokens=False)`` gives, as little-endian uint32 bytes.
 
+    With ``plain`` the strings of special tokens are ordinary text.
+
     A new part is cut into the pieces of the byte-level pattern, and each new piece goes once through the library's BPE
     model, many pieces in a call. A part with an added token, and a text that can't be cut, go through the whole tokenizer.
     """
 
-    def __init__(self, path: str, kept: int = KEPT_PARTS):
+    def __init__(self, path: str, kept: int = KEPT_PARTS, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.model_only = Tokenizer.from_file(path)
         for t in (self.tokenizer, self.model_only):
             t.no_truncation()
