@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import fresh_path
+from ..session import discard, fresh_path
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -57,6 +58,21 @@ def held_out(doc_id: str, mod: int, rest: int) -> Column:
     return F.coalesce(crc_mod(doc_id, mod) == rest, F.lit(False))
 
 
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def helpers(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of tables that are stored inside the block, in order; what is left in the list is deleted at the end."""
+    _WRITTEN.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _WRITTEN.remove(paths)
+        for path in paths:
+            discard(spark, path)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the files."""
     return stored_at(df, fresh_path(df.sparkSession, name))
@@ -64,6 +80,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def stored_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

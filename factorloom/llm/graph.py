@@ -9,17 +9,17 @@ from ..session import discard, fresh_path
 from .common import stored_at
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
+def _stars(edges: DataFrame, large: bool, path: str) -> DataFrame:
     """One step on edges (a, b), a > b: link neighbours to the least of a node's neighbourhood.
 
     The large step looks at all neighbours of a node and moves the greater ones; the small step looks at the smaller
-    ones and moves those. The least neighbour is a partial sum, and the join that brings it to the edges is a plain
-    inner one, so a hub's edges are split by adaptive execution.
+    ones and moves those. The least neighbours begin as partial sums and are stored, so that the join that brings them to
+    the edges has an exchange on either side: adaptive execution then splits the edges of a hub.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = stored_at(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), path)
     joined = both.join(least, "u")
     if large:
         moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -51,6 +51,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             out = linked.unionByName(roots)
             return out.unionByName(nodes_alone.join(out.select("node"), "node", "left_anti").distinct())
         before, path = path, fresh_path(spark, "edges")
-        now = stored_at(_stars(_stars(now, True), False), path)
-        discard(spark, before)
+        passing = [fresh_path(spark, name) for name in ("least", "large", "least")]
+        large = stored_at(_stars(now, True, passing[0]), passing[1])
+        now = stored_at(_stars(large, False, passing[2]), path)
+        for done in (before, *passing):
+            discard(spark, done)
     raise RuntimeError(f"components did not settle in {rounds} rounds")

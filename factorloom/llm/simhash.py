@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -20,10 +18,6 @@ BITS = 64
 SEED = 42
 #: Buckets of up to so many fingerprints are linked inside a task, larger ones by keys.
 SMALL_BUCKET = 128
-#: Least hashes in a band and bands: two sets of Jaccard similarity 0.8 share no band with a probability of (1 - 0.8^6)^40 = 5e-6.
-BAND_ROWS, BANDS = 6, 40
-#: Sets, and hashes in them, of a block that is compared with others.
-BLOCK, BLOCK_HASHES = 512, 200_000
 
 
 def shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -80,17 +74,6 @@ def covering_masks(radius: int, bits: list[int] | None = None) -> list[int]:
     return [sum(1 << b for i, b in enumerate(bits) if ((1 + i % size) & v).bit_count() % 2) for v in range(1, size + 1)]
 
 
-def tables(radius: int, parts: int = 1) -> list[tuple[int, int, int]]:
-    """(mask, radius, bits that are looked at) of each table: of ``parts`` shares of the bits, one differs in no more than its share of
-    ``radius``. More parts need fewer tables with shorter keys."""
-    out = []
-    for k in range(parts):
-        own = list(range(k, BITS, parts))
-        share = radius // parts
-        out += [(m, share, sum(1 << b for b in own)) for m in covering_masks(share, own)]
-    return out
-
-
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -125,34 +108,34 @@ def _link_small(radius: int):
     return run
 
 
-def near_links(fps: DataFrame, radius: int = 2, parts: int = 1, small: int = SMALL_BUCKET) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column ``fp``) that connect all pairs within ``radius`` bits.
+def near_links(fps: DataFrame, radius: int = 2, small: int = SMALL_BUCKET) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column ``fp``) that connect all pairs within ``radius`` (0 to 2) bits.
 
     A fingerprint goes to one bucket per mask. Buckets of up to ``small`` are compared inside a task. In a larger bucket
     each fingerprint is keyed by every choice of two bits outside of the mask, cleared, and is linked to the least one
-    with the same key. For a radius of two that is exact, and it needs no pairs of a bucket. For a larger radius a large
-    bucket is cut into blocks, and each two blocks of it are compared in a task of their own, so that is exact too.
+    with the same key; that is exact, and it needs no pairs of a bucket.
     """
-    made = tables(radius, parts)
-    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, (m, _, _) in enumerate(made)])
+    if not 0 <= radius <= 2:
+        raise ValueError("the radius must be 0, 1 or 2")
+    masks = covering_masks(radius)
+    keys = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks)])
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.t", "k.key")
     sizes = stored(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     few = sizes.where(F.col("n") <= small).select("t", "key")
     lists = keyed.join(few, ["t", "key"]).groupBy("t", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
     edges = lists.mapInArrow(_link_small(radius), "a long, b long").distinct()
-    many = sizes.where(F.col("n") > small)
+    many = sizes.where(F.col("n") > small).select("t", "key")
     if not many.isEmpty():
-        hot = keyed.join(many, ["t", "key"])
-        edges = edges.unionByName(_link_large(hot, made) if radius <= 2 else _link_blocks(hot, radius, 8 * small))
+        edges = edges.unionByName(_link_large(keyed.join(many, ["t", "key"]), masks, radius))
     return edges
 
 
-def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]]) -> DataFrame:
-    """Edges inside of large buckets (fp, t, key), up to two bits."""
+def _link_large(keyed: DataFrame, masks: list[int], radius: int) -> DataFrame:
+    """Edges inside of large buckets (fp, t, key): fingerprints that agree but for ``radius`` bits outside of the mask."""
     choices = []
-    for t, (m, share, looked) in enumerate(made):
-        outside = [i for i in range(BITS) if looked >> i & 1 and not m >> i & 1]
-        holes = [_signed(~sum(1 << i for i in c) & (2**64 - 1)) for c in combinations(outside, min(2, share))]
+    for t, m in enumerate(masks):
+        outside = [i for i in range(BITS) if not m >> i & 1]
+        holes = [_signed(~sum(1 << i for i in c) & (2**64 - 1)) for c in combinations(outside, radius)]
         choices.append(F.when(F.col("t") == t, F.array(*map(F.lit, holes))))
     hot = keyed.select("fp", "t", F.posexplode(F.coalesce(*choices)).alias("c", "hole"))
     hot = hot.select("fp", "t", "c", F.col("fp").bitwiseAND(F.col("hole")).alias("cleared"))
@@ -160,37 +143,23 @@ def _link_large(keyed: DataFrame, made: list[tuple[int, int, int]]) -> DataFrame
     return least.where(F.size("own") > 1).select("a", F.explode("own").alias("b")).where("a <> b").distinct()
 
 
-def _link_blocks(keyed: DataFrame, radius: int, block: int) -> DataFrame:
-    """Edges inside of large buckets (fp, t, key, n): every two blocks of about ``block`` fingerprints of a bucket are compared."""
-    k = F.ceil(F.col("n") / block)
-    put = keyed.withColumn("k", k).withColumn("own", F.pmod(F.xxhash64("fp"), "k")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    put = put.select("fp", "t", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
-
-    def run(two: pa.Table) -> pa.Table:
-        x = np.sort(two.column("fp").to_numpy())
-        u = x.view(np.uint64)
-        i, j = _forest(np.bitwise_count(u[:, None] ^ u[None, :]) <= radius)
-        return pa.table({"a": pa.array(x[i], pa.int64()), "b": pa.array(x[j], pa.int64())})
-
-    return put.groupBy("t", "key", "p", "q").applyInArrow(run, "a long, b long").distinct()
-
-
 def component_ids(own: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fp, component_id) of the rows (fp, least), one for each fp: the least one reachable over ``edges`` (a, b) between fps."""
+    """(fp, root, component_id) of the rows (fp, least), one for each fp: a name and the least id of what ``edges`` (a, b) connect."""
     linked = stored(components(edges), "linked")
-    group = linked.join(own, linked["node"] == own["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_linked = linked.join(group, "root").select(F.col("node").alias("fp"), "component_id")
-    alone = own.join(of_linked.select("fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    # Stored, so that the join below has an exchange on either side, and adaptive execution can split a large component.
+    group = stored(linked.join(own, linked["node"] == own["fp"]).groupBy("root").agg(F.min("least").alias("component_id")), "groups")
+    of_linked = linked.join(group, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    alone = own.join(of_linked.select("fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     return of_linked.unionByName(alone)
 
 
-def near_components(rows: DataFrame, radius: int = 2, parts: int = 1) -> DataFrame:
-    """(fp, component_id) of the rows (doc_id, fp): the least doc_id reachable over fingerprints within ``radius`` bits.
+def near_components(rows: DataFrame, radius: int = 2) -> DataFrame:
+    """(fp, root, component_id) of the rows (doc_id, fp): the least doc_id reachable over fingerprints within ``radius`` bits.
 
     Rows are first brought to one per fingerprint, so groups of copies cost as much as one text.
     """
     own = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    return component_ids(own, near_links(own.select("fp"), radius, parts))
+    return component_ids(own, near_links(own.select("fp"), radius))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
@@ -201,165 +170,29 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFra
     component, null if there is none. An empty table gives no rows.
     """
     rows = stored(with_fingerprints(docs, ["doc_id"], width=width), "simhash")
-    out = rows.join(near_components(rows, radius), "fp")
+    out = rows.join(stored(near_components(rows, radius), "components"), "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# ------------------------------------------------------------------ near copies by the Jaccard similarity of shingles
-
-
-def shingle_set(text: bytes | None, width: int) -> np.ndarray:
-    """The distinct shingles of a text, as ascending hashes."""
-    return np.unique(shingle_hashes(text, width))
-
-
-_RANDOM = np.random.default_rng(SEED).integers(0, 1 << 64, (3, BANDS * BAND_ROWS), np.uint64)
-
-
-def band_keys(own: np.ndarray) -> np.ndarray:
-    """A key for each band of a set that isn't empty: of its least hashes under the band's permutations."""
-    times, plus, mix = _RANDOM[0] | np.uint64(1), _RANDOM[1], _RANDOM[2] | np.uint64(1)
-    least = np.full(len(times), 2**64 - 1, np.uint64)
-    for at in range(0, len(own), 512):
-        np.minimum(least, (times[:, None] * own[None, at : at + 512] + plus[:, None]).min(1), out=least)
-    return ((least ^ (least >> np.uint64(29))) * mix).reshape(BANDS, BAND_ROWS).sum(1, dtype=np.uint64)
-
-
-def _per_text(docs: DataFrame, keep: list[str], schema: str, made) -> DataFrame:
-    """The columns of ``keep`` and what ``made`` returns for each text of the column ``t``, as lists in the order of ``schema``."""
-    kept = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}[x.split()[1]] for x in schema.split(", ")]
+def one_of_each(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of every component (see ``near_duplicates``) one row with the least doc_id stays.
 
-    def run(batches: Batches) -> Batches:
-        for batch in slices(batches):
-            found = [made(t) for t in utf8(batch.column("t"))]
-            out = [pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keep], *out], [*keep, *names])
-
-    return docs.select(*keep, "t").mapInArrow(run, f"{kept}, {schema}")
-
-
-def common_hashes(sets: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each two of the sets share; the diagonal is zero.
-
-    Hashes of one set alone are left out, those of a few sets are counted pair by pair, the others by products of 0/1 tables.
-    """
-    m = len(sets)
-    doc = np.repeat(np.arange(m), [len(x) for x in sets])
-    _, which, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    doc = doc[np.argsort(which, kind="stable")]
-    starts = np.cumsum(times) - times
-    out = np.zeros(m * m, np.float32)
-    for c in range(2, 9):
-        own = doc[starts[times == c][:, None] + np.arange(c)]
-        for i, j in combinations(range(c if len(own) else 0), 2):
-            out += np.bincount(own[:, i] * m + own[:, j], minlength=m * m)
-    out = out.reshape(m, m)
-    out += out.T.copy()
-    many = np.flatnonzero(times > 8)
-    for at in range(0, len(many), 4096):
-        some = many[at : at + 4096]
-        table = np.zeros((m, len(some)), np.float32)
-        for k, (s, c) in enumerate(zip(starts[some].tolist(), times[some].tolist(), strict=True)):
-            table[doc[s : s + c], k] = 1
-        out += table @ table.T
-    np.fill_diagonal(out, 0)
-    return out
-
-
-def _link_alike(alike: float):
-    """Edges of a spanning forest of a block of sets (fp, hashes), from the similarities of all its pairs."""
-
-    def run(block: pa.Table) -> pa.Table:
-        fps = block.column("fp").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in block.column("hashes").to_pylist()]
-        n = np.array([len(x) for x in sets], float)
-        both = common_hashes(sets).astype(float)
-        i, j = _forest(both >= alike * (n[:, None] + n[None, :] - both) - 1e-9)
-        return pa.table({"a": pa.array(fps[i], pa.int64()), "b": pa.array(fps[j], pa.int64())})
-
-    return run
-
-
-def _blocks(members: DataFrame, alike: float, block: int, hashes: int) -> DataFrame:
-    """(fp, root, g) such that each two members (fp, root, n) of a root, of sizes that allow ``alike``, share a ``g``.
-
-    A root of up to ``block`` members and so many hashes is one block. A larger one is cut by classes of sizes, of which only
-    neighbours can be alike, and those into blocks by hash; a ``g`` then holds two blocks.
-    """
-    members = members.withColumn("s", F.floor(F.log(F.col("n").cast("double")) / F.lit(1.0001 * math.log(1 / alike))))
-    sizes = members.groupBy("root", "s").agg(F.count("*").alias("docs"), F.sum("n").alias("size"))
-    pieces = F.greatest(F.ceil(F.col("docs") / block), F.ceil(F.col("size") / hashes))
-    sizes = stored(sizes.select("root", "s", "docs", "size", pieces.alias("k")), "sizes")
-    whole = sizes.groupBy("root").agg(F.sum("docs").alias("docs"), F.sum("size").alias("size"))
-    whole = whole.select("root", ((F.col("docs") <= block) & (F.col("size") <= hashes)).alias("whole"))
-    up = sizes.select("root", (F.col("s") - 1).alias("s"), F.col("k").alias("k_up"))
-    down = sizes.select("root", (F.col("s") + 1).alias("s"), F.col("k").alias("k_down"))
-    plan = sizes.select("root", "s", "k").join(up, ["root", "s"], "left").join(down, ["root", "s"], "left").join(whole, "root")
-    put = members.join(plan, ["root", "s"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("k")))
-
-    def name(s, a, t, b):
-        return F.concat_ws(":", s, a, t, b)
-
-    def up_to(k):
-        return F.when(F.coalesce(k, F.lit(0)) > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<bigint>"))
-
-    s, own = F.col("s"), F.col("own")
-    inside = F.transform(up_to(F.col("k")), lambda j: name(s, F.least(own, j), s, F.greatest(own, j)))
-    above = F.transform(up_to(F.col("k_up")), lambda j: name(s, own, s + 1, j))
-    below = F.transform(up_to(F.col("k_down")), lambda j: name(s - 1, j, s, own))
-    places = F.when(F.col("whole"), F.array(F.lit(""))).otherwise(F.concat(inside, above, below))
-    return put.select("fp", "root", F.explode(places).alias("g"))
-
-
-def alike_links(own: DataFrame, texts: Callable[[DataFrame], DataFrame], alike: float, width: int, block: int = BLOCK, hashes: int = BLOCK_HASHES) -> DataFrame:
-    """Edges (a, b) that connect all sets of a Jaccard similarity of ``alike`` or more, of the rows (fp, n, keys), one for each set.
-
-    Sets that share the key of a band, or are joined by others that do, are a family, and inside of a family all pairs are
-    compared by their shingles. ``texts(fps)`` gives rows (fp, t) for the sets of the table ``fps``.
-    """
-    keyed = own.select("fp", F.posexplode("keys").alias("band", "key"))
-    least = keyed.groupBy("band", "key").agg(F.min("fp").alias("least"), F.count("*").alias("rows")).where("rows > 1")
-    shared = keyed.join(least.drop("rows"), ["band", "key"]).where("fp <> least")
-    families = stored(components(shared.select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()), "families")
-    members = stored(families.join(own.select("fp", "n"), families["node"] == F.col("fp")).select("fp", "root", "n"), "members")
-    sets = _per_text(texts(members.select("fp")), ["fp"], "hashes binary", lambda t: [shingle_set(t, width).tobytes()])
-    placed = _blocks(members, alike, block, hashes).join(sets.dropDuplicates(["fp"]), "fp")
-    return placed.select("root", "g", "fp", "hashes").groupBy("root", "g").applyInArrow(_link_alike(alike), "a long, b long").distinct()
-
-
-def one_of_each(docs: DataFrame, alike: float = 0.8, width: int = 5, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-copies: of every component the row with the least doc_id stays.
-
-    Two texts are linked if the Jaccard similarity of their sets of shingles of ``width`` words is ``alike`` or more. Links are
-    compared, not guessed; of the pairs at 0.8 the bands fail to propose 5 in a million. Of rows with the least id of a
-    component one stays. Rows without id stay, as they can't be told apart, and so do texts without words, which are nobody's copy.
+    Rows without id go if their component has a row with one; else one of the component's rows stays. Texts without words (null,
+    empty, blank) are linked like any others. Of rows that repeat the least id one stays. An empty table gives no rows.
     """
-    keep = docs.columns
-    uid = "_uid"
-    marked = docs.withColumn(uid, F.xxhash64(*keep))
-    worded = F.coalesce(F.col(f"`{text}`").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    narrow = marked.where(worded).select("doc_id", uid, F.col(f"`{text}`").alias("_text"))
-
-    def made(t: bytes) -> list:
-        own = shingle_set(t, width)
-        return [_signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)), len(own), band_keys(own).view(np.int64)]
-
-    rows = _per_text(narrow.withColumnRenamed("_text", "t"), ["doc_id", uid], "fp long, n long, keys array<long>", made)
-    rows = stored(rows, "shingles")
-    best = F.min(F.struct("doc_id", uid, "n", "keys")).alias("best")
-    own = rows.groupBy("fp").agg(best).select("fp", F.col("best.doc_id").alias("least"), f"best.{uid}", "best.n", "best.keys")
-    own = stored(own, "sets")
-
-    def texts(fps: DataFrame) -> DataFrame:
-        wanted = stored(own.select("fp", F.col("least").alias("_id"), F.col(uid).alias("_best")).join(fps, "fp", "left_semi"), "wanted")
-        wanted = F.broadcast(wanted) if fits_broadcast(docs.sparkSession, wanted.count(), 3) else wanted
-        return narrow.join(wanted, (F.col("doc_id") == F.col("_id")) & (F.col(uid) == F.col("_best"))).select("fp", F.col("_text").alias("t"))
-
-    groups = component_ids(own.select("fp", "least"), stored(alike_links(own, texts, alike, width), "alike"))
-    kept = rows.select("doc_id", uid, "fp").join(groups, "fp").where("doc_id = component_id")
-    kept = stored(kept.groupBy(F.col("doc_id").alias("_id")).agg(F.min(uid).alias("_best")), "kept")
-    kept = F.broadcast(kept) if fits_broadcast(docs.sparkSession, kept.count(), 2) else kept
-    chosen = marked.where(worded).join(kept, (F.col("doc_id") == F.col("_id")) & (F.col(uid) == F.col("_best")), "left_semi")
-    return chosen.dropDuplicates(["doc_id", uid]).select(*keep).unionByName(docs.where(~worded))
+    names = docs.columns
+    keep = [f"k{i}" for i in range(len(names))]
+    own_id, text = keep[names.index("doc_id")], keep[names.index("text")]
+    marked = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(names, keep, strict=True)]).withColumn("uid", F.xxhash64(*keep))
+    rows = stored(with_fingerprints(marked, [own_id, "uid"], text, width).withColumnRenamed(own_id, "doc_id"), "simhash")
+    linked = rows.join(stored(near_components(rows, radius), "components"), "fp").where("doc_id <=> component_id")
+    copies = linked.groupBy("root", "doc_id", "uid").agg(F.count("*").alias("n"))
+    first = stored(linked.groupBy("root").agg(F.min("uid").alias("uid")), "firsts")
+    kept = stored(copies.join(first, ["root", "uid"]).drop("root"), "kept")
+    several = not kept.where("n > 1").isEmpty()
+    if fits_broadcast(docs.sparkSession, kept.count(), 3):
+        kept = F.broadcast(kept)
+    chosen = marked.join(kept, "uid").where(F.col("doc_id").eqNullSafe(F.col(own_id)))
+    if several:
+        chosen = chosen.where("n = 1").unionByName(chosen.where("n > 1").dropDuplicates(["doc_id", "uid"]))
+    return chosen.select(*[F.col(k).alias(c) for c, k in zip(names, keep, strict=True)])

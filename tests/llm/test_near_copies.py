@@ -1,94 +1,79 @@
-"""The near-copy stage against brute-force Jaccard similarities of five-word shingles."""
+"""One of each group of near-duplicates against brute force, and joins with a hub that adaptive execution splits."""
 
 import numpy as np
 import pytest
+import xxhash
 
-import corpus_pipeline
-from factorloom.llm import simhash
+from factorloom.llm import graph, simhash
 from factorloom.llm.common import stored
+from factorloom.session import fresh_path, settings
 
 
-def shingles(text, width=5):
-    w = text.lower().split()
-    return {tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
-
-
-def least_of_components(ids, near):
-    root = {i: i for i in ids}
-    for a in ids:
-        for b in ids:
-            if a < b and root[a] != root[b] and near(a, b):
-                old, new = max(root[a], root[b]), min(root[a], root[b])
-                root = {k: new if v == old else v for k, v in root.items()}
-    return root
+def fingerprint(text, width=3):
+    w = (text or "").encode().lower().split()
+    grams = [b" ".join(w[k : k + width]) for k in range(max(1, len(w) - width + 1))] if w else []
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
 def variants():
-    """Families of texts with some words changed, of several lengths; ids in no order of families."""
+    """Families of texts with a word changed in some, of several lengths; ids in no order of families."""
     r = np.random.default_rng(11)
     texts = []
-    for size in (40, 90, 300):
+    for size in (40, 90, 300, 900):
         base = [f"w{k}" for k in r.integers(0, 5000, size)]
-        for changed in [0, 1, 1, 2, 2, 3, 4, 5, 8, 12] * 4:
+        for changed in [0, 0, 1, 1, 1, 2, 2, 3, 8] * 3:
             own = list(base)
             for k in r.choice(size, changed, replace=False):
                 own[k] = f"x{r.integers(10**6)}"
-            texts.append(" ".join(own[: size - r.integers(0, size // 8)]))
-    texts += ["one two", "One  two", "one two three", *[" ".join(f"u{k}" for k in r.integers(0, 5000, 60)) for _ in range(20)]]
-    return dict(zip(r.permutation(len(texts)).tolist(), texts, strict=True))
-
-
-@pytest.fixture(scope="module")
-def family():
-    texts = variants()
-    sets = {i: shingles(t) for i, t in texts.items()}
-    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9
-    return texts, least_of_components(sorted(texts), near), near
-
-
-def test_near_copies_equal_brute_force(spark, family):
-    texts, root, near = family
-    prints = {i: simhash.fingerprint(simhash.shingle_hashes(t.encode(), 5)) for i, t in texts.items()}
-    far = sum(near(a, b) and (prints[a] ^ prints[b]).bit_count() > 5 for a in texts for b in texts if a < b)
-    assert far > 50  # links that fingerprints within five bits don't have
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
-    assert kept == {i for i in root if root[i] == i}
-
-
-@pytest.mark.parametrize(("block", "hashes"), [(512, 200_000), (5, 200_000), (512, 700)])
-def test_links_in_blocks_equal_brute_force(spark, family, block, hashes):
-    texts, root, _ = family
-    rows, seen = [], set()
-    for i, t in sorted(texts.items()):
-        own = simhash.shingle_set(t.encode(), 5)
-        if own.tobytes() not in seen:
-            seen.add(own.tobytes())
-            rows.append((i, len(own), simhash.band_keys(own).view(np.int64).tolist()))
-    own = spark.createDataFrame(rows, "fp long, n long, keys array<long>")
-    table = spark.createDataFrame(list(texts.items()), "fp long, t string")
-    edges = stored(simhash.alike_links(own, lambda fps: table.join(fps, "fp", "left_semi"), 0.8, 5, block, hashes), "edges")
-    least = simhash.component_ids(own.select("fp", own["fp"].alias("least")), edges)
-    assert {r["fp"]: r["component_id"] for r in least.collect()} == {i: root[i] for i, *_ in rows}
-
-
-def test_common_hashes_count_all():
-    r = np.random.default_rng(12)
-    sets = [np.unique(r.integers(0, 300, n).astype(np.uint64)) for n in r.integers(1, 200, 30)]
-    expected = [[len(np.intersect1d(a, b)) * (i != j) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
-    assert np.array_equal(simhash.common_hashes(sets), expected)
-
-
-def test_links_of_five_bits_in_large_buckets(spark):
-    """Fingerprints that differ in the first fifteen bits share three buckets as a whole; the links are of four or five bits."""
-    r = np.random.default_rng(13)
-    prints = []
-    for x in r.permutation(1 << 15).tolist():
-        if all((x ^ y).bit_count() >= 4 for y in prints) and len(prints) < 150:
-            prints.append(x)
-    edges = [(e["a"], e["b"]) for e in simhash.near_links(spark.createDataFrame([(f,) for f in prints], "fp long"), 5, small=4).collect()]
-    assert all((a ^ b).bit_count() <= 5 for a, b in edges)
-    linked = set(edges) | {(b, a) for a, b in edges}
-    ids = sorted(prints)
-    found = least_of_components(ids, lambda a, b: (a, b) in linked)
-    assert found == least_of_components(ids, lambda a, b: (a ^ b).bit_count() <= 5)
+            texts.append(" ".join(own))
+    texts += ["one two", "One  two", "one two three", "", None, " \n", *[" ".join(f"u{k}" for k in r.integers(0, 5000, 60)) for _ in range(20)]]
+    return list(zip(r.permutation(len(texts)).tolist(), texts, strict=True))
+
+
+def groups_of(rows):
+    """Indices of rows in one component."""
+    prints = [fingerprint(t) for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and (prints[a] ^ prints[b]).bit_count() <= 2:
+                old, new = root[a], root[b]
+                root = [new if x == old else x for x in root]
+    return [[i for i, x in enumerate(root) if x == g] for g in sorted(set(root))]
+
+
+def test_one_of_each_equals_brute_force(spark):
+    rows = variants()
+    groups = groups_of(rows)
+    assert max(map(len, groups)) > 5 and sum(len(g) > 1 for g in groups) > 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in simhash.one_of_each(docs).collect()]
+    assert sorted(kept) == sorted(min(rows[i] for i in g) if len({rows[i][0] for i in g}) == len(g) else None for g in groups)
+
+
+@pytest.mark.parametrize("limit", ["1", "100000000"])
+def test_one_of_each_with_repeats_and_nulls(spark, limit):
+    a, b = "a b c d e f g", "something else altogether here"
+    rows = [(7, a, None), (7, a, None), (None, a, "x"), (9, a, "y"), (None, b, None), (None, b, None), (3, None, "n"), (4, "", "n"), (7, "third text of id seven", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _n string")
+    with settings(spark, spark__factorloom__broadcastBytes=limit):
+        kept = sorted((tuple(r) for r in simhash.one_of_each(docs).collect()), key=repr)
+    assert kept == sorted([(7, a, None), (None, b, None), (3, None, "n"), (7, "third text of id seven", None)], key=repr)
+
+
+def test_a_hub_is_split(spark):
+    """A star of 10^6 edges: the join that brings the least neighbour to a node's edges splits the hub's partition."""
+    edges = stored(spark.range(1, 1_000_001).selectExpr("id AS a", "0L AS b"), "star")
+    small = {
+        "spark__sql__autoBroadcastJoinThreshold": "-1",
+        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "1m",
+        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "1m",
+        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
+    }
+    with settings(spark, **small):
+        step = graph._stars(edges, True, fresh_path(spark, "least"))
+        assert step.count() == 1_000_000  # all hang on the least node already
+        plan = step._jdf.queryExecution()
+        plan.toRdd().count()
+        assert "skew=true" in plan.executedPlan().toString()
