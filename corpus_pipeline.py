@@ -1,7 +1,8 @@
-"""From raw documents to packed sequences: toxicity, quality, near-copies, repeated passages, packing.
+"""From raw documents to packed sequences: toxicity, quality, near-duplicates, repeated passages, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of ``docs``. ``run`` writes what a stage returns to the shared folder and reads it again for the next one.
+columns of ``docs``. ``run`` writes what a stage returns to the shared folder and reads it again for the next one; what a
+stage has read and written on its way is deleted then.
 """
 
 from __future__ import annotations
@@ -11,12 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import packing, quality, repeats, simhash, toxicity
-from factorloom.llm.common import held_out, stored
+from factorloom.llm.common import held_out, helpers, stored
 
 TOXIC_FROM = 0.3
 GOOD_FROM = 0.5
-#: Near-copies: texts whose sets of shingles of five words have this Jaccard similarity or more.
-SHINGLE, ALIKE = 5, 0.8
+#: Near-duplicates: fingerprints of shingles of three words that differ in two bits at most.
+SHINGLE, RADIUS = 3, 2
 END_ID = 1
 #: Less than packing alone remembers, as workers live on through the stages of the next run.
 KEPT_PARTS = 250_000
@@ -39,8 +40,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-copies: the one with the least id."""
-    return simhash.one_of_each(docs, ALIKE, SHINGLE)
+    """One document of each group of near-duplicates: the one with the least id."""
+    return simhash.one_of_each(docs, RADIUS, SHINGLE)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +61,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 STAGES = [
     ("toxicity", drop_toxic),
     ("quality", keep_good),
-    ("near_copies", drop_near_copies),
+    ("simhash", drop_near_copies),
     ("repeats", drop_repeats),
     ("packing", pack_sequences),
 ]
@@ -70,6 +71,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with helpers(spark) as written:
+            docs = stored(stage(spark, docs, sf_dir), name)
+            written += before
+            before = [written.pop(-1 - len(before))]
     return docs
