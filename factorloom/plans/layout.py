@@ -79,7 +79,7 @@ class RowLayout:
         broadcast limit.
         """
         over = hot_over or max(HOT_CELLS, -(-nnz * 16 * (width + 2) // broadcast_limit(self.spark)))
-        if nnz <= over:
+        if nnz <= over or self.shape.n_cols <= over:  # a row stores a column once
             return None
         ids = cells.select("row_id")
         if extra is not None:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from factorloom.operators import joins, missing, products, stats
 from factorloom.operators.joins import hot_keys, with_rows_of
+from factorloom.session import settings
 
 
 @pytest.fixture
@@ -23,6 +24,57 @@ def test_hot_keys(spark, hot_matrix):
     assert hot_keys(cells, "row_id", 100) is None
 
 
+def test_hot_keys_among_more_keys_than_counters(spark, monkeypatch):
+    """Keys with many cells are found though the counters can't hold all keys; counts err upwards only."""
+    monkeypatch.setattr(joins, "COUNTERS", 256)
+    monkeypatch.setattr(joins, "HOTTEST", 32)
+    cells = spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 7L WHEN id % 10 = 1 THEN 9L ELSE id + 100 END AS row_id")
+    found = {r["row_id"]: r["spread"] for r in hot_keys(cells, "row_id", 3000).collect()}
+    assert set(found) == {7, 9} and 7 <= found[7] <= 8 and 2 <= found[9] <= 3
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_skewed_rows_are_split_in_one_scan(spark, how):
+    """A row with a third of all cells: its partition is cut at run time, and the cells are scanned once."""
+    cells = spark.range(200_000).selectExpr("if(id % 3 = 0, 7L, id) AS row_id", "cast(id % 50 AS int) AS col_id", "1D AS value")
+    scores = cells.groupBy("row_id").agg(F.sum("value").alias("x_0"))
+    small = {
+        "spark__sql__autoBroadcastJoinThreshold": "-1",
+        "spark__sql__adaptive__advisoryPartitionSizeInBytes": "64k",
+        "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "64k",
+        "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "2",
+    }
+    with settings(spark, **small):
+        joined = with_rows_of(cells, scores, how)
+        plan = joined._jdf.queryExecution()
+        assert plan.toRdd().count() == 200_000
+        text = plan.executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "skew=true" in text
+    assert joined.agg(F.sum("x_0")).first()[0] == 66_668**2 + 133_332
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_joins_without_adaptive_execution_take_salts(spark, hot_matrix, how, monkeypatch):
+    monkeypatch.setattr(joins, "HOT_CELLS", 5)
+    cells = to_cells(spark, hot_matrix)
+    side = spark.range(0, 40).selectExpr("id AS row_id", "id * 0.5D AS x_0")
+    plain = sorted(map(str, cells.join(side, "row_id", how).select("row_id", "col_id", "value", "x_0").collect()))
+    with settings(spark, spark__sql__adaptive__enabled="false"):
+        salted = with_rows_of(cells, side, how).select("row_id", "col_id", "value", "x_0")
+        assert "_salt" in salted._jdf.queryExecution().analyzed().toString()
+        assert sorted(map(str, salted.collect())) == plain
+
+
+def test_a_side_is_counted_before_it_is_broadcast(spark, hot_matrix):
+    """The caller's number of columns is no proof: a longer table is joined by a shuffle."""
+    cells = to_cells(spark, hot_matrix)
+    long = spark.range(0, 40_000).selectExpr("cast(id AS int) AS col_id", "id * 1D AS m")
+    with settings(spark, spark__factorloom__broadcastBytes="100000", spark__sql__autoBroadcastJoinThreshold="-1"):
+        joined = joins.with_columns_of(cells, long, 30)
+        assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == cells.count()
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_salted_join_equals_plain_join(spark, hot_matrix, how):
     cells = to_cells(spark, hot_matrix)
