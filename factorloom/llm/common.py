@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -26,12 +27,17 @@ def utf8(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
-def slices(batches: Batches, rows: int = 1000) -> Batches:
-    """Batches of at most ``rows`` rows, so that what is made of them stays small.
-
-    What Arrow has freed goes back to the system at once: a worker lives on through stages that need little.
-    """
+def give_back() -> None:
+    """Give memory that is free in this worker back to the system: it lives on through stages that need little."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def slices(batches: Batches, rows: int = 1000) -> Batches:
+    """Batches of at most ``rows`` rows, so that what is made of them stays small; free memory goes back first."""
+    give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..session import fits_broadcast
+from ..session import fits_broadcast, settings
 from .common import Batches, groups, stored
 from .tokens import ID, KEPT_PARTS, encoder
 
@@ -104,7 +104,7 @@ def encoded_rows(narrow: DataFrame, kept: list[str], tokenizer: str, end_id: int
         first = TaskContext.get().partitionId() << 33
         encode = encoder(tokenizer, kept_parts).encode
         row = sequence = first
-        for batch in groups(batches, "_text"):
+        for batch in groups(batches, "_text", size=2_000_000):
             at, starts, lengths, sums, totals, sequences = [], [], [], [], [], []
             for n, ids in enumerate(encode([x or "" for x in batch.column("_text").to_pylist()])):
                 ids += end
@@ -218,7 +218,8 @@ def pack_documents(
     kept = [f"_k{i}" for i in range(len(keep))]
     both = [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
     narrow = docs.select(*[h.alias(f"_h{i + 1}") for i, h in enumerate(both)], *[F.col(f"`{c}`").alias(k) for c, k in zip(keep, kept, strict=True)], F.col("text").alias("_text"))
-    rows = stored(encoded_rows(narrow, kept, tokenizer, end_id, window, kept_parts), "encoded")
+    with settings(docs.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        rows = stored(encoded_rows(narrow, kept, tokenizer, end_id, window, kept_parts), "encoded")
     whole = rows.where("sequence_id is not null").withColumn("offset", F.lit(0).cast("long"))
     rests = rows.where("sequence_id is null")
     n_groups = max(1, -(-rests.count() // group_docs))
