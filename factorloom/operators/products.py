@@ -16,6 +16,7 @@ from ..functions.exprs import names, number, sums_of_products
 from ..functions.gram import gram
 from ..functions.rowmath import multiply
 from ..functions.small import eigen_desc, inverse_sqrt
+from ..session import fits_broadcast
 from .joins import with_columns_of, with_rows_of
 
 
@@ -25,8 +26,13 @@ def width_of(df: DataFrame, prefix: str) -> int:
 
 def rows_times_factor(cells: DataFrame, factor: DataFrame, n_cols: int) -> DataFrame:
     """``x = y·C`` for each row with cells. Partial sums are made before rows meet, so a row that holds
-    very many cells costs no more than the others."""
+    very many cells costs no more than the others. A factor too large for a broadcast is routed to the cells."""
     k = width_of(factor, "c")
+    if not fits_broadcast(cells.sparkSession, n_cols, k):
+        from ..plans.layout import routed_scores
+
+        moved = factor.select("col_id", *[F.col(f"c_{j}").alias(f"f_{j}") for j in range(k)])
+        return routed_scores(cells, moved, k, n_cols)
     sums = sums_of_products("value", names("c", k), names("x", k))
     return with_columns_of(cells, factor, n_cols).groupBy("row_id").agg(*map(F.expr, sums))
 

@@ -19,12 +19,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..cells import measure
 from ..functions.exprs import names
 from ..functions.gram import gram
 from ..functions.hashing import digest, word
 from ..functions.rowmath import change, multiply
 from ..functions.small import inverse, symmetric
-from ..operators.masks import apply_mask
+from ..operators.masks import masked_cells
 from ..operators.missing import impute_missing, rounded
 from ..operators.products import (
     factor_times_small,
@@ -215,33 +216,34 @@ class PPCA:
         """
         began = time.monotonic()
         stats = RunStats("ppca", dataset)
-        missing = None
-        if mask is not None:
-            if n_rows is None or n_cols is None:
-                found = profile_columns(cells, n_rows, n_cols).shape
-                n_rows, n_cols = found.n_rows, found.n_cols
-            # Read by every pass over the observed cells, so it is worked out once.
-            mask = cut_lineage(mask.select("row_id", "col_id").distinct())
-            cells, missing = apply_mask(cells, mask, n_rows, n_cols)
-            missing = cut_lineage(missing) if self.handle_missing else None
         if n_cols is not None:
             cells = cells.filter(F.col("col_id") < n_cols)
-        profile = profile_columns(cells, n_rows, n_cols)
-        shape = profile.shape
-        if n_rows is not None and profile.top_row >= n_rows:
-            raise ValueError(f"row {profile.top_row} lies outside of n_rows = {n_rows}")
+        missing, n_missing = None, 0
+        if mask is None:
+            profile = profile_columns(cells, n_rows, n_cols)
+            shape = profile.shape
+        else:
+            # The means are over observed cells, so columns are profiled where the mask has been taken out.
+            shape = measure(cells, n_rows, n_cols)
+            mask = cut_lineage(mask.select("row_id", "col_id").distinct())
+            if self.handle_missing:
+                missing = masked_cells(mask, shape.n_rows, shape.n_cols)
+                n_missing = missing.count()
         k = cap_components(self.k, shape.n_cols)
         if start is not None and width_of(start, "c") != k:
             raise ValueError(f"the start has {width_of(start, 'c')} columns for {k} components")
         width = k + self.subsample if self.sketch else k
-        n_missing = missing.count() if missing is not None else 0
         layout = RowLayout(
             cells, shape, width, extra=missing, extra_count=n_missing,
-            partitions=self.partitions, hot_over=self.hot_over,
+            partitions=self.partitions, hot_over=self.hot_over, mask=mask,
         )
         stats.n_rows, stats.n_cols, stats.n_components = shape.n_rows, shape.n_cols, k
         with layout:
             layout.refuse_repeats()
+            if mask is not None:
+                profile = profile_columns(layout.cells, shape.n_rows, shape.n_cols)
+            if n_rows is not None and profile.top_row >= n_rows:
+                raise ValueError(f"row {profile.top_row} lies outside of n_rows = {n_rows}")
             if n_missing:
                 gaps = Gaps(layout, profile, missing, self)
                 model = self._rounds(layout, gaps.profile, k, start, stats, began, gaps)

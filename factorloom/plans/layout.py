@@ -7,8 +7,11 @@ only the per-column partial sums travel.
 Three things keep this true at any size:
 
 * a factor that is small enough (its row count is known) is sent to all executors; a larger one is
-  *routed*: each tile of rows lists the columns it uses once, and a round sends each tile only those
-  factor rows, at most ``min(cells, tiles × columns)`` of them;
+  *routed*: each tile lists the columns it uses once, and a round sends each tile only those factor rows;
+* routed tiles are cut both ways, into row blocks × column blocks. A column is used by one tile of each row block, a row by
+  one of each column block, so a round moves at most ``row blocks × columns`` factor rows and column sums, and ``column
+  blocks × rows`` partial scores there and back. ``column_blocks`` takes the cut that moves least: about √tiles blocks
+  either way where rows and columns are as many, one column block where rows are far more;
 * rows with more than ``hot_over`` cells are spread over several tiles; their partial scores are
   added up in a table of at most ``cells / hot_over`` rows and sent back;
 * the layout is persisted in memory and on disk, and a lost executor's part is rebuilt from its source.
@@ -22,12 +25,12 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..cells import Shape
+from ..cells import Shape, measure
 from ..functions.exprs import names, sums_of_products, with_numbers
 from ..operators.joins import HOT_CELLS, hot_keys
 
 Cells = DataFrame | Sequence[DataFrame]
-from ..session import broadcast_limit, fits_broadcast, settings
+from ..session import broadcast_limit, cut_lineage, fits_broadcast, settings
 
 CELL_BYTES = 32
 PARTITION_BYTES = 256 * 1024 * 1024
@@ -39,12 +42,24 @@ def partition_count(df: DataFrame, nnz: int) -> int:
     return max(df.sparkSession.sparkContext.defaultParallelism, wanted)
 
 
+def column_blocks(tiles: int, shape: Shape) -> int:
+    """Into how many column blocks ``tiles`` are cut, so that a round moves the fewest rows.
+
+    With ``b`` column blocks there are ``tiles / b`` row blocks: at most ``tiles / b · D`` factor rows and as many column sums travel
+    (never more than cells), and, unless b is 1, ``b · N`` partial scores there and back.
+    """
+    def moved(b: int) -> float:
+        return 2 * min(shape.nnz, tiles // b * shape.n_cols) + (2 * min(shape.nnz, b * shape.n_rows) if b > 1 else 0)
+
+    return min((1 << e for e in range(max(1, tiles).bit_length())), key=moved)
+
+
 def tables(cells: Cells) -> list[DataFrame]:
     return [cells] if isinstance(cells, DataFrame) else list(cells)
 
 
 class RowLayout:
-    """Persisted cells, placed by row, for factors of up to ``width`` components."""
+    """Persisted cells, placed by row, for factors of up to ``width`` components; without those that ``mask`` lists."""
 
     def __init__(
         self,
@@ -55,19 +70,26 @@ class RowLayout:
         extra_count: int = 0,
         partitions: int | None = None,
         hot_over: int | None = None,
+        blocks: int | None = None,
+        mask: DataFrame | None = None,
     ):
         self.spark = cells.sparkSession
         self.shape = shape
         self.partitions = partitions or partition_count(cells, shape.nnz + extra_count)
         self.routed = not fits_broadcast(self.spark, shape.n_cols, width)
+        self.tiles = self.partitions * TILES_PER_PARTITION
+        wanted = Shape(shape.n_rows, shape.n_cols, shape.nnz + extra_count)
+        self.blocks = (blocks or column_blocks(self.tiles, wanted)) if self.routed else 1
         self.hot = self._hot_rows(cells, extra, width, shape.nnz + extra_count, hot_over)
         self.tiled = self.routed or self.hot is not None
         self.keys = ["tile", "row_id"] if self.tiled else ["row_id"]
-        self.cells = (
-            self.place(cells.selectExpr("row_id", "col_id", "coalesce(value, 0D) AS value"))
-            .sortWithinPartitions(*self.keys)
-            .persist(StorageLevel.MEMORY_AND_DISK)
-        )
+        placed = self.place(cells.selectExpr("row_id", "col_id", "coalesce(value, 0D) AS value"))
+        if mask is not None:
+            # Masked coordinates are placed alike, so taking them out moves no cell again.
+            hidden = self.place(mask.selectExpr("row_id", "cast(col_id AS int) AS col_id", "0D AS value")).drop("value")
+            placed = placed.join(hidden, [*self.keys, "col_id"], "left_anti")
+        with settings(self.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
+            self.cells = placed.sortWithinPartitions(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
         self._extra = extra
         self._routes: DataFrame | None = None
         self._held: list[DataFrame] = []
@@ -90,12 +112,14 @@ class RowLayout:
         """Partition a cell table the way the layout is partitioned."""
         if not self.tiled:
             return cells.repartition(self.partitions, "row_id")
-        tiles = self.partitions * TILES_PER_PARTITION
-        tile = f"pmod(xxhash64(row_id), {tiles})"
+        rows = max(1, self.tiles // self.blocks)
+        tile = f"pmod(xxhash64(row_id), {rows})"
         if self.hot is not None:
-            # A hot row takes ``spread`` tiles in turn, by column.
+            # A hot row takes ``spread`` row blocks in turn, by column.
             cells = cells.join(F.broadcast(self.hot), "row_id", "left")
-            tile = f"pmod({tile} + coalesce(pmod(xxhash64(col_id), spread), 0), {tiles})"
+            tile = f"pmod({tile} + coalesce(pmod(xxhash64(col_id), spread), 0), {rows})"
+        if self.blocks > 1:
+            tile = f"{tile} * {self.blocks} + pmod(hash(col_id), {self.blocks})"
         return cells.selectExpr(
             "row_id", "col_id", "value", f"cast({tile} AS int) AS tile"
         ).repartition(self.partitions, "tile")
@@ -149,7 +173,11 @@ class RowLayout:
                 *self.keys, *[f"coalesce({x}, 0D) + coalesce(more_{x}, 0D) AS {x}" for x in xs]
             )
         moved = [f"coalesce({x}, 0D) - _s[{j}] AS {x}" for j, x in enumerate(xs)]
-        if self.hot is not None:
+        if self.blocks > 1:
+            # A row lies in one tile of each column block: its parts are added up, and the sums go back to these tiles.
+            total = part.groupBy("row_id").agg(F.collect_list("tile").alias("tiles"), *[F.sum(x).alias(x) for x in xs])
+            part = total.select(F.explode("tiles").alias("tile"), "row_id", *xs).repartition(self.partitions, "tile")
+        elif self.hot is not None:
             part = self._keep(part)
             total = (
                 part.join(F.broadcast(self.hot), "row_id", "left_semi")
@@ -208,3 +236,16 @@ class RowLayout:
 
     def __exit__(self, *_exc) -> None:
         self.close()
+
+
+def routed_scores(cells: DataFrame, factor: DataFrame, width: int, n_cols: int) -> DataFrame:
+    """``(row_id, x_0 …)``: ``y·f`` for one factor ``(col_id, f_*)`` that is too large for a broadcast; worked out now.
+
+    The cells are placed by row once. Each tile lists its columns, the factor rows that it uses travel to it, and scores are
+    added up in place.
+    """
+    with RowLayout(cells, measure(cells, None, n_cols), width, blocks=1) as layout, layout.planning():
+        scores = layout.scores(layout.cells, factor, width, [0.0] * width).drop("tile")
+        if layout.hot is not None:
+            scores = scores.dropDuplicates(["row_id"])  # a hot row has its sums in each of its tiles
+        return cut_lineage(scores)

@@ -9,7 +9,7 @@ from factorloom.operators.starts import random_factor
 from factorloom.plans.em import Gaps
 from factorloom.plans.layout import RowLayout
 from factorloom.plans.sketch import profile_columns
-from factorloom.session import cut_lineage
+from factorloom.session import cut_lineage, settings
 
 
 def centred(dense):
@@ -305,6 +305,82 @@ def test_a_masked_round_does_not_shuffle_observed_cells(spark, limit, hot_over):
         spark.conf.unset("spark.factorloom.broadcastBytes")
 
 
+@pytest.mark.parametrize("hot_over", [None, 30], ids=["plain", "hot rows"])
+def test_a_round_over_two_dimensional_tiles(spark, hot_over):
+    """Row blocks × column blocks: the pass equals the dense product, and no exchange has more rows than the blocks allow."""
+    n, d = 60, 50
+    dense = low_rank(n=n, d=d, density=1.0)
+    cells = to_cells(spark, dense)
+    with settings(spark, spark__factorloom__broadcastBytes="1", spark__sql__autoBroadcastJoinThreshold="-1"):
+        profile = profile_columns(cells)
+        matrix = np.random.default_rng(0).normal(size=(d, 2))
+        factor = cut_lineage(factor_frame(spark, matrix).withColumnsRenamed({"c_0": "f_0", "c_1": "f_1"}))
+        with RowLayout(cells, profile.shape, 2, partitions=2, blocks=4, hot_over=hot_over) as layout:
+            rows = layout.tiles // layout.blocks
+            assert (layout.tiles, rows) == (16, 4)
+            used = layout.routes.groupBy("col_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+            assert used[0] <= rows and used[1] <= rows * d
+            with layout.planning():
+                scores = layout.scores(layout.cells, factor, 2, [0.1, 0.2], hold=True)
+                crossed = layout.cross(layout.cells, scores, 2)
+                got = np.array([list(r)[1:] for r in sorted(crossed.collect())])
+                copies = scores.groupBy("row_id").agg(F.count("*").alias("n"), F.max("x_0").alias("x")).collect()
+            moved = exchanged_rows(crossed)
+            np.testing.assert_allclose(got, dense.T @ (dense @ matrix - [0.1, 0.2]), rtol=1e-9, atol=1e-8)
+            assert len(copies) == n and (hot_over or max(r["n"] for r in copies) <= layout.blocks)
+            assert max(moved) <= max(rows * d, (rows if hot_over else 1) * layout.blocks * n) < dense.size
+
+
+@pytest.mark.parametrize("hot_over", [None, 4], ids=["plain", "hot rows"])
+def test_projection_beyond_the_broadcast_limit_moves_cells_once(spark, hot_over, monkeypatch):
+    """Cells are placed by row; then only lists of columns and factor rows travel."""
+    from factorloom.operators import products
+    from factorloom.plans import layout as layouts
+
+    dense = low_rank(n=300, d=12, density=1.0)
+    dense[:, 5] = 0
+    cells = to_cells(spark, dense)
+    matrix = np.random.default_rng(0).normal(size=(12, 2))
+    if hot_over:
+        monkeypatch.setattr(layouts, "HOT_CELLS", hot_over)
+    plans, keep = [], layouts.cut_lineage
+    monkeypatch.setattr(layouts, "cut_lineage", lambda df: plans.append(df) or keep(df))
+    with settings(spark, spark__factorloom__broadcastBytes="1", spark__sql__autoBroadcastJoinThreshold="-1"):
+        scores = products.project_rows(cells, factor_frame(spark, matrix), 12)
+        got = {r["row_id"]: (r["x_0"], r["x_1"]) for r in scores.collect()}
+        assert scores.count() == 300
+    np.testing.assert_allclose([got[i] for i in range(300)], dense @ matrix, rtol=1e-9, atol=1e-9)
+    assert len(plans) == 1
+
+
+def test_mask_is_taken_out_where_cells_lie(spark):
+    """One exchange of cells for layout and mask together; the mask travels to the cells."""
+    dense = low_rank(n=200, d=12, density=1.0)
+    cells = to_cells(spark, dense)
+    mask = cells.filter("pmod(row_id * 12 + col_id, 11) = 0").select("row_id", "col_id")
+    extra = spark.createDataFrame([(5, 3), (199, 0), (900, 1)], "row_id long, col_id int")
+    mask = mask.unionByName(extra).distinct()
+    expected = sorted(map(tuple, cells.join(mask, ["row_id", "col_id"], "left_anti").collect()))
+    for limit, hot_over in ((None, None), ("1", None), ("1", 4), (None, 4)):
+        with settings(spark, spark__factorloom__broadcastBytes=limit or "268435456", spark__sql__autoBroadcastJoinThreshold="-1"):
+            shape = profile_columns(cells).shape
+            with RowLayout(cells, shape, 2, mask=mask, hot_over=hot_over, partitions=3) as layout:
+                assert sorted(map(tuple, layout.cells.select("row_id", "col_id", "value").collect())) == expected
+                text = layout.cells._jdf.queryExecution().executedPlan().toString()
+                assert text.count("Exchange hashpartitioning") == 2  # of the cells, and of the mask
+
+
+def test_column_blocks_move_least():
+    from factorloom.cells import Shape
+    from factorloom.plans.layout import column_blocks
+
+    assert column_blocks(1024, Shape(10**6, 10**6, 10**9)) == 32  # the square root
+    assert column_blocks(1024, Shape(10**9, 10**6, 10**11)) == 1  # rows are far more
+    assert column_blocks(1024, Shape(10**9, 10**6, 10**13)) == 1
+    assert column_blocks(65_536, Shape(10**8, 10**7, 10**13)) == 64
+    assert column_blocks(1024, Shape(10**6, 10**6, 10**6)) == 1  # fewer cells than any copies
+
+
 def exchanged_rows(df):
     """Rows written by each exchange of the plan that ran, outside of what was persisted before."""
     found = []
