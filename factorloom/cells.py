@@ -6,8 +6,13 @@ a coordinate listed in a mask is missing (see ``operators.masks``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -101,6 +106,45 @@ def dense_ids(df: DataFrame, column: str, out: str = "dense_id") -> DataFrame:
     return F.broadcast(ids) if fits else ids
 
 
+def dense_ranks(df: DataFrame, column: str, out: str, order: Sequence[str] = ()) -> DataFrame:
+    """``df`` with ``out``: the place of ``column`` among its distinct values, 0, 1, 2 …; rows without a value are left out.
+
+    Rows are range-partitioned by ``column`` and the columns of ``order``, so that a value with very many rows takes several partitions,
+    and are sorted there. Each partition numbers its values from 0, which is stored; one row per partition then says where its
+    numbers begin. A value that goes on from the partition before keeps its number. Nothing is joined by value.
+    """
+    schema = T.StructType([*df.schema, T.StructField("_part", T.IntegerType()), T.StructField("_pos", T.LongType())])
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, pos = TaskContext.get().partitionId(), None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = batch.column(column)
+            new = np.ones(batch.num_rows, bool)
+            new[0] = pos < 0 or values[0].as_py() != last
+            new[1:] = pc.not_equal(values[1:], values[:-1]).to_numpy(zero_copy_only=False)
+            places = pos + np.cumsum(new)
+            last, pos = values[-1].as_py(), int(places[-1])
+            parts = pa.array(np.full(batch.num_rows, part, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, parts, pa.array(places)], [*batch.schema.names, "_part", "_pos"])
+
+    keys = [column, *order]
+    placed = df.filter(F.col(column).isNotNull()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    numbered = cut_lineage(placed.mapInArrow(number, schema))
+    ends = numbered.groupBy("_part").agg(
+        F.min(column).alias("_first"), F.max(column).alias("_last"), (F.max("_pos") + 1).alias("_n")
+    )
+    # One row per partition from here on.
+    in_turn = Window.orderBy("_part")
+    goes_on = F.coalesce((F.lag("_last").over(in_turn) == F.col("_first")).cast("int"), F.lit(0))
+    adds = ends.withColumn("_joins", goes_on).withColumn("_adds", F.col("_n") - F.col("_joins"))
+    before = in_turn.rowsBetween(Window.unboundedPreceding, -1)
+    starts = adds.select("_part", (F.coalesce(F.sum("_adds").over(before), F.lit(0)) - F.col("_joins")).alias("_start"))
+    found = numbered.join(F.broadcast(starts), "_part")
+    return found.select(*df.columns, (F.col("_start") + F.col("_pos")).alias(out))
+
+
 def pack(cells: DataFrame, chunk_cols: int = 65536) -> DataFrame:
     """``(row_id, chunk, idx, val)``: cells of a row as sorted arrays.
 

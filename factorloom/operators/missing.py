@@ -13,6 +13,10 @@ from .joins import with_columns_of, with_rows_of
 from .products import width_of
 
 
+# Columns that are made at once: no array is longer, however many columns a matrix has.
+COLUMN_BLOCK = 65_536
+
+
 def fill_missing_init(missing: DataFrame, mean: DataFrame, n_cols: int, seed: int | str) -> DataFrame:
     """First values: the column mean, or a number 0 … 4 from the digest where the mean is 0."""
     small = F.pmod(word(digest(seed, "row_id", "col_id"), 0), F.lit(5)).cast("double")
@@ -74,11 +78,9 @@ def center_cells(cells: DataFrame, mean: DataFrame, n_cols: int) -> DataFrame:
 def center_rows(cells: DataFrame, rows: DataFrame, mean: DataFrame, n_cols: int) -> DataFrame:
     """``y - m`` at all columns of the given ``rows(row_id)``; meant for a sample of rows.
 
-    The result has ``n_cols`` cells a row, made row by row from the column numbers.
+    The result has ``n_cols`` cells a row, made block by block from the column numbers.
     """
-    spread = rows.select(
-        "row_id", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("col_id")
-    )
+    spread = all_columns(rows, n_cols)
     data = cells.join(rows, "row_id", "left_semi").select("row_id", "col_id", F.col("value").alias("_v"))
     full = with_columns_of(spread, mean, n_cols).join(data, ["row_id", "col_id"], "left")
     return full.select(
@@ -86,6 +88,15 @@ def center_rows(cells: DataFrame, rows: DataFrame, mean: DataFrame, n_cols: int)
     )
 
 
+def all_columns(rows: DataFrame, n_cols: int, block: int = COLUMN_BLOCK) -> DataFrame:
+    """``(row_id, col_id)`` for every column of each row: first its blocks of columns, then the columns of a block."""
+    blocks = F.sequence(F.lit(0), F.lit(max(n_cols - 1, 0) // block))
+    first = F.col("_b") * block
+    inside = F.sequence(first, F.least(first + block, F.lit(n_cols)) - 1)
+    spread = rows.select("row_id", F.explode(blocks).alias("_b")).select("row_id", F.explode(inside).alias("col_id"))
+    return spread if n_cols > 0 else spread.limit(0)
+
+
 def sample_rows(cells: DataFrame, rate: float, seed: int | str) -> DataFrame:
     """Keep whole rows, each with probability ``1 - rate``."""
     return cells.filter(uniform(digest(seed, "row_id")) > F.lit(float(rate)))

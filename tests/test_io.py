@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from factorloom.cells import dense_ids, measure, pack, row_spine, unpack
 from factorloom.operators.masks import apply_mask, mask_cells
-from factorloom.session import shared_dir
+from factorloom.session import settings, shared_dir
 from factorloom.sinks import tables as out_tables
 from factorloom.sinks.text import write_matrix
 from factorloom.sources import tables as in_tables
@@ -215,3 +215,51 @@ def test_fractions_of_a_percent(spark):
     cells = spark.range(1000).selectExpr("id AS row_id", "0 AS col_id", "1D AS value")
     for percent, n in ((0.5, 5), (33.9, 339), ("0.1", 1), (0, 0), (100, 1000), (99.99, 999)):
         assert mask_cells(cells, percent, 1).count() == n
+
+
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_dense_ranks_split_a_hot_row(spark, partitions):
+    """A row with a third of all cells takes several partitions, and rows keep their places across partition ends."""
+    from factorloom import cells as tables
+
+    cells = spark.range(9000).selectExpr("if(id % 3 = 0, 500L, 3 * (id % 400) - 200) AS row_id", "cast(id AS int) AS col_id", "id * 1D AS value")
+    cells = cells.unionByName(spark.createDataFrame([(None, 1, 1.0)], cells.schema))
+    seen, keep = [], tables.cut_lineage
+    small = {"spark__sql__shuffle__partitions": str(partitions), "spark__sql__adaptive__coalescePartitions__enabled": "false", "spark__sql__execution__arrow__maxRecordsPerBatch": "100"}
+    with settings(spark, **small):
+        tables.cut_lineage = lambda df: seen.append(keep(df)) or seen[-1]
+        try:
+            found = sorted(map(tuple, in_text.renumber_rows(cells).collect()))
+        finally:
+            tables.cut_lineage = keep
+    rows = sorted(map(tuple, cells.filter("row_id is not null").collect()))
+    numbers = {r: k for k, r in enumerate(sorted({r[0] for r in rows}))}
+    assert found == [(numbers[r[0]], *r[1:]) for r in rows]
+    sizes = [r["n"] for r in seen[0].groupBy("_part").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == partitions and max(sizes) < 9000 / partitions * 1.5
+    assert in_text.renumber_rows(cells.limit(0)).count() == 0
+
+
+def test_line_numbers_outlast_other_settings(spark, tmp_path):
+    """The session's settings stay as they are, and numbers hold when they change between making a table and running it."""
+    lines = [f"line {k} " + "x" * (k % 50) for k in range(4000)]
+    for n in range(3):
+        (tmp_path / f"part-{n}.txt").write_text("\n".join(lines[n * 1000 : (n + 1) * 1000 + (n == 2) * 1000]) + "\n")
+    key = "spark.sql.files.minPartitionNum"
+    assert spark.conf.get(key, None) is None
+    found = []
+    for made, run in ((None, "7"), ("2", "40"), ("40", None)):
+        with settings(spark, **({"spark__sql__files__minPartitionNum": made} if made else {})):
+            numbered = in_text.read_lines(spark, str(tmp_path))
+        with settings(spark, **({"spark__sql__files__minPartitionNum": run, "spark__sql__files__maxPartitionBytes": "4096"} if run else {})):
+            found.append(sorted((r["line_no"], r["value"]) for r in numbered.collect()))
+    assert spark.conf.get(key, None) is None
+    assert found[0] == found[1] == found[2] == list(enumerate(lines))
+
+
+def test_columns_are_made_in_blocks(spark):
+    from factorloom.operators.missing import all_columns
+
+    rows = spark.createDataFrame([(3,), (9,)], "row_id long")
+    for n_cols, block in ((10, 4), (12, 4), (1, 4), (0, 4), (5, 100)):
+        assert sorted(map(tuple, all_columns(rows, n_cols, block).collect())) == [(i, j) for i in (3, 9) for j in range(n_cols)]
