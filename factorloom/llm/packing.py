@@ -1,7 +1,7 @@
 """Packing of token ids into windows by the sum-of-squares rule.
 
 Texts are encoded where they are read. What fills whole windows is done with then; of the rest only length and checksum go on,
-to groups of some ten thousand documents, in which the rule places them. So a task holds numbers, never ids. Windows that stay
+to groups of a hundred thousand documents, in which the rule places them. So a task holds numbers, never ids. Windows that stay
 open are poured together, which cuts a few rests; these texts alone are encoded again for the checksums of their pieces.
 """
 
@@ -25,7 +25,7 @@ from .tokens import ID, KEPT_PARTS, encoder
 
 WINDOW = 2048
 #: Documents that are packed together, about, and windows that may be open before they are poured.
-GROUP_DOCS, MOST_OPEN = 20_000, 8192
+GROUP_DOCS, MOST_OPEN = 100_000, 8192
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 Piece = tuple[int, int, int]  # document's number, start, length
 
