@@ -24,7 +24,7 @@ from .common import Batches, groups, slices, stored
 from .tokens import BYTE_CHARS, ID, LONGEST_PART, encoder
 
 #: Parts that each of the two encoders of a worker remembers, and id pairs that a task counts before it passes them on.
-KEPT_PARTS = 400_000
+KEPT_PARTS = 300_000
 KEPT_PAIRS = 2_000_000
 SPACE = "▁"
 _PIECES: dict[tuple, PieceEncoder] = {}
