@@ -20,7 +20,7 @@ GOOD_FROM = 0.5
 SHINGLE, RADIUS = 3, 2
 END_ID = 1
 #: Less than packing alone remembers, as workers live on through the stages of the next run.
-KEPT_PARTS = 250_000
+KEPT_PARTS = 60_000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
