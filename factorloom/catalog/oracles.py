@@ -268,3 +268,40 @@ def residual(t: str, rounds: int) -> str:
 rv{r} AS MATERIALIZED (SELECT sqrt({e['l0']}) AS s0 FROM rh{r})"""
         )
     return ",\n".join(parts)
+
+
+def wide_subspace(t: str, rounds: int) -> str:
+    """Subspace iteration with three seeded columns; ``ws{rounds}`` is the last table, ``wv(sigma)`` its second singular value.
+
+    A round is ``x = Yc·C``, ``C' = (Ycᵀx)·L⁻ᵀ`` with ``L·Lᵀ = xᵀx``, columns being solved for one after the other.
+    """
+    n = f"(SELECT n FROM {t}_n)"
+    parts = [f"ws0 AS MATERIALIZED (SELECT col_id, m, {', '.join(f'{gauss(j)} AS c_{j}' for j in range(3))} FROM {t}_mean)"]
+    pairs = [(i, j) for i in range(3) for j in range(i + 1)]
+    for r in range(rounds):
+        products = ", ".join(f"sum(x_{i} * x_{j}) + ({n} - count(*)) * max(b_{i} * b_{j}) AS z{i}{j}" for i, j in pairs)
+        parts += [
+            f"wb{r} AS (SELECT {', '.join(f'sum(m * c_{j}) AS b_{j}' for j in range(3))} FROM ws{r})",
+            f"wx{r} AS MATERIALIZED (SELECT v.row_id, {', '.join(f'sum(v.value * g.c_{j}) - max(b_{j}) AS x_{j}' for j in range(3))} "
+            f"FROM {t} v JOIN ws{r} g USING (col_id), wb{r} GROUP BY 1)",
+            f"wz{r} AS MATERIALIZED (SELECT {products} FROM wx{r}, wb{r})",
+            f"wk{r} AS (SELECT *, sqrt(z00) AS l00, z10 / sqrt(z00) AS l10, z20 / sqrt(z00) AS l20 FROM wz{r})",
+            f"wm{r} AS (SELECT *, sqrt(z11 - l10 * l10) AS l11, (z21 - l20 * l10) / sqrt(z11 - l10 * l10) AS l21 FROM wk{r})",
+            f"wl{r} AS MATERIALIZED (SELECT *, sqrt(z22 - l20 * l20 - l21 * l21) AS l22 FROM wm{r})",
+            f"wy{r} AS (SELECT v.col_id, {', '.join(f'sum(v.value * x.x_{j}) AS y_{j}' for j in range(3))} FROM {t} v JOIN wx{r} x USING (row_id) GROUP BY 1)",
+            f"wc{r} AS (SELECT g.col_id, g.m, {', '.join(f'coalesce(y_{j}, 0.0) AS y_{j}' for j in range(3))} FROM ws{r} g LEFT JOIN wy{r} USING (col_id))",
+            f"wd{r} AS (SELECT wc{r}.*, wl{r}.*, y_0 / l00 AS c_0 FROM wc{r}, wl{r})",
+            f"we{r} AS (SELECT *, (y_1 - l10 * c_0) / l11 AS c_1 FROM wd{r})",
+            f"ws{r + 1} AS MATERIALIZED (SELECT col_id, m, c_0, c_1, (y_2 - l20 * c_0 - l21 * c_1) / l22 AS c_2 FROM we{r})",
+        ]
+    # Eigenvalues of a symmetric 3×3 matrix by the cosine formula; the one between the others is the trace less both.
+    parts += [
+        f"wg AS (SELECT {', '.join(f'sum(c_{i} * c_{j}) AS h{i}{j}' for i, j in pairs)} FROM ws{rounds})",
+        "wq AS (SELECT *, (h00 + h11 + h22) / 3 AS q FROM wg)",
+        "wp AS (SELECT *, sqrt(((h00 - q) * (h00 - q) + (h11 - q) * (h11 - q) + (h22 - q) * (h22 - q) + 2 * (h10 * h10 + h20 * h20 + h21 * h21)) / 6) AS p FROM wq)",
+        "wt AS (SELECT *, ((h00 - q) * ((h11 - q) * (h22 - q) - h21 * h21) - h10 * (h10 * (h22 - q) - h21 * h20) "
+        "+ h20 * (h10 * h21 - (h11 - q) * h20)) / (2 * p * p * p) AS u FROM wp)",
+        "wa AS (SELECT *, acos(greatest(-1.0, least(1.0, u))) / 3 AS phi FROM wt)",
+        "wv AS MATERIALIZED (SELECT sqrt(q - 2 * p * cos(phi) - 2 * p * cos(phi + 2 * pi() / 3)) AS sigma FROM wa)",
+    ]
+    return ",\n".join(parts)

@@ -5,6 +5,7 @@ A query is ``(spark, sf_dir) -> DataFrame``; ``@register(name, sql)`` collects b
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -307,6 +308,33 @@ def q_write_coo(spark, sf_dir):
     return out_text.coo_lines(fx.customer_parts(spark, sf_dir))
 
 
+@register("write_dense_file", sql.query("b", "", "SELECT row_id, col_id, value FROM b WHERE value <> 0"))
+def q_write_dense_file(spark, sf_dir):
+    """Dense text written row by row and read back."""
+    shape, path = fx.customer_parts_shape(spark, sf_dir), fresh_path(spark, "dense")
+    cells = fx.customer_parts(spark, sf_dir)
+    first = row_spine(spark, 0, shape.n_rows)
+    out_text.write_matrix(cells, path, "dense", first, shape.n_cols)
+    return in_text.parse_dense(in_text.read_lines(spark, path, skip_blank=False)).filter("value <> 0")
+
+
+@register(
+    "write_lil_file",
+    sql.query(
+        "b",
+        "",
+        "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS line_no, "
+        "'{' || coalesce(string_agg(col_id || ':' || value, ',' ORDER BY col_id), '') || '}' AS value "
+        "FROM customer LEFT JOIN b ON row_id = c_custkey GROUP BY c_custkey",
+    ),
+)
+def q_write_lil_file(spark, sf_dir):
+    """List text written row by row and read back."""
+    shape, path = fx.customer_parts_shape(spark, sf_dir), fresh_path(spark, "lil")
+    out_text.write_matrix(fx.customer_parts(spark, sf_dir), path, "lil", fx.customers(spark, shape))
+    return in_text.read_lines(spark, path).select("line_no", "value")
+
+
 SCORES_B = sql.query("b", sql.spine("b") + ",\n" + sql.fixed("b") + ",\n" + sql.scores("b"), "SELECT row_id, x_0, x_1 FROM x")
 
 
@@ -981,14 +1009,35 @@ def q_recon_error(spark, sf_dir):
     return rounded(scalars(spark, error=found.error))
 
 
-@register("recon_error_full", None)
+@register(
+    "recon_error_full",
+    sql.query(
+        "a",
+        sql.residual("a", 2) + ",\n" + sql.wide_subspace("a", 2),
+        f"SELECT {R('(s0 - sigma) / sigma', 4)} AS error, {R('sigma', 4)} AS sigma, {R('s0', 4)} AS residual FROM rv1, wv",
+    ),
+)
 def q_recon_error_full(spark, sf_dir):
     """With σ(k+1) computed by subspace iteration on the same layout."""
     shape = fx.user_events_shape(spark, sf_dir)
-    cells = fx.user_events(spark, sf_dir)
-    basis = _fit_events(spark, sf_dir, 4).basis()
-    found = recon_error(cells, basis, subsample=2, q=4, n_rows=shape.n_rows, n_cols=shape.n_cols)
-    return scalars(spark, error=found.error, sigma=found.sigma, residual=found.residual.value)
+    found = recon_error(
+        fx.user_events(spark, sf_dir), unit_direction(spark, shape), subsample=1, q=2, precision=9,
+        n_rows=shape.n_rows, n_cols=shape.n_cols,
+    )
+    return rounded(scalars(spark, error=found.error, sigma=found.sigma, residual=found.residual.value), 4)
+
+
+@register("cap_k", sql.query("a", "", "SELECT d - 1 AS k, d AS n_cols FROM a_n"))
+def q_cap_k(spark, sf_dir):
+    """As many components as columns: one less is fitted."""
+    shape = fx.user_events_shape(spark, sf_dir)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        model = PPCA(shape.n_cols, max_iter=1, start_dist="fixed").fit(
+            fx.user_events(spark, sf_dir), n_rows=shape.n_rows, n_cols=shape.n_cols
+        )
+    sizes = model.factor.agg(F.count("*").alias("n_cols"))
+    return sizes.select(F.lit(products.width_of(model.factor, "c")).cast("long").alias("k"), "n_cols")
 
 
 @register(

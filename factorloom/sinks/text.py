@@ -1,6 +1,7 @@
 """Matrices as text lines: dense, list of lists, coordinates.
 
-A line of dense or list text holds a whole row and so is one record by its format.
+A line of dense or list text holds a whole row. ``dense_lines`` and ``lil_lines`` make such lines as values; ``write_matrix``
+streams them to files cell by cell (see ``sinks.stream``), so a row may be longer than any memory.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .stream import write_rows
+
 
 def _rows(cells: DataFrame, spine: DataFrame) -> DataFrame:
     """``(row_id, _e)`` with the sorted non-zero entries of each row, empty rows included."""
@@ -62,14 +65,10 @@ def write_matrix(
             "row_id", "col_id"
         ).select("line").write.text(path)
         return
+    if fmt not in ("dense", "lil"):
+        raise ValueError(f"unknown format {fmt!r}: use dense, lil or coo")
     if spine is None:
         raise ValueError("dense and list text need the row spine")
-    if fmt == "dense":
-        if n_cols is None:
-            raise ValueError("dense text needs n_cols")
-        lines = dense_lines(cells, spine, n_cols)
-    elif fmt == "lil":
-        lines = lil_lines(cells, spine)
-    else:
-        raise ValueError(f"unknown format {fmt!r}: use dense, lil or coo")
-    lines.repartitionByRange("row_id").sortWithinPartitions("row_id").select("line").write.text(path)
+    if fmt == "dense" and n_cols is None:
+        raise ValueError("dense text needs n_cols")
+    write_rows(cells, path, fmt, spine, n_cols)

@@ -263,3 +263,42 @@ def test_columns_are_made_in_blocks(spark):
     rows = spark.createDataFrame([(3,), (9,)], "row_id long")
     for n_cols, block in ((10, 4), (12, 4), (1, 4), (0, 4), (5, 100)):
         assert sorted(map(tuple, all_columns(rows, n_cols, block).collect())) == [(i, j) for i in (3, 9) for j in range(n_cols)]
+
+
+def test_a_long_row_is_streamed(spark, tmp_path, monkeypatch):
+    """A row of 10^7 columns goes to its line in batches; no piece of text is longer than a batch."""
+    import pyarrow as pa
+
+    from factorloom.sinks import stream
+
+    n_cols = 10**7
+    text = stream.RowText(True, n_cols)
+    longest = total = 0
+    for k in range(0, 100_000, 10_000):
+        cols = pa.array([j * 100 for j in range(k, k + 10_000)], pa.int32())
+        batch = pa.RecordBatch.from_arrays([pa.array([4] * 10_000, pa.int64()), cols, pa.array(["1.5"] * 10_000)], ["row_id", "col_id", "text"])
+        for piece in text.pieces(batch):
+            longest, total = max(longest, len(piece)), total + len(piece)
+    total += sum(map(len, text.end_row()))
+    assert longest <= 4 * stream._ZEROS and total == 4 * n_cols + 1
+
+    cells = spark.range(50_000).selectExpr("if(id % 2 = 0, 1L, 3 + id % 5) AS row_id", "cast(id * 200 AS int) AS col_id", "id + 0.5D AS value")
+    cells = cells.withColumn("col_id", F.expr("cast(col_id % 10000000 AS int)"))
+    path = str(tmp_path / "lil")
+    write_matrix(cells, path, "lil", spark.range(9).withColumnRenamed("id", "row_id"))
+    lines = [x for p in sorted((tmp_path / "lil").glob("part-*")) for x in p.read_text().splitlines()]
+    assert len(lines) == 9 and lines[0] == lines[2] == lines[8] == "{}"
+    expected = {r["row_id"]: [] for r in cells.select("row_id").distinct().collect()}
+    for r in cells.sort("row_id", "col_id").collect():
+        expected[r["row_id"]].append(f"{r['col_id']}:{r['value']}")
+    assert all(lines[i] == "{" + ",".join(own) + "}" for i, own in expected.items())
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    cells = spark.range(100).selectExpr("id AS row_id", "cast(id AS int) AS col_id", "if(id = 70, raise_error('stop'), 1D) AS value")
+    with pytest.raises(Exception, match="stop"):
+        write_matrix(cells, str(tmp_path / "out"), "dense", spark.range(100).withColumnRenamed("id", "row_id"), 100)
+    assert not list((tmp_path / "out").glob("*")) if (tmp_path / "out").exists() else True
+    (tmp_path / "there").mkdir()
+    with pytest.raises(FileExistsError):
+        write_matrix(cells, str(tmp_path / "there"), "lil", spark.range(3).withColumnRenamed("id", "row_id"))
