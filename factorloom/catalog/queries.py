@@ -867,6 +867,17 @@ def q_ppca_fit(spark, sf_dir):
     return rounded(model.factor).withColumn("variance", F.round(F.lit(model.variance), 4))
 
 
+@register("ppca_fit_resumed", sql.query("a", sql.em("a", 3), LOADINGS.format(r=3)))
+def q_ppca_fit_resumed(spark, sf_dir):
+    """Stopped after two rounds, then taken up from what was saved."""
+    shape, path = fx.user_events_shape(spark, sf_dir), fresh_path(spark, "fit")
+    for rounds in (2, 3):
+        model = PPCA(2, max_iter=rounds, start_dist="fixed", state_path=path).fit(
+            fx.user_events(spark, sf_dir), n_rows=shape.n_rows, n_cols=shape.n_cols
+        )
+    return rounded(model.factor).withColumn("variance", F.round(F.lit(model.variance), 4))
+
+
 @register(
     "ppca_fit_parts",
     sql.query("b", sql.em("b", 2), f"SELECT col_id, {R('c_0', 5)} AS c_0, {R('c_1', 5)} AS c_1, {R('ss')} AS variance FROM st2, ss2"),

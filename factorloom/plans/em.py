@@ -38,6 +38,7 @@ from ..operators.stats import centered_sq
 from ..session import cut_lineage
 from ..sinks.tables import RunStats, write_factor_round
 from .layout import RowLayout
+from .resume import SavedRound, last_round, save_round
 from .sketch import (
     Profile,
     cap_components,
@@ -152,6 +153,7 @@ class PPCA:
     mean_over    'rows' or 'observed': what the first column means of a masked matrix divide by
     rounding     'none' or 'ceil' for imputed values
     write_basis  path for the orthonormal basis of each round
+    state_path   path for the state after each round; a fit goes on from the last complete round that it finds there
     """
 
     def __init__(
@@ -168,6 +170,7 @@ class PPCA:
         mean_over: str = "rows",
         rounding: str = "none",
         write_basis: str | None = None,
+        state_path: str | None = None,
         partitions: int | None = None,
         hot_over: int | None = None,
     ):
@@ -191,6 +194,7 @@ class PPCA:
         self.mean_over = mean_over
         self.rounding = rounding
         self.write_basis = write_basis
+        self.state_path = state_path
         self.partitions = partitions
         self.hot_over = hot_over
 
@@ -251,7 +255,8 @@ class PPCA:
                 model = self._rounds(layout, profile, k, start, stats, began, None)
         return model
 
-    def _rounds(self, layout, profile, k, start, stats, began, gaps) -> PPCAModel:
+    def _begin(self, layout, profile, k, start, stats, began, gaps) -> tuple[DataFrame, Small]:
+        """The start of the first round."""
         norm2 = None if gaps is None else gaps.norm2()
         stats.prepare_sec = time.monotonic() - began
         variance = self._start_variance()
@@ -264,9 +269,35 @@ class PPCA:
             start, variance = warm_start(found, k, profile.shape.n_rows)
             stats.sketch_sec = time.monotonic() - began
         state = start_state(profile, k, self.seed, self.start_dist, start)
-        small = first_small(profile, state, k, variance, norm2)
+        return state, first_small(profile, state, k, variance, norm2)
+
+    def _take_up(self, saved: SavedRound, profile, k, gaps) -> tuple[DataFrame, Small]:
+        """What a saved round ended with."""
+        if saved.width != k:
+            raise ValueError(f"the saved fit has {saved.width} components, not {k}")
+        if (saved.missing is None) != (gaps is None):
+            raise ValueError("the saved fit and this one differ in whether cells are missing")
+        n_cols = saved.state.count()
+        if n_cols != profile.shape.n_cols:
+            raise ValueError(f"the saved fit has {n_cols} columns, not {profile.shape.n_cols}")
+        if gaps is not None:
+            gaps.restore(saved.missing)
+        return saved.state, Small(saved.weights, saved.gram, saved.shift, saved.variance, saved.norm2)
+
+    def _rounds(self, layout, profile, k, start, stats, began, gaps) -> PPCAModel:
+        saved = last_round(layout.spark, self.state_path) if self.state_path else None
         history: list[tuple[int, str, float]] = []
-        for round_no in range(self.max_iter):
+        if saved is not None:
+            state, small = self._take_up(saved, profile, k, gaps)
+            history = saved.history
+            stats.errors += [value for _, metric, value in history if metric == "delta"]
+            stats.prepare_sec = time.monotonic() - began
+        else:
+            state, small = self._begin(layout, profile, k, start, stats, began, gaps)
+        first = 0 if saved is None else saved.round_no + 1
+        if history and self.tol is not None and history[-1][2] < self.tol:
+            first = self.max_iter  # it had ended
+        for round_no in range(first, self.max_iter):
             began = time.monotonic()
             if gaps is None:
                 done = em_step(layout, layout.cells, state, small)
@@ -279,6 +310,8 @@ class PPCA:
             if self.write_basis:
                 basis = orthonormal_basis(_loadings(state, small), small.gram)
                 write_factor_round(basis, self.write_basis, round_no)
+            if self.state_path:
+                save_round(self.state_path, round_no, state, None if gaps is None else gaps.values(), small, history)
             stats.round_sec.append(time.monotonic() - began)
             stats.errors.append(delta)
             if self.tol is not None and delta < self.tol:
@@ -346,6 +379,11 @@ class Gaps:
             .withColumn("m", F.expr(f"m_rows + g_n * g_avg / {n_rows}D"))
         )
 
+    def restore(self, values: DataFrame) -> None:
+        """Take up the values of a saved round; they belong to the same missing cells."""
+        with self.layout.planning():
+            self._store(self.layout.place(values))
+
     def values(self) -> DataFrame:
         return self.cells.select("row_id", "col_id", "value")
 
