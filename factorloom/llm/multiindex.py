@@ -12,13 +12,11 @@ from pyspark.sql import functions as F
 
 from .common import Batches, stored
 
-#: Centroids for each half, vectors that they are fitted to at most, rows of a cell that meet a query in one task.
-CENTROIDS = 24
+#: Vectors that the codebooks are fitted to at most, rows of a cell that meet a query in one task.
 FITTED = 20_000
 BLOCK_ROWS = 4096
-#: Share of all entries that a query looks at, in whole cells in order of summed distance. Vectors without structure need
-#: much for a recall of 0.9; clustered ones do with a few hundredths.
-VISITED = 0.6
+#: Queries, those with the least hashes, on which the share of entries to be seen is measured, and the recall that they must reach.
+TRIED, RECALL = 100, 0.95
 #: Queries of a cell that meet a block of entries in one task.
 QUERY_ROWS = 4096
 
@@ -50,7 +48,12 @@ class Codebooks:
         return a.argmin(1) * len(self.halves[1]) + b.argmin(1)
 
 
-def fit_codebooks(sample: np.ndarray, centroids: int = CENTROIDS, rounds: int = 12) -> Codebooks:
+def centroids_for(n: int) -> int:
+    """Centroids of a half for ``n`` entries: they grow with the fourth root, so that entries of a cell grow with the square root of n."""
+    return int(min(512, max(4, round(2.5 * n**0.25))))
+
+
+def fit_codebooks(sample: np.ndarray, centroids: int, rounds: int = 12) -> Codebooks:
     """Lloyd's rounds on each half of a bounded sample; empty centroids stay where they are."""
     halves, split = [], sample.shape[1] // 2
     for h in (sample[:, :split], sample[:, split:]):
@@ -88,21 +91,54 @@ def traverse(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, wanted: int) -> li
     return out
 
 
+def needed_shares(entries: DataFrame, ids: np.ndarray, q: np.ndarray, books: Codebooks, sizes: np.ndarray, k: int) -> np.ndarray:
+    """For each of the true ``k`` neighbours of the queries (ids, q): the share of entries that a query has seen with the neighbour's cell.
+
+    Each task keeps the nearest of a batch for each query, so what travels is bounded by the batches.
+    """
+
+    def nearest(batches: Batches) -> Batches:
+        for batch in batches:
+            own, x, cell = batch.column("id").to_numpy(), _matrix(batch.column("_v")), batch.column("cell").to_numpy()
+            if not len(own):
+                continue
+            d = (x * x).sum(1)[None, :] - 2 * q @ x.T + (q * q).sum(1)[:, None]
+            d[own[None, :] == ids[:, None]] = np.inf
+            at = np.argpartition(d, min(k, len(own)) - 1, axis=1)[:, :k]
+            row = np.repeat(np.arange(len(ids)), at.shape[1])
+            at = at.ravel()
+            some = np.isfinite(d[row, at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(row[some], pa.int32()), pa.array(d[row, at][some]), pa.array(own[at][some]), pa.array(cell[at][some])], ["query", "d", "id", "cell"]
+            )
+
+    order = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
+    found = entries.mapInArrow(nearest, "query int, d double, id long, cell int").withColumn("n", order).where(F.col("n") <= k)
+    a, b = books.distances(q)
+    total, seen = int(sizes.sum()), {}
+    for row in range(len(ids)):
+        cells = traverse(a[row], b[row], sizes, total)
+        for cell, share in zip(cells, (np.cumsum(sizes[cells]) / total).tolist(), strict=True):
+            seen[row, cell] = share
+    return np.array([seen[r["query"], r["cell"]] for r in found.select("query", "cell").collect()])
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     if not len(column):
         return np.zeros((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", visited: float = VISITED) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", visited: float | None = None) -> DataFrame:
     """query_id, rank, vec_id and score (Euclidean distance in double precision): the ``k`` nearest rows that were found.
 
     Every usable row is in the index; the codebooks come from at most FITTED rows with the least hashes. A query looks
-    at whole cells until it has seen ``visited`` of all entries and at least k + 1. Entries of a cell are dealt out to blocks of
+    at whole cells until it has seen ``visited`` of all entries and at least k + 1. Without ``visited`` that share is measured: it is
+    the least one that finds RECALL of the true neighbours of at most TRIED queries. Entries of a cell are dealt out to blocks of
     about BLOCK_ROWS, and a block meets the queries of its cell in one product, so neither a large cell nor copies of one
     vector end in one task. Ties go to the smaller vec_id; the query's own row is left out. Vectors that are null, empty,
-    zero, or hold null or non-finite components, and rows without id, take no part. Vectors must be of one length. Repeated rows are entries
-    each. Empty tables give no rows.
+    zero, or hold null or non-finite components, and rows without id, take no part. Vectors of several lengths are refused with a
+    ValueError. Repeated rows are entries each; all rows with a query's id count as its own. Empty tables give no rows.
     """
     spark = vectors.sparkSession
     base = usable(vectors, vector).select(F.col(vec_id).alias("id"), "_v").where("id is not null")
@@ -111,10 +147,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     result = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], result)
-    lengths = {len(r["_v"]) for r in sample}
-    if len(lengths) > 1:
-        raise ValueError(f"vectors of several lengths: {sorted(lengths)}")
-    books = fit_codebooks(np.array([r["_v"] for r in sample]))
+    every = base.select("_v").unionByName(asked.select(F.col("q").alias("_v"))).agg(F.min(F.size("_v")).alias("low"), F.max(F.size("_v")).alias("high"))
+    low, high = every.first()
+    if low != high:
+        raise ValueError(f"vectors of several lengths: {low} to {high}")
+    if low < 2:
+        raise ValueError("vectors need two components for two halves")
+    books = fit_codebooks(np.array([r["_v"] for r in sample]), centroids_for(base.count()))
     n_cells = len(books.halves[0]) * len(books.halves[1])
 
     def assign(batches: Batches) -> Batches:
@@ -127,6 +166,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "v
     sizes = np.zeros(n_cells, np.int64)
     for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect():
         sizes[r["cell"]] = r["n"]
+    if visited is None:
+        tried = asked.orderBy(F.xxhash64("query_id"), "query_id").limit(TRIED).collect()
+        shares = np.zeros(0)
+        if tried:
+            shares = needed_shares(entries, np.array([r["query_id"] for r in tried]), np.array([r["q"] for r in tried]), books, sizes, k)
+        visited = float(np.quantile(shares, RECALL, method="higher")) if len(shares) else 1.0
     wanted = max(k + 1, int(np.ceil(visited * sizes.sum())))
     blocks = np.maximum(1, -(-sizes // BLOCK_ROWS))
 

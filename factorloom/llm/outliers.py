@@ -17,8 +17,9 @@ GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Rule before the method: too few words, or more than so many percent of them repeated.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of a group that the estimate rests on, steps, and the least rows of a group with an estimate of its own.
-SUBSET, STEPS, LEAST_ROWS = 0.75, 4, 100
+#: Share of a group that the estimate rests on, steps, and how many rows its wider group's estimate counts for: a group of n rows
+#: weighs n / (n + PRIOR_ROWS) against it.
+SUBSET, STEPS, PRIOR_ROWS = 0.75, 4, 100
 #: Rows beyond this share of the chi-square distribution are rejected.
 INLIERS = 0.999
 #: Least standard deviations of the transformed statistics, a twentieth of the range of a share's root and less of the others:
@@ -106,12 +107,12 @@ def _distance(lower: bool) -> Column:
     return out
 
 
-def _with_factor(groups: DataFrame, scale: float) -> DataFrame:
+def _with_factor(groups: DataFrame, scale: float, floors: bool = True) -> DataFrame:
     """The Cholesky factor of each group's covariance times ``scale`` plus the floors, one column for each entry."""
     for i in range(len(X)):
         for j in range(i + 1):
             c = F.col(f"c{i}{j}") * scale
-            if i == j:
+            if i == j and floors:
                 c = F.greatest(c, F.lit(0.0)) + FLOORS[X[i]] ** 2
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
@@ -156,13 +157,37 @@ def estimates(rows: DataFrame, keys: Column, subset: float = SUBSET, steps: int
     return groups
 
 
+def shrunk(groups: DataFrame, wider: DataFrame, prior_rows: float = PRIOR_ROWS) -> DataFrame:
+    """Estimates (key, parent, rows, m, l) mixed with those of ``wider`` (key) that their ``parent`` names.
+
+    Centres and covariances are means with the weights n and ``prior_rows``; the distance of the two centres counts in the covariance.
+    A group without a wider one stays as it is.
+    """
+    d = len(X)
+    lower = [(i, j) for i in range(d) for j in range(i + 1)]
+    other = wider.select(F.col("key").alias("parent"), *[F.col(f"m{i}").alias(f"p{i}") for i in range(d)], *[F.col(f"l{i}{j}").alias(f"q{i}{j}") for i, j in lower])
+    both = groups.join(other, "parent", "left").withColumn("w", F.when(F.col("p0").isNull(), 1.0).otherwise(F.col("rows") / (F.col("rows") + prior_rows)))
+
+    def entry(name: str, i: int, j: int) -> Column:  # of L·Lᵀ
+        terms = [F.coalesce(F.col(f"{name}{i}{k}") * F.col(f"{name}{j}{k}"), F.lit(0.0)) for k in range(j + 1)]
+        return sum(terms[1:], terms[0])
+
+    w = F.col("w")
+    apart = [F.coalesce(F.col(f"m{i}") - F.col(f"p{i}"), F.lit(0.0)) for i in range(d)]
+    centre = [(F.col(f"m{i}") - (1 - w) * apart[i]).alias(f"m{i}") for i in range(d)]
+    mixed = [(w * entry("l", i, j) + (1 - w) * entry("q", i, j) + w * (1 - w) * apart[i] * apart[j]).alias(f"c{i}{j}") for i, j in lower]
+    out = _with_factor(both.select("key", "rows", *centre, *mixed), 1.0, floors=False)
+    return out.select("key", "rows", *[f"m{i}" for i in range(d)], *[f"l{i}{j}" for i, j in lower])
+
+
 def verdicts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The columns of ``keep``, the statistics, base_failed, distance and kept of every row of ``docs`` (text, lang, source).
 
     A row is kept if it doesn't fail the rule and its squared distance from its group's centre is within the chi-square
-    bound. Groups are language and source; one of under LEAST_ROWS rows takes the estimate of its language, and that of all
-    rows after it. Estimates rest on the rows that don't fail. Null language or source is a group of its own. A null or
-    empty text fails. Repeated rows count each. An empty table gives no rows.
+    bound. Groups are language and source. The estimate of a group is mixed with that of its language, and this one with that of all
+    rows, by their numbers of rows (see ``shrunk``): no size decides which is taken. Estimates rest on the rows that don't fail.
+    Null language or source is a group of its own. A null or empty text fails. Long texts are taken whole. Repeated rows count each.
+    Other columns, whatever their names, don't matter. An empty table gives no rows.
     """
     keep = ["doc_id"] if keep is None else keep
     own = F.concat_ws("\t", F.lit("s"), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit("")))
@@ -171,13 +196,12 @@ def verdicts(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     ids = [f"_k{i}" for i in range(len(keep))]
     table = stored(with_statistics(named, [*ids, "_own", "_wide"]).withColumn("base_failed", base_failed()).select("*", *transformed()), "statistics")
     groups = estimates(table.where("not base_failed"), F.array("_own", "_wide", F.lit(ALL)))
-    few = fits_broadcast(docs.sparkSession, groups.count(), 40)
-    groups = F.broadcast(groups) if few else groups
-    enough = groups.where(F.col("rows") >= LEAST_ROWS)
-    best = table.join(enough.select(F.col("key").alias("_own"), F.lit(True).alias("_has_own")), "_own", "left")
-    best = best.join(enough.select(F.col("key").alias("_wide"), F.lit(True).alias("_has_wide")), "_wide", "left")
-    key = F.when(F.col("_has_own"), F.col("_own")).when(F.col("_has_wide"), F.col("_wide")).otherwise(ALL)
-    measured = best.withColumn("key", key).join(groups, "key", "left").withColumn("distance", _distance(True))
+    languages = shrunk(groups.where("key like 'l\t%'").withColumn("parent", F.lit(ALL)), groups.where(F.col("key") == ALL))
+    parents = table.groupBy(F.col("_own").alias("key")).agg(F.first("_wide").alias("parent"))
+    best = stored(shrunk(groups.where("key like 's\t%'").join(parents, "key"), languages), "estimates").withColumnRenamed("key", "_own")
+    if fits_broadcast(docs.sparkSession, best.count(), 40):
+        best = F.broadcast(best)
+    measured = table.join(best, "_own", "left").withColumn("distance", _distance(True))
     kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi_square_at(INLIERS, len(X)), F.lit(True))
     numbers = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return measured.select(*[F.col(k).alias(c) for k, c in zip(ids, keep, strict=True)], *numbers, "base_failed", kept.alias("kept"), "distance")

@@ -459,6 +459,27 @@ def test_estimates_equal_dense_steps(spark):
     assert np.allclose(low @ low.T, cov, atol=0.1)
 
 
+def test_shrunk_estimates_equal_dense_ones(spark):
+    """Mixtures of a group's estimate and its wider group's, by rows; without a wider one the estimate stays."""
+    r = np.random.default_rng(22)
+    sets = {"s\ta\t1": r.normal(size=(40, 5)), "s\ta\t2": 2 + r.normal(size=(900, 5)), "l\ta": 1 + 2 * r.normal(size=(940, 5))}
+    rows = []
+    for key, x in sets.items():
+        low = np.linalg.cholesky(np.cov(x.T))
+        rows.append((key, "l\ta" if key[0] == "s" else "none", len(x), *map(float, x.mean(0)), *[float(low[i, j]) for i in range(5) for j in range(i + 1)]))
+    names = [f"m{i} double" for i in range(5)] + [f"l{i}{j} double" for i in range(5) for j in range(i + 1)]
+    df = spark.createDataFrame(rows, "key string, parent string, rows long, " + ", ".join(names))
+    got = {g["key"]: g for g in outliers.shrunk(df, df.where("key like 'l%'")).collect()}
+    wide = sets["l\ta"]
+    for key, x in sets.items():
+        w = 1.0 if key[0] == "l" else len(x) / (len(x) + outliers.PRIOR_ROWS)
+        apart = x.mean(0) - wide.mean(0)
+        assert np.allclose([got[key][f"m{i}"] for i in range(5)], w * x.mean(0) + (1 - w) * wide.mean(0))
+        cov = w * np.cov(x.T) + (1 - w) * np.cov(wide.T) + w * (1 - w) * np.outer(apart, apart)
+        low = np.array([[got[key][f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
+        assert np.allclose(low @ low.T, cov)
+
+
 @pytest.mark.parametrize("kind", ["lines", "symbols", "repeats"])
 def test_outliers_of_one_statistic(spark, kind):
     r = np.random.default_rng(14)
@@ -524,6 +545,37 @@ def test_neighbours_at_the_edges(spark):
     assert [(r["query_id"], r["vec_id"], r["rank"]) for r in few] == [(0, 200, 1)]
 
 
+def test_neighbours_of_clustered_vectors(spark):
+    """The share that is looked at follows the data: clusters need little of the index. Repeated rows are entries each."""
+    r = np.random.default_rng(21)
+    x = (r.normal(size=(60, 8)) * 20)[r.integers(0, 60, 6000)] + r.normal(size=(6000, 8))
+    rows = [(k, v) for k, v in enumerate(x.tolist())] + [(7, x[7].tolist()), (6001, x[0].tolist()), (6001, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    seen, keep = [], multiindex.needed_shares
+    multiindex.needed_shares = lambda *a: seen.append(keep(*a)) or seen[-1]
+    try:
+        found = {}
+        for row in multiindex.search(df, df.where("vec_id % 100 = 0")).orderBy("query_id", "rank").collect():
+            found.setdefault(row["query_id"], []).append((row["score"], row["vec_id"]))
+    finally:
+        multiindex.needed_shares = keep
+    assert np.quantile(seen[0], multiindex.RECALL) < 0.1 and len(found) == 60
+    table = [(i, np.array(v)) for i, v in rows]
+    hits = []
+    for q, own in found.items():
+        true = sorted((float(np.sqrt(((v - x[q]) ** 2).sum())), i) for i, v in table if i != q)[:10]
+        hits.append(len({i for _, i in own} & {i for _, i in true}) / len({i for _, i in true}))
+    assert np.mean(hits) >= 0.9 and [i for _, i in found[0]][:2] == [6001, 6001]
+
+
+def test_ragged_vectors_are_refused(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (1, [1.0, 2.0, 3.0, 4.0, 5.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="several lengths"):
+        multiindex.search(df, df)
+    with pytest.raises(ValueError, match="several lengths"):
+        multiindex.search(df.where("vec_id = 0"), df.where("vec_id = 1"))
+
+
 def test_traverse_in_order():
     r = np.random.default_rng(12)
     a, b, sizes = r.random(9), r.random(7), r.integers(0, 3, 63)
