@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, fresh_path
+from ..session import discard, fresh_path, settings
 
 Batches = Iterator[pa.RecordBatch]
 
@@ -36,11 +36,12 @@ def give_back() -> None:
 
 
 def slices(batches: Batches, rows: int = 1000) -> Batches:
-    """Batches of at most ``rows`` rows, so that what is made of them stays small; free memory goes back first."""
+    """Batches of at most ``rows`` rows, so that what is made of them stays small; free memory goes back before and after."""
     give_back()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    give_back()
 
 
 def groups(batches: Batches, column: str, rows: int = 1000, size: int = 4_000_000) -> Batches:
@@ -91,6 +92,20 @@ def stored_at(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(stage: Callable[[], DataFrame], spark: SparkSession, name: str, rows: int = 1000) -> DataFrame:
+    """What ``stage`` returns, written now; what it has stored on its way is deleted.
+
+    Texts go to Python workers ``rows`` at a time, so that neither they nor the JVM hold much of them; as the session's setting for that
+    counts when a plan is run, the result is written while it holds.
+    """
+    with helpers(spark) as written, settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=str(rows)):
+        out = stored(stage(), name)
+        path = written.pop()
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
+    return out
+
+
 def summed(df: DataFrame, size: int, part: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
     """The sum over all batches of a vector of ``size`` numbers, which comes from the model, not from the data.
 
