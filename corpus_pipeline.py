@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorloom.llm import packing, quality, repeats, simhash, toxicity
-from factorloom.llm.common import held_out, helpers, stored
+from factorloom.llm.common import held_out, helpers, settled, stored
 
 TOXIC_FROM = 0.3
 GOOD_FROM = 0.5
 #: Near-duplicates: fingerprints of shingles of three words that differ in two bits at most.
 SHINGLE, RADIUS = 3, 2
 END_ID = 1
-#: Less than packing alone remembers, as workers live on through the stages of the next run.
-KEPT_PARTS = 60_000
+#: The tokenizer remembers no parts from one group of texts to the next, as workers live on through the stages.
+KEPT_PARTS = 0
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,27 +29,39 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.3."""
-    scores = toxicity.classify(docs, _labels(spark, sf_dir), "toxic", ~held_out("doc_id", 4, 2), keep=docs.columns)
-    return scores.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+    def stage() -> DataFrame:
+        scores = toxicity.classify(docs, _labels(spark, sf_dir), "toxic", ~held_out("doc_id", 4, 2), keep=docs.columns)
+        return scores.where(F.col("score") < TOXIC_FROM).select(*docs.columns)
+
+    return settled(stage, spark, "mild")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score is 0.5 or more."""
-    scores = quality.classify(docs, _labels(spark, sf_dir), "quality", ~held_out("doc_id", 3, 1), keep=docs.columns)
-    return scores.where(F.col("score") >= GOOD_FROM).select(*docs.columns)
+
+    def stage() -> DataFrame:
+        scores = quality.classify(docs, _labels(spark, sf_dir), "quality", ~held_out("doc_id", 3, 1), keep=docs.columns)
+        return scores.where(F.col("score") >= GOOD_FROM).select(*docs.columns)
+
+    return settled(stage, spark, "good")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id."""
-    return simhash.one_of_each(docs, RADIUS, SHINGLE)
+    return settled(lambda: simhash.one_of_each(docs, RADIUS, SHINGLE), spark, "single")
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the words of passages that a document with a smaller id has; a text may end up empty."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = repeats.dedup(docs, keep=rest, with_text=True)
-    columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
-    return out.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+
+    def stage() -> DataFrame:
+        rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+        out = repeats.dedup(docs, keep=rest, with_text=True)
+        columns = {"text": F.col("kept"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)}
+        return out.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
+
+    return settled(stage, spark, "unrepeated")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
