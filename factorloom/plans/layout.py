@@ -85,9 +85,10 @@ class RowLayout:
         self.keys = ["tile", "row_id"] if self.tiled else ["row_id"]
         placed = self.place(cells.selectExpr("row_id", "col_id", "coalesce(value, 0D) AS value"))
         if mask is not None:
-            # Masked coordinates are placed alike, so taking them out moves no cell again.
-            hidden = self.place(mask.selectExpr("row_id", "cast(col_id AS int) AS col_id", "0D AS value")).drop("value")
-            placed = placed.join(hidden, [*self.keys, "col_id"], "left_anti")
+            # Masked coordinates are placed alike, so taking them out moves no cell again. (An anti-join would be pushed below the placing.)
+            hidden = self.place(mask.selectExpr("row_id", "cast(col_id AS int) AS col_id", "0D AS value"))
+            hidden = hidden.withColumn("_hidden", F.lit(True)).drop("value")
+            placed = placed.join(hidden, [*self.keys, "col_id"], "left").filter(F.col("_hidden").isNull()).select(*placed.columns)
         with settings(self.spark, spark__sql__requireAllClusterKeysForCoPartition="false"):
             self.cells = placed.sortWithinPartitions(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
         self._extra = extra
