@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from factorloom.llm import packing, quality, repeats, simhash, toxicity
 from factorloom.llm.common import held_out, helpers, settled, stored
+from factorloom.session import settings
 
 TOXIC_FROM = 0.3
 GOOD_FROM = 0.5
@@ -49,7 +50,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the least id."""
-    return settled(lambda: simhash.one_of_each(docs, RADIUS, SHINGLE), spark, "single")
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        return simhash.one_of_each(docs, RADIUS, SHINGLE)  # the rest of its plan runs no Python
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
