@@ -302,3 +302,17 @@ def test_a_failed_write_leaves_nothing(spark, tmp_path):
     (tmp_path / "there").mkdir()
     with pytest.raises(FileExistsError):
         write_matrix(cells, str(tmp_path / "there"), "lil", spark.range(3).withColumnRenamed("id", "row_id"))
+
+
+def test_compressed_text_is_read_back(spark, tmp_path):
+    """Zeros of dense text take next to no room, and no number is lost."""
+    path, n_cols = str(tmp_path / "dense"), 20_000
+    cells = [(i, (i * 7919) % n_cols, float(i + 1)) for i in range(0, 40, 2)] + [(2, 5, -0.25)]
+    table = spark.createDataFrame(cells, "row_id long, col_id int, value double")
+    write_matrix(table, path, "dense", row_spine(spark, 0, 40), n_cols, compression="gzip")
+    assert sum(f.stat().st_size for f in (tmp_path / "dense").iterdir()) < 40 * n_cols * len("0.0 ") / 50
+    got = in_text.parse_dense(in_text.read_lines(spark, path, skip_blank=False))
+    assert got.count() == 40 * n_cols
+    assert sorted(map(tuple, got.filter("value <> 0").collect())) == sorted(cells)
+    with pytest.raises(ValueError, match="compression"):
+        write_matrix(table, str(tmp_path / "other"), "lil", row_spine(spark, 0, 3), compression="lzo")
