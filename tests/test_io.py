@@ -316,3 +316,30 @@ def test_compressed_text_is_read_back(spark, tmp_path):
     assert sorted(map(tuple, got.filter("value <> 0").collect())) == sorted(cells)
     with pytest.raises(ValueError, match="compression"):
         write_matrix(table, str(tmp_path / "other"), "lil", row_spine(spark, 0, 3), compression="lzo")
+
+
+def test_centred_rows_are_made_where_they_are_used(spark):
+    """All columns of a row, gaps and stored cells, without an exchange of what is made; repeats stay."""
+    from factorloom.operators import missing
+    from factorloom.session import settings
+
+    n_cols = 11
+    cells = spark.createDataFrame(
+        [(1, 0, 2.0), (1, 3, 4.0), (1, 4, None), (1, 10, 1.0), (2, 5, 3.0), (2, 5, 7.0), (4, 1, 1.0), (1, 11, 9.0), (None, 2, 5.0), (2, None, 5.0)],
+        "row_id long, col_id int, value double",
+    )
+    rows = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "row_id long")
+    mean = spark.createDataFrame([(j, j / 4) for j in range(n_cols)], "col_id int, m double")
+    data = {(r, c): [v or 0.0 for a, b, v in cells.collect() if (a, b) == (r, c)] for r in (1, 2) for c in range(n_cols)}
+    expected = sorted((str(r), c, v - c / 4) for r in (1, 2, 3, 3, None) for c in range(n_cols) for v in data.get((r, c)) or [0.0])
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        found = missing.center_rows(cells, rows, mean, n_cols)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert sorted((str(r), c, v) for r, c, v in found.collect()) == expected
+    assert not [line for line in plan.splitlines() if "hashpartitioning" in line and "col_id" in line]
+    for block in (1, 4, 11, 100):
+        spans = missing.column_spans(cells, rows.limit(3), n_cols, block).collect()
+        assert all(s["_to"] - s["_from"] < block for s in spans)
+        made = sorted((s["row_id"], c) for s in spans for c in range(s["_from"], s["_to"] + 1))
+        assert made == sorted([(r, c) for r in (1, 2, 3) for c in range(n_cols)] + [(2, 5)])
+    assert missing.center_rows(cells, rows, mean.limit(0), 0).count() == 0
