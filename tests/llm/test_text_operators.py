@@ -388,6 +388,43 @@ def test_attention_gradients():
         assert math.isclose(np.asarray(g[k]).reshape(-1)[i], (up - down) / (2 * step), rel_tol=1e-3, abs_tol=1e-7), k
 
 
+def test_attention_reads_and_predicts_every_id():
+    """Ids that share a symbol differ as inputs and as targets, and all ids together have probability one."""
+    r = np.random.default_rng(8)
+    alphabet = attention.Alphabet(np.arange(900)[::-1])
+    p = attention.start_params(alphabet.shares, 5) | {k: v + 0.5 * r.normal(size=v.shape).astype(np.float32) for k, v in alphabet.start.items()}
+    a, b = np.flatnonzero(alphabet.symbol == alphabet.symbol[850])[:2]
+    one, other = (attention.score_ids(p, alphabet, np.array([3, first, 4, 5]), np.array([5])) for first in (a, b))
+    assert abs(one[2:] - other[2:]).min() > 1e-6
+    each = [attention.score_ids(p, alphabet, np.array([3, a, i]), np.array([4]))[2] for i in range(900)]
+    end = attention.score_ids(p, alphabet, np.array([3, a]), np.array([3]))[2]
+    held = np.bincount(alphabet.symbol, minlength=attention.SYMBOLS) > 0
+    held[attention.END] = True
+    assert held.all() and abs((10 ** np.array(each)).sum() + 10**end - 1) < 1e-4
+    # Against numbers: the loss of codes, by single entries of the new weights.
+    p = {k: v.astype(float) for k, v in p.items()}
+    x, y = (alphabet.code[r.integers(0, 900, (3, n))] for n in (attention.SPAN, attention.SCORED))
+    x[0, :5], y[1, 4:] = attention.PAD, attention.PAD
+    g = attention.gradients(p, x, y, alphabet)
+
+    def loss(name, where, by):
+        q = p | {name: p[name].copy()}
+        q[name][where] += by
+        return -attention.log_scores(q, x, y, alphabet=alphabet)[y != attention.PAD].mean() * np.log(10)
+
+    def slope(name, where, by=2e-2):
+        return (loss(name, where, by) - loss(name, where, -by)) / (2 * by)
+
+    codes, d = g["own"]
+    first, end, d1, d0 = g["pick"][0]
+    row = int(np.argmax(abs(d).sum(1)))
+    for j in range(3):
+        assert np.isclose(slope("own", (codes[row] - attention.FIRST_SHARED, j)), d[row, j], rtol=0.1, atol=2e-4)
+        assert np.isclose(slope("pick", (first + j % (end - first), j)), d1[j % (end - first), j], rtol=0.1, atol=2e-4)
+    assert np.isclose(slope("pick0", first), d0[0], rtol=0.1, atol=2e-4)
+    assert np.isclose(slope("embed", (alphabet.symbol_of[codes[row]], 0)), g["embed"][alphabet.symbol_of[codes[row]], 0], rtol=0.1, atol=2e-4)
+
+
 def test_attention_at_the_edges(spark, odd_docs, no_docs):
     assert attention.score_documents(no_docs, 7, 2, RANKS, public_tokenizers.PATTERN).count() == 0
     found = attention.score_documents(odd_docs, 7, 2, RANKS, public_tokenizers.PATTERN)
