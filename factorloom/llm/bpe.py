@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -129,57 +130,91 @@ class WordBpe:
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.index = PairIndex([(self.vocab[a], self.vocab[b], self.vocab[a + b]) for a, b in pairs], size)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
+        self.token = {i: t.encode() for t, i in self.vocab.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.digits = {i: b"%d" % i for i in self.token}
+        self.inner, self.last = self.char_ids(""), self.char_ids(self.suffix)
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         #: Pieces of a part in plain ASCII, after it is in lower case.
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
         self.kept = kept
-        self.known: dict[str, tuple[bytes, bytes]] = {}
-
-    def pieces_of(self, part: str) -> list[str]:
-        """Pieces of a part, in the characters that stand for bytes."""
-        if part.isascii() and part.isprintable():
-            return self.pieces.findall(part.lower())
-        return [p for p, _ in self.cut(self.normalize(part))]
-
-    def learn(self, parts: list[str]) -> dict[str, tuple[bytes, bytes]]:
-        """For each part its ids as decimal text and its tokens, each joined by spaces."""
-        rows: list[list[str | int]] = []
-        for x in parts:
-            if self.split_added is not None and "<" in x and self.split_added.search(x):
-                row: list[str | int] = []
-                for y in self.split_added.split(x):
-                    row += [self.added[y]] if y in self.added else self.pieces_of(y) if y else []
-                rows.append(row)
+        self.ids_of: dict[str, bytes] = {}
+        self.tokens_of: dict[str, bytes] = {}
+
+    def char_ids(self, suffix: str) -> np.ndarray:
+        """At each code point the id of the character with ``suffix``; -1 without one and at the end, for all later ones."""
+        found = {ord(t[0]): i for t, i in self.vocab.items() if len(t) == 1 + len(suffix) and t.endswith(suffix)}
+        out = np.full(max(found, default=0) + 2, -1, np.int64)
+        out[list(found)] = list(found.values())
+        return out
+
+    def pieces_of(self, parts: list[str]) -> list[list[str]]:
+        """Pieces of each part, in the characters that stand for bytes. A line end only parts them."""
+        out = [self.pieces.findall(x.lower()) if x.isascii() and x.replace("\n", " ").isprintable() else None for x in parts]
+        others = [n for n, own in enumerate(out) if own is None]
+        for k in range(0, len(others), 1000):
+            at = others[k : k + 1000]
+            texts = [parts[n] for n in at]
+            if any("\0" in x for x in texts):
+                found = [[p for p, _ in self.cut(self.normalize(x))] for x in texts]
             else:
-                rows.append(self.pieces_of(x))
-        pieces = list({p for row in rows for p in row if isinstance(p, str)})
-        table = dict(zip(pieces, self.encode_pieces(pieces), strict=True))
-        out = {}
-        for x, row in zip(parts, rows, strict=True):
-            found = [(str(p), self.token[p]) if isinstance(p, int) else table[p] for p in row]
-            out[x] = (" ".join([a for a, _ in found if a]).encode(), " ".join([b for a, b in found if a]).encode())
-        if len(self.known) < self.kept:
-            self.known.update([(k, v) for k, v in out.items() if len(k) <= LONGEST_KEPT])
+                found = self.cut_all(texts)
+            for n, own in zip(at, found, strict=True):
+                out[n] = own
         return out
 
-    def encode_pieces(self, pieces: list[str]) -> list[tuple[str, str]]:
+    def cut_all(self, parts: list[str]) -> list[list[str]]:
+        """Pieces of parts without zero characters, which stand between the parts while they are normalized; no piece holds a line end."""
+        text = self.normalize("\0".join(parts))
+        sizes = [len(x) + 1 for x in text.split("\0")]
+        found = self.cut(text.replace("\0", "\n"))
+        starts = np.fromiter((a for _, (a, _) in found), np.int64, len(found))
+        cuts = np.searchsorted(starts, np.cumsum(sizes)).tolist()
+        pieces = [p for p, _ in found]
+        return [pieces[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def learn(self, parts: list[str]) -> tuple[dict[str, bytes], dict[str, bytes]]:
+        """For each part its ids as decimal text, and its tokens, each joined by spaces."""
+        words = [x for x in parts if x.isascii() and x.isalpha()]
+        rest = [x for x in parts if not (x.isascii() and x.isalpha())]
+        special = [x for x in rest if "<" in x and self.split_added.search(x)] if self.split_added is not None else []
+        if special:
+            rest = list(set(rest).difference(special))
+        rows: list[list[str | int]] = self.pieces_of(rest)
+        for x in special:
+            row: list[str | int] = []
+            for y in self.split_added.split(x):
+                row += [self.added[y]] if y in self.added else self.pieces_of([y])[0] if y else []
+            rows.append(row)
+        lower = [x.lower() for x in words]
+        pieces = list({*lower, *(p for row in rows for p in row if p.__class__ is str)})
+        out = []
+        for own, single, kept in zip(self.encode_pieces(pieces), (self.digits, self.token), (self.ids_of, self.tokens_of), strict=True):
+            table = {**single, **dict(zip(pieces, own, strict=True))}
+            found = dict(zip(words, map(table.__getitem__, lower), strict=True))
+            found.update(zip([*rest, *special], [b" ".join([y for p in row if (y := table[p])]) for row in rows], strict=True))
+            if len(kept) < self.kept:
+                kept.update([(k, v) for k, v in found.items() if len(k) <= LONGEST_KEPT])
+            out.append(found)
+        return out[0], out[1]
+
+    def encode_pieces(self, pieces: list[str]) -> tuple[list[bytes], list[bytes]]:
         """Ids and tokens of each piece; a character without a token is left out, as the vocabulary has no token for it."""
-        vocab, suffix = self.vocab, self.suffix
-        first = [[vocab.get(c, -1) for c in p[:-1]] + [vocab.get(p[-1] + suffix, -1)] if p else [] for p in pieces]
-        sizes = np.fromiter(map(len, first), np.int64, len(first))
-        flat = np.fromiter((i for own in first for i in own), np.int64, int(sizes.sum()))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        chars = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+        ends = np.cumsum(sizes[sizes > 0]) - 1
+        flat = self.inner[np.minimum(chars, len(self.inner) - 1)]
+        flat[ends] = self.last[np.minimum(chars[ends], len(self.last) - 1)]
         if (flat < 0).any():
             word = np.repeat(np.arange(len(sizes)), sizes)
             sizes = np.bincount(word[flat >= 0], minlength=len(sizes))
             flat = flat[flat >= 0]
         ids, sizes = self.index.encode(flat, sizes)
-        text, token = [str(i) for i in ids.tolist()], [self.token[i] for i in ids.tolist()]
-        out, at = [], 0
-        for n in sizes.tolist():
-            out.append((" ".join(text[at : at + n]), " ".join(token[at : at + n])))
-            at += n
-        return out
+        stops = np.cumsum(sizes)
+        spans = list(zip((stops - sizes).tolist(), stops.tolist(), strict=True))
+        found = ids.tolist()
+        texts = (list(map(table.__getitem__, found)) for table in (self.digits, self.token))
+        joined = [[own[a] if b - a == 1 else b" ".join(own[a:b]) for a, b in spans] for own in texts]
+        return joined[0], joined[1]
 
     def texts(self, texts: list[str], group_chars: int = 8_000_000) -> list[tuple[int, bytes, bytes]]:
         """Number of tokens, ids as decimal text, and decoded text of each text."""
@@ -196,15 +231,16 @@ class WordBpe:
 
     def _group(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         split = [x.split(" ") for x in texts]
-        get = self.known.get
-        rows = [list(map(get, own)) for own in split]
-        new = self.learn(list({p for own, row in zip(split, rows, strict=True) if None in row for p, x in zip(own, row, strict=True) if x is None}))
+        parts = set(chain.from_iterable(split))
+        known = parts.intersection(self.ids_of)
+        tables = [{p: kept[p] for p in known} for kept in (self.ids_of, self.tokens_of)]
+        for table, new in zip(tables, self.learn(list(parts.difference(known))), strict=True):
+            table.update(new)
+        ids_of, tokens_of = (table.__getitem__ for table in tables)
         out = []
-        for own, row in zip(split, rows, strict=True):
-            if None in row:
-                row = [new[p] if x is None else x for p, x in zip(own, row, strict=True)]
-            ids = b" ".join([a for a, _ in row if a])
-            out.append((ids.count(b" ") + 1 if ids else 0, ids, b" ".join([b for a, b in row if a])))
+        for own in split:
+            ids = b" ".join(filter(None, map(ids_of, own)))
+            out.append((ids.count(b" ") + 1 if ids else 0, ids, b" ".join(filter(None, map(tokens_of, own)))))
         return out
 
 

@@ -180,6 +180,21 @@ def test_bpe_equals_the_library_on_hard_words():
         assert (n, ids.decode()) == (len(e.ids), " ".join(map(str, e.ids)))
 
 
+def test_bpe_cuts_many_words_in_one_call():
+    draw = np.random.default_rng(5)
+    signs = list("aAbéÉßΣσİ'sll.,<|>19²½\n\t\r\x1c\x85\u2028\u0301\u3099か日한ᄀ\u1161\u200b🙂")
+    texts = [" ".join("".join(draw.choice(signs, draw.integers(0, 9))) for _ in range(400)) for _ in range(20)]
+    zeros = ["é\x00\u0301 b\x00É", "\u0301 \u0301é \x00"]
+    tool, own = Tokenizer.from_file(WORD_BPE), bpe.WordBpe(WORD_BPE)
+    calls, cut = [], own.cut
+    own.cut = lambda x: calls.append(x) or cut(x)
+    for some in (texts, zeros):
+        for (n, ids, decoded), e in zip(own.texts(some), tool.encode_batch(some, add_special_tokens=False), strict=True):
+            assert (n, ids.decode(), decoded.decode()) == (len(e.ids), " ".join(map(str, e.ids)), tool.decode(e.ids, skip_special_tokens=False))
+        if some is texts:
+            assert len(calls) <= 8
+
+
 def test_packing_query(spark):
     found = QUERIES["op6_packing"](spark, SF).collect()
     tool = Tokenizer.from_file(BYTE_BPE)
