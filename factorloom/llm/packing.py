@@ -26,6 +26,8 @@ from .tokens import ID, KEPT_PARTS, encoder
 WINDOW = 2048
 #: Documents that are packed together, about, and windows that may be open before they are poured.
 GROUP_DOCS, MOST_OPEN = 100_000, 8192
+#: Text that is encoded at once; the parts and ids of its words take some thirty times as much.
+GROUP_BYTES = 1_000_000
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 Piece = tuple[int, int, int]  # document's number, start, length
 
@@ -104,7 +106,7 @@ def encoded_rows(narrow: DataFrame, kept: list[str], tokenizer: str, end_id: int
         first = TaskContext.get().partitionId() << 33
         encode = encoder(tokenizer, kept_parts).encode
         row = sequence = first
-        for batch in groups(batches, "_text", size=2_000_000):
+        for batch in groups(batches, "_text", size=GROUP_BYTES):
             at, starts, lengths, sums, totals, sequences = [], [], [], [], [], []
             for n, ids in enumerate(encode([x or "" for x in batch.column("_text").to_pylist()])):
                 ids += end
@@ -179,7 +181,7 @@ def piece_sums(narrow: DataFrame, pieces: DataFrame, tokenizer: str, end_id: int
 
     def run(batches: Batches) -> Batches:
         encode = encoder(tokenizer, kept_parts).encode
-        for batch in groups(batches, "_text"):
+        for batch in groups(batches, "_text", size=GROUP_BYTES):
             rows = []
             texts = encode([x or "" for x in batch.column("_text").to_pylist()])
             for h1, h2, cuts, ids in zip(*(batch.column(c).to_pylist() for c in ("_h1", "_h2", "_cuts")), texts, strict=True):
@@ -191,7 +193,8 @@ def piece_sums(narrow: DataFrame, pieces: DataFrame, tokenizer: str, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
     texts = narrow.join(wanted, ["_h1", "_h2"]).select("_h1", "_h2", "_cuts", "_text")
-    return stored(texts.mapInArrow(run, schema).distinct(), "sums")
+    with settings(narrow.sparkSession, spark__sql__execution__arrow__maxRecordsPerBatch="1000"):
+        return stored(texts.mapInArrow(run, schema).distinct(), "sums")
 
 
 def pack_documents(

@@ -58,12 +58,17 @@ class PartEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
-        self.model_only = Tokenizer.from_file(path)
-        for t in (self.tokenizer, self.model_only):
-            t.no_truncation()
-            t.no_padding()
-        self.model_only.pre_tokenizer = pre_tokenizers.Sequence([])
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         added = self.tokenizer.get_added_tokens_decoder()
+        self.model_only = Tokenizer(self.tokenizer.model)  # one model for both, which takes most of their memory
+        for _, x in sorted(added.items()):
+            (self.model_only.add_special_tokens if x.special else self.model_only.add_tokens)([x])
+        if self.tokenizer.normalizer is not None or self.model_only.get_added_tokens_decoder().keys() != added.keys():
+            self.model_only = Tokenizer.from_file(path)
+            self.model_only.no_truncation()
+            self.model_only.no_padding()
+        self.model_only.pre_tokenizer = pre_tokenizers.Sequence([])
         self.added = [x.content for x in added.values() if x.content.isascii() and x.content.isprintable()]
         if len(self.added) < len(added):
             self.added = []

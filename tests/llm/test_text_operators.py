@@ -51,6 +51,12 @@ def test_part_encoder_equals_the_library():
         assert PartEncoder(BYTE_BPE, kept).encode(texts * 2, group_chars=20) == expected
 
 
+def test_part_encoder_holds_one_model():
+    tool = PartEncoder(BYTE_BPE, 0)
+    tool.tokenizer.model.fuse_unk = not tool.model_only.model.fuse_unk
+    assert tool.tokenizer.model.fuse_unk == tool.model_only.model.fuse_unk
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 20), (None, 3)] + [(100 + k, 101 + k) for k in range(40)]
     found = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "root"))
