@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import numpy as np
 import pytest
 from matrices import SAMPLE, factor_array, to_array, to_cells
@@ -343,3 +347,23 @@ def test_centred_rows_are_made_where_they_are_used(spark):
         made = sorted((s["row_id"], c) for s in spans for c in range(s["_from"], s["_to"] + 1))
         assert made == sorted([(r, c) for r in (1, 2, 3) for c in range(n_cols)] + [(2, 5)])
     assert missing.center_rows(cells, rows, mean.limit(0), 0).count() == 0
+
+
+LONG_LINES = """
+import sys
+from pyspark.sql import SparkSession, functions as F
+from factorloom.sinks.text import dense_lines
+
+conf = {"spark.ui.enabled": "false", "spark.driver.memory": "900m", "spark.sql.shuffle.partitions": "1", "spark.sql.parquet.columnarReaderBatchSize": "2"}
+spark = SparkSession.builder.master("local[1]").config(map=conf).getOrCreate()
+cells = spark.createDataFrame([(i, 7 * i, 2.0) for i in range(120)], "row_id long, col_id int, value double")
+dense_lines(cells, spark.range(150).select(F.col("id").alias("row_id")), 1_200_000).write.parquet(sys.argv[1])
+found = spark.read.parquet(sys.argv[1]).select(F.sum(F.length("line")), F.sum(F.expr("instr(line, '2.0') > 0").cast("int"))).head()
+assert tuple(found) == (150 * 4_800_000, 120), found
+"""
+
+
+def test_long_lines_fit_a_task_that_writes_parquet(tmp_path):
+    root = str(Path(__file__).resolve().parent.parent)
+    run = subprocess.run([sys.executable, "-c", LONG_LINES, str(tmp_path / "lines")], cwd=root, capture_output=True, text=True, timeout=300)
+    assert run.returncode == 0, run.stderr[-2000:]
