@@ -7,7 +7,9 @@ of bounded size that lives as long as the Python worker. A text where a space fo
 
 from __future__ import annotations
 
+import gc
 import os
+from itertools import chain
 
 import numpy as np
 import regex
@@ -32,17 +34,6 @@ def encoder(path: str, kept: int = KEPT_PARTS, plain: bool = False) -> PartEncod
     return _ENCODERS[path, kept, plain]
 
 
-def _nones(row: list) -> list[int]:
-    """Where a list holds None."""
-    out, at = [], -1
-    try:
-        while True:
-            at = row.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
-
-
 class PartEncoder:
     """``encode`` gives what ``encode_batch(texts, add_special_tokens=False)`` gives, as little-endian uint32 bytes.
 
@@ -103,7 +94,7 @@ class PartEncoder:
 
     def of_parts(self, parts: set[str]) -> dict[str, bytes | None]:
         """Ids of each part behind a space; none for a part after which a space wouldn't start a piece."""
-        letters = [x for x in parts if x.isalpha()]
+        letters = list(filter(str.isalpha, parts))
         found: dict[str, bytes | None] = dict(zip(letters, self.of_pieces([" " + x for x in letters]), strict=True))
         ended, others, odd = [], [], []
         for x in parts.difference(letters):
@@ -150,33 +141,37 @@ class PartEncoder:
         out: list[bytes] = []
         group: list[str] = []
         size = 0
-        for text in texts:
-            group.append(text)
-            size += len(text)
-            if size >= group_chars:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
+        collects = gc.isenabled()
+        gc.disable()  # millions of strings in lists, without cycles
+        try:
+            for text in texts:
+                group.append(text)
+                size += len(text)
+                if size >= group_chars:
+                    out += self._group(group)
+                    group, size = [], 0
+            return out + self._group(group)
+        finally:
+            if collects:
+                gc.enable()
 
     def _group(self, texts: list[str]) -> list[bytes]:
         split = [x.split(" ") for x in texts]
-        firsts = self.first_parts([own[0] for own in split])
-        get = self.after_space.get
-        known = [list(map(get, own)) for own in split]
-        unknown = [_nones(row) for row in known]
-        found = self.learn({own[k] for own, at in zip(split, unknown, strict=True) for k in at if k})
+        firsts = [own.pop(0) for own in split]
+        parts = set(chain.from_iterable(split))
+        table: dict[str, bytes | None] = {p: self.after_space[p] for p in parts.intersection(self.after_space)}
+        new = self.learn(parts.difference(table))
+        table.update(new)
+        alone = {p for p, ids in new.items() if ids is None}  # parts without ids of their own
+        get = table.__getitem__
         out: list[bytes | None] = []
         odd = []
-        for n, (first, own, row, at) in enumerate(zip(firsts, split, known, unknown, strict=True)):
-            row[0] = first
-            for k in at:
-                if k:
-                    row[k] = found[own[k]]
-            if None in row or len(own) > 1 and own[0][-1:].isspace():  # a part without ids of its own
+        for n, (first, own, ids) in enumerate(zip(firsts, split, self.first_parts(firsts), strict=True)):
+            if own and first[-1:].isspace() or alone and not alone.isdisjoint(own):
                 out.append(None)
                 odd.append(n)
             else:
-                out.append(b"".join(row))
+                out.append(ids + b"".join(map(get, own)))
         for n, ids in zip(odd, self.whole([texts[n] for n in odd]), strict=True):
             out[n] = ids
         return out

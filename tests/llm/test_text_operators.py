@@ -1,5 +1,6 @@
 """Operators of the text subpackage against plain versions, at their edges and on the smallest tables."""
 
+import gc
 import hashlib
 import math
 import re
@@ -57,6 +58,20 @@ def test_part_encoder_holds_one_model():
     assert tool.tokenizer.model.fuse_unk == tool.model_only.model.fuse_unk
 
 
+def test_part_encoder_collects_no_garbage_on_its_way():
+    tool, seen = PartEncoder(BYTE_BPE), []
+    texts = [" ".join(f"w{n}x{k}" for n in range(200)) for k in range(300)]
+    gc.callbacks.append(lambda phase, info: seen.append(phase))
+    try:
+        tool.encode(texts)
+    finally:
+        gc.callbacks.pop()
+    assert not seen and gc.isenabled()
+    with pytest.raises(TypeError):
+        tool.encode(["a", 5])
+    assert gc.isenabled()
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 20), (None, 3)] + [(100 + k, 101 + k) for k in range(40)]
     found = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "root"))
