@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import gc
 import os
-from itertools import chain
+from bisect import bisect_right
+from itertools import accumulate, chain
+from struct import pack
 
 import numpy as np
 import regex
@@ -40,31 +42,23 @@ class PartEncoder:
     With ``plain`` the strings of special tokens are ordinary text.
 
     A new part is cut into the pieces of the byte-level pattern, and each new piece goes once through the library's BPE
-    model, many pieces in a call. A part with an added token, and a text that can't be cut, go through the whole tokenizer.
+    model. A part with an added token, and a text that can't be cut, go through the whole tokenizer; so do all texts if the
+    vocabulary has a normalizer or an added token that looks like words.
     """
 
     def __init__(self, path: str, kept: int = KEPT_PARTS, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        added = self.tokenizer.get_added_tokens_decoder()
         self.model_only = Tokenizer(self.tokenizer.model)  # one model for both, which takes most of their memory
-        for _, x in sorted(added.items()):
-            (self.model_only.add_special_tokens if x.special else self.model_only.add_tokens)([x])
-        if self.tokenizer.normalizer is not None or self.model_only.get_added_tokens_decoder().keys() != added.keys():
-            self.model_only = Tokenizer.from_file(path)
-            self.model_only.no_truncation()
-            self.model_only.no_padding()
-        self.model_only.pre_tokenizer = pre_tokenizers.Sequence([])
-        self.added = [x.content for x in added.values() if x.content.isascii() and x.content.isprintable()]
-        if len(self.added) < len(added):
-            self.added = []
-        self.all_added = [x.content for x in added.values()]
-        self.between = next(iter(added), -1)
+        self.all_added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Whether pieces may go to the model alone: no normalizer, and no added token that parts aren't searched for.
+        like_words = [x for x in self.all_added if x.split() != [x] or all(c.isalpha() or c in ENDS for c in x)]
+        self.direct = self.tokenizer.normalizer is None and not like_words
         self.pieces = regex.compile(PIECES)
         self.kept = kept
         self.after_space: dict[str, bytes] = {}
@@ -77,19 +71,11 @@ class PartEncoder:
     def of_pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece of the byte-level pattern, none of which holds an added token or a zero character."""
         out: list[bytes] = []
-        size = ID.itemsize
+        tokenize = self.model_only.model.tokenize
         for k in range(0, len(pieces), 1000):
             mapped = "\0".join(pieces[k : k + 1000]).encode().decode("latin-1").translate(BYTE_CHARS)
-            if self.added:  # stands between the pieces
-                text = mapped.replace(BYTE_CHARS[0], self.added[0])
-                ids = np.array(self.model_only.encode_batch_fast([text], add_special_tokens=False)[0].ids, ID)
-                ends = np.append(np.flatnonzero(ids == self.between), len(ids)) * size
-                starts = np.append(0, ends[:-1] + size).tolist()
-                flat = ids.tobytes()
-                out += [flat[a:b] for a, b in zip(starts, ends.tolist(), strict=True)]
-            else:
-                found = self.model_only.encode_batch_fast(mapped.split(BYTE_CHARS[0]), add_special_tokens=False)
-                out += [np.array(x.ids, ID).tobytes() for x in found]
+            found = map(tokenize, mapped.split(BYTE_CHARS[0]))
+            out += [pack(f"<{len(tokens)}I", *[x.id for x in tokens]) for tokens in found]
         return out
 
     def of_parts(self, parts: set[str]) -> dict[str, bytes | None]:
@@ -156,22 +142,24 @@ class PartEncoder:
                 gc.enable()
 
     def _group(self, texts: list[str]) -> list[bytes]:
+        if not self.direct:
+            return self.whole(texts)
         split = [x.split(" ") for x in texts]
-        firsts = [own.pop(0) for own in split]
-        parts = set(chain.from_iterable(split))
-        table: dict[str, bytes | None] = {p: self.after_space[p] for p in parts.intersection(self.after_space)}
-        new = self.learn(parts.difference(table))
-        table.update(new)
-        alone = {p for p, ids in new.items() if ids is None}  # parts without ids of their own
-        get = table.__getitem__
-        out: list[bytes | None] = []
-        odd = []
-        for n, (first, own, ids) in enumerate(zip(firsts, split, self.first_parts(firsts), strict=True)):
-            if own and first[-1:].isspace() or alone and not alone.isdisjoint(own):
-                out.append(None)
-                odd.append(n)
-            else:
-                out.append(ids + b"".join(map(get, own)))
-        for n, ids in zip(odd, self.whole([texts[n] for n in odd]), strict=True):
-            out[n] = ids
+        ends = list(accumulate(map(len, split)))
+        starts = [0, *ends][:-1]
+        parts = list(chain.from_iterable(split))
+        ids: list[bytes | None] = list(map(self.after_space.get, parts))
+        for at, first in zip(starts, self.first_parts([own[0] for own in split]), strict=True):
+            ids[at] = first
+        new = [at for at, x in enumerate(ids) if x is None]
+        found = self.learn({parts[at] for at in new})
+        odd = {n for n, own in enumerate(split) if len(own) > 1 and own[0][-1:].isspace()}
+        for at in new:
+            ids[at] = x = found[parts[at]]
+            if x is None:  # a part without ids of its own
+                ids[at] = b""
+                odd.add(bisect_right(ends, at))
+        out = [b"".join(ids[a:b]) for a, b in zip(starts, ends, strict=True)]
+        for n, x in zip(odd, self.whole([texts[n] for n in odd]), strict=True):
+            out[n] = x
         return out

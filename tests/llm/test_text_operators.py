@@ -72,6 +72,35 @@ def test_part_encoder_collects_no_garbage_on_its_way():
     assert gc.isenabled()
 
 
+def test_part_encoder_does_not_walk_through_the_parts_that_it_knows():
+    class Known(dict):
+        def __iter__(self):
+            raise AssertionError("all known parts are looked at for one group of texts")
+
+    tool, text = PartEncoder(BYTE_BPE), "one two one, three"
+    first = tool.encode([text])
+    tool.after_space = Known(tool.after_space)
+    assert tool.encode([text, text + " four"])[0] == first[0] and "four" in tool.after_space
+
+
+def test_part_encoder_gives_new_pieces_to_the_model_alone():
+    tool = PartEncoder(BYTE_BPE)
+    plain = Tokenizer.from_file(BYTE_BPE)
+    tool.model_only.add_tokens(["quux"])  # only the whole way through the tokenizer looks for it
+    assert tool.direct and tool.encode(["a quux"]) == [np.array(plain.encode("a quux").ids, "<u4").tobytes()]
+
+
+@pytest.mark.parametrize("added", ["foo", "o,", " b", "<o b>"])
+def test_part_encoder_with_added_tokens_that_look_like_words(tmp_path, added):
+    tool = Tokenizer.from_file(BYTE_BPE)
+    tool.add_tokens([added])
+    tool.save(str(tmp_path / "own.json"))
+    texts = ["a foo b", "foo, a", "go, foo", "x <o b> c", "a", ""]
+    own = PartEncoder(str(tmp_path / "own.json"))
+    assert own.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in tool.encode_batch(texts, add_special_tokens=False)]
+    assert not own.direct
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 20), (None, 3)] + [(100 + k, 101 + k) for k in range(40)]
     found = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "root"))
