@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import fresh_path
-from .common import Batches, slices, stored
+from .common import Batches, groups, slices, stored
 from .tokens import ID, encoder
 
 LONGEST_CODE = 16
 #: A block closes at so many ids, after a whole document; a checkpoint stands at every so many ids.
 BLOCK_IDS = 1 << 17
 CHECKPOINT_IDS = 64
+#: Text that is encoded at once, so that its words and ids stay near the processor.
+GROUP_BYTES = 500_000
 #: Rows of ``blocks``: number of ids, documents and their sizes, bits at checkpoints as differences, and the code bits.
 BLOCK = "part int, block int, n_ids long, doc_ids array<long>, sizes array<long>, steps binary, bits binary"
 
@@ -126,7 +128,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataF
 
     def run(batches: Batches) -> Batches:
         encode = encoder(tokenizer).encode
-        for batch in slices(batches):
+        for batch in groups(batches, "text", size=GROUP_BYTES):
             ids = [np.frombuffer(x + end, ID) for x in encode([t or "" for t in batch.column("text").to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([_narrow(x) for x in ids], pa.binary())], ["part", "doc_id", "ids"])
 
@@ -151,8 +153,10 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
     def run(batches: Batches) -> Batches:
         total = np.zeros(size, np.int64)
         for batch in slices(batches):
-            ids = [_wide(x) for x in batch.column("ids").to_pylist()]
-            total += np.bincount(np.concatenate(ids), minlength=size)
+            rows = batch.column("ids").to_pylist()
+            for width in {x[0] for x in rows}:
+                ids = np.frombuffer(b"".join([x[1:] for x in rows if x[0] == width]), f"<u{width}")
+                total += np.bincount(ids, minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
 

@@ -99,8 +99,10 @@ class PartEncoder:
         found.update([(x, (found.get(x[:-1]) or known[x[:-1]]) + marks[x[-1]]) for x in ended])
         found.update(zip(odd, self.whole([" " + x for x in odd]), strict=True))
         cut = [self.pieces.findall(" " + x) for x in others]
-        pieces = list({p for c in cut for p in c})
-        table = dict(zip(pieces, self.of_pieces(pieces), strict=True))
+        # A piece that begins with the space is a part by itself.
+        table = {p: found.get(p[1:]) or known.get(p[1:]) if p[0] == " " else None for p in {p for c in cut for p in c}}
+        pieces = [p for p, ids in table.items() if ids is None]
+        table.update(zip(pieces, self.of_pieces(pieces), strict=True))
         found.update([(x, b"".join([table[p] for p in c])) for x, c in zip(others, cut, strict=True)])
         return found
 

@@ -90,6 +90,16 @@ def test_part_encoder_gives_new_pieces_to_the_model_alone():
     assert tool.direct and tool.encode(["a quux"]) == [np.array(plain.encode("a quux").ids, "<u4").tobytes()]
 
 
+def test_part_encoder_takes_known_parts_for_pieces():
+    tool, seen = PartEncoder(BYTE_BPE), []
+    tool.encode(["a word"])
+    of_pieces = tool.of_pieces
+    tool.of_pieces = lambda pieces: seen.extend(pieces) or of_pieces(pieces)
+    plain = Tokenizer.from_file(BYTE_BPE)
+    assert tool.encode(["a word.\nnext"]) == [np.array(plain.encode("a word.\nnext").ids, "<u4").tobytes()]
+    assert "next" in seen and " word" not in seen
+
+
 @pytest.mark.parametrize("added", ["foo", "o,", " b", "<o b>"])
 def test_part_encoder_with_added_tokens_that_look_like_words(tmp_path, added):
     tool = Tokenizer.from_file(BYTE_BPE)
@@ -162,6 +172,13 @@ def test_huffman_query(spark):
         start += len(ids)
 
 
+def test_huffman_counts_ids_of_both_widths(spark):
+    rows = [np.array(x, "<u4") for x in ([3, 3, 5], [70_000, 3], [], [5])]
+    tokens = spark.createDataFrame([(bytearray(huffman._narrow(x)),) for x in rows], "ids binary")
+    counts = huffman.id_counts(tokens, 80_000)
+    assert {int(i): int(counts[i]) for i in np.flatnonzero(counts)} == {3: 3, 5: 2, 70_000: 1}
+
+
 def test_huffman_codes():
     r = np.random.default_rng(2)
     counts = np.zeros(3000, np.int64)
