@@ -18,8 +18,6 @@ LONGEST_CODE = 16
 #: A block closes at so many ids, after a whole document; a checkpoint stands at every so many ids.
 BLOCK_IDS = 1 << 17
 CHECKPOINT_IDS = 64
-#: Text that is encoded at once, so that its words and ids stay near the processor.
-GROUP_BYTES = 500_000
 #: Rows of ``blocks``: number of ids, documents and their sizes, bits at checkpoints as differences, and the code bits.
 BLOCK = "part int, block int, n_ids long, doc_ids array<long>, sizes array<long>, steps binary, bits binary"
 
@@ -123,17 +121,47 @@ class Coder:
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, parts: int) -> DataFrame:
-    """(part, doc_id, ids) in ascending order of doc_id over and within parts; ids are little-endian uint16 or uint32."""
-    end = np.array([end_id], ID).tobytes()
+    """(part, block, doc_ids, sizes, ids) in ascending order of doc_id over and within parts: blocks of whole documents.
+
+    A block closes at BLOCK_IDS ids; ``sizes`` has each document's, and ``ids`` all of them as little-endian uint16 or uint32.
+    """
 
     def run(batches: Batches) -> Batches:
-        encode = encoder(tokenizer).encode
-        for batch in groups(batches, "text", size=GROUP_BYTES):
-            ids = [np.frombuffer(x + end, ID) for x in encode([t or "" for t in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array([_narrow(x) for x in ids], pa.binary())], ["part", "doc_id", "ids"])
+        tool = encoder(tokenizer)
+        held: list[np.ndarray] = []
+        docs: list[int | None] = []
+        sizes: list[int] = []
+        part, block, n = None, 0, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal block, n
+            values = [[part], [block], [docs], [sizes], [_narrow(np.concatenate(held))]]
+            out = pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names)
+            for x in (held, docs, sizes):
+                x.clear()
+            block, n = block + 1, 0
+            return out
+
+        for batch in groups(batches, "text"):
+            flat, own = tool.encode_column(batch.column("text"))
+            flat, own = np.insert(flat, np.cumsum(own), end_id), own + 1
+            part = batch.column("part")[0].as_py()  # the same in all rows of a task
+            at = start = 0
+            for doc, size in zip(batch.column("doc_id").to_pylist(), own.tolist(), strict=True):
+                if n >= BLOCK_IDS:
+                    held.append(flat[start:at])
+                    start = at
+                    yield close()
+                docs.append(doc)
+                sizes.append(size)
+                n, at = n + size, at + size
+            held.append(flat[start:])
+        if docs:
+            yield close()
 
+    names, kinds = ["part", "block", "doc_ids", "sizes", "ids"], [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
     ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"))
-    return ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, doc_id long, ids binary")
+    return ordered.withColumn("part", F.spark_partition_id()).mapInArrow(run, "part int, block int, doc_ids array<long>, sizes array<long>, ids binary")
 
 
 def _narrow(ids: np.ndarray) -> bytes:
@@ -152,7 +180,7 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
 
     def run(batches: Batches) -> Batches:
         total = np.zeros(size, np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, 20):
             rows = batch.column("ids").to_pylist()
             for width in {x[0] for x in rows}:
                 ids = np.frombuffer(b"".join([x[1:] for x in rows if x[0] == width]), f"<u{width}")
@@ -167,10 +195,10 @@ def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 def write_ids(tokens: DataFrame, path: str, vocabulary: int) -> None:
-    """Write the ids of (part, doc_id, ids), which come in order within a part.
+    """Write the ids of (part, block, doc_ids, sizes, ids), a block of whole documents in each row.
 
     The folder has two Parquet tables. ``code``: the length of each id's code, which fixes the canonical code.
-    ``blocks``: one row per block, in order of (part, block), each with whole documents and checkpoints of bit offsets.
+    ``blocks``: one row per block, numbered by (part, block), each with whole documents and checkpoints of bit offsets.
     """
     lengths = code_lengths(id_counts(tokens, vocabulary))
     spark = tokens.sparkSession
@@ -178,35 +206,15 @@ def write_ids(tokens: DataFrame, path: str, vocabulary: int) -> None:
 
     def run(batches: Batches) -> Batches:
         coder = Coder(lengths)
-        held: list[np.ndarray] = []
-        docs: list[int | None] = []
-        part, block, n = None, 0, 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal block, n
-            bits, steps = coder.encode(np.concatenate(held))
-            values = [[part], [block], [n], [list(docs)], [[len(x) for x in held]], [steps], [bits]]
-            held.clear()
-            docs.clear()
-            block, n = block + 1, 0
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in BLOCK.split(", ")])
-
-        for batch in slices(batches):
-            for p, d, x in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "ids")), strict=True):
-                if held and (p != part or n >= BLOCK_IDS):
-                    yield close()
-                if p != part:
-                    part, block = p, 0
-                held.append(_wide(x))
-                docs.append(d)
-                n += len(held[-1])
-        if held:
-            yield close()
-
-    # One task per part, so that blocks are numbered in order.
-    rows = tokens.repartition(F.col("part")).sortWithinPartitions("part", F.asc_nulls_first("doc_id"))
-    rows.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
+        for batch in slices(batches, 1):
+            ids = _wide(batch.column("ids")[0].as_py())
+            bits, steps = coder.encode(ids)
+            columns = {c: batch.column(c) for c in ("part", "block", "doc_ids", "sizes")}
+            columns |= {"n_ids": pa.array([len(ids)], pa.int64()), "steps": pa.array([steps], pa.binary()), "bits": pa.array([bits], pa.binary())}
+            names = [c.split()[0] for c in BLOCK.split(", ")]
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    tokens.mapInArrow(run, BLOCK).write.parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

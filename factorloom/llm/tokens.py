@@ -14,6 +14,8 @@ from itertools import accumulate, chain
 from struct import pack
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 ID = np.dtype("<u4")
@@ -26,6 +28,8 @@ _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_CHARS = {b: chr(b) for b in _VISIBLE} | {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 #: Marks that are a piece of their own behind letters.
 ENDS = ",.;:!?|"
+#: Begins a part that stands behind a line end.
+LINE = "\0"
 _ENCODERS: dict[tuple, PartEncoder] = {}
 
 
@@ -63,6 +67,7 @@ class PartEncoder:
         self.kept = kept
         self.after_space: dict[str, bytes] = {}
         self.at_start: dict[str, bytes] = {}
+        self.after_line: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Through the whole tokenizer."""
@@ -143,6 +148,88 @@ class PartEncoder:
             if collects:
                 gc.enable()
 
+    def encode_column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """What ``encode`` gives for a column of texts (null: empty), as the ids of all texts one behind the other, and how many each has.
+
+        Parts are cut and numbered by Arrow, so that each distinct one is looked up once and its ids are copied by numpy.
+        """
+        texts = pc.fill_null(texts, "")
+        if not len(texts) or not self.direct:
+            return self._joined(self.whole(texts.to_pylist()))
+        zero = pc.match_substring(texts, LINE)
+        split = pc.split_pattern(self.marked(pc.if_else(zero, "", texts)), " ")
+        starts = split.offsets.to_numpy().astype(np.int64)
+        starts, parts = starts - starts[0], split.flatten()
+        first = starts[:-1]
+        coded = parts.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        inner = np.ones(len(at), bool)
+        inner[first] = False
+        behind = np.zeros(len(coded.dictionary), bool)  # stands behind a space somewhere
+        behind[at[inner]] = True
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            distinct = coded.dictionary.filter(pa.array(behind))
+            words = distinct.to_numpy(zero_copy_only=False).tolist()
+            ids: list[bytes | None] = list(map(self.after_space.get, words))
+            lines = np.flatnonzero(pc.starts_with(distinct, LINE).to_numpy(zero_copy_only=False)).tolist()
+            for n, x in zip(lines, self.line_parts([words[n] for n in lines]), strict=True):
+                ids[n] = x
+            new = [n for n, x in enumerate(ids) if x is None]
+            found = self.learn({words[n] for n in new}.difference([words[n] for n in lines]))
+            odd = np.zeros(len(words) + len(first), bool)  # no ids of its own
+            for n in new:
+                ids[n] = x = found.get(words[n])
+                if x is None:
+                    ids[n], odd[n] = b"", True
+            firsts = parts.take(pa.array(first)).to_numpy(zero_copy_only=False).tolist()
+            ids += self.first_parts(firsts)
+            odd[len(words) :] = [x[-1:].isspace() for x in firsts]
+            odd[len(words) :] &= np.diff(starts) > 1
+            at = (np.cumsum(behind) - 1)[at]
+            at[first] = len(words) + np.arange(len(first))
+            table, each = self._joined(ids)
+        finally:
+            if collects:
+                gc.enable()
+        took = each[at]
+        flat = table[np.repeat((np.cumsum(each) - each)[at] - (np.cumsum(took) - took), took) + np.arange(int(took.sum()))]
+        sizes = np.add.reduceat(took, first)
+        whole = np.union1d(np.searchsorted(starts, np.flatnonzero(odd[at]), "right") - 1, np.flatnonzero(zero.to_numpy(zero_copy_only=False)))
+        if len(whole):
+            own = np.split(flat, np.cumsum(sizes)[:-1])
+            for n, x in zip(whole.tolist(), self.whole(texts.take(pa.array(whole)).to_pylist()), strict=True):
+                own[n] = np.frombuffer(x, ID)
+            flat, sizes = np.concatenate(own), np.fromiter(map(len, own), np.int64, len(own))
+        return flat, sizes
+
+    def marked(self, texts: pa.Array) -> pa.Array:
+        """The texts, which have no zero character, with a space and LINE for each line end, so that words behind line ends are parts.
+
+        Not those where white space stands beside a line end, which then isn't a piece of its own, nor those with added tokens.
+        """
+        left = pc.match_substring_regex(texts, r"[\s\x0b]\n|\n[\s\x0b]")
+        for token in self.all_added:
+            left = pc.or_(left, pc.match_substring(texts, token))
+        return pc.if_else(left, texts, pc.replace_substring(texts, "\n", f" {LINE}"))
+
+    def line_parts(self, parts: list[str]) -> list[bytes | None]:
+        """Ids of distinct parts that begin with LINE, the line end's with them; none where a space behind wouldn't start a piece."""
+        known = self.after_line
+        new = [x for x in parts if x not in known and not x[-1].isspace()]
+        cut = [self.pieces.findall("\n" + x[1:]) for x in new]
+        pieces = list({p for c in cut for p in c})
+        table = dict(zip(pieces, self.of_pieces(pieces), strict=True))
+        found = {x: b"".join([table[p] for p in c]) for x, c in zip(new, cut, strict=True)}
+        if len(known) < self.kept // 10:
+            known.update([(k, v) for k, v in found.items() if len(k) <= LONGEST_PART])
+        return [known.get(x) or found.get(x) for x in parts]
+
+    @staticmethod
+    def _joined(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(b"".join(ids), ID), np.fromiter(map(len, ids), np.int64, len(ids)) // ID.itemsize
+
     def _group(self, texts: list[str]) -> list[bytes]:
         if not self.direct:
             return self.whole(texts)

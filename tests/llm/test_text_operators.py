@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -111,6 +112,27 @@ def test_part_encoder_with_added_tokens_that_look_like_words(tmp_path, added):
     assert not own.direct
 
 
+def test_part_encoder_takes_whole_columns():
+    tool, r = Tokenizer.from_file(BYTE_BPE), np.random.default_rng(3)
+    bits = ["a", "Word", "1", ",", "'s", "é", "<|endoftext|>", " ", " ", " ", "\n", "\n", "\t", "\r", "\0", "\u00a0", "\u2028"]
+    texts = ["", None, "\n", " \n", "a.\nb c", "a\n", "\na", "a\r\nb", "a\n\nb", *("".join(r.choice(bits, n)) for n in r.integers(1, 9, 600))]
+    expected = [tool.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for kept in (0, 900_000):
+        own = PartEncoder(BYTE_BPE, kept)
+        own.encode([t or "" for t in texts])  # shares what it keeps
+        for some in (slice(None), slice(3, 60), slice(4, 5), slice(0, 0)):
+            flat, sizes = own.encode_column(pa.array(["x", *texts], pa.string())[1:][some])
+            assert [x.tolist() for x in np.split(flat, np.cumsum(sizes))[:-1]] == expected[some]
+
+
+def test_part_encoder_looks_up_distinct_parts_and_lines_end_parts():
+    tool, seen = PartEncoder(BYTE_BPE), []
+    learn = tool.learn
+    tool.learn = lambda parts: seen.append(parts) or learn(parts)
+    tool.encode_column(pa.array(["one two.\nthree two", "four two.\nthree"]))
+    assert seen == [{"two.", "two"}]
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (10, 11), (11, 12), (12, 10), (20, 20), (None, 3)] + [(100 + k, 101 + k) for k in range(40)]
     found = dict(rows_of(components(spark.createDataFrame(edges, "a long, b long")), "node", "root"))
@@ -172,6 +194,16 @@ def test_huffman_query(spark):
         start += len(ids)
 
 
+def test_huffman_blocks_are_made_where_texts_are_encoded(spark, tmp_path):
+    docs = spark.createDataFrame([(k, "a b " * 25_000) for k in range(5, 0, -1)] + [(None, None)], "doc_id long, text string")
+    tokens = huffman.tokenized(docs, BYTE_BPE, 2, 1)
+    rows = tokens.collect()
+    assert [(r["part"], r["block"], r["doc_ids"]) for r in rows] == [(0, 0, [None, 1, 2, 3]), (0, 1, [4, 5])]
+    assert all(len(r["ids"]) == 1 + 2 * sum(r["sizes"]) for r in rows)
+    huffman.write_ids(tokens, str(tmp_path / "ids"), 1 << 16)
+    assert [(r["doc_ids"], r["n_ids"]) for r in spark.read.parquet(str(tmp_path / "ids/blocks")).orderBy("block").collect()] == [(r["doc_ids"], sum(r["sizes"])) for r in rows]
+
+
 def test_huffman_counts_ids_of_both_widths(spark):
     rows = [np.array(x, "<u4") for x in ([3, 3, 5], [70_000, 3], [], [5])]
     tokens = spark.createDataFrame([(bytearray(huffman._narrow(x)),) for x in rows], "ids binary")
