@@ -349,6 +349,29 @@ def test_centred_rows_are_made_where_they_are_used(spark):
     assert missing.center_rows(cells, rows, mean.limit(0), 0).count() == 0
 
 
+@pytest.mark.parametrize(("n_rows", "n_cols"), [(2100, 700), (90, 40_000)])
+def test_centred_rows_take_little_room(spark, tmp_path, n_rows, n_cols):
+    """Cells of a column stand together, so that files hold runs; full and partial blocks, repeated rows and cells."""
+    from factorloom.operators import missing
+
+    cells = spark.createDataFrame([(r, (r * 31) % n_cols, float(r % 50 + 1)) for r in range(0, n_rows, 3)] + [(3, 93, 5.0)], "row_id long, col_id int, value double")
+    rows = spark.range(n_rows).select(F.col("id").alias("row_id")).union(spark.createDataFrame([(3,), (None,)], "row_id long"))
+    mean = spark.createDataFrame([(j, j / 1024) for j in range(n_cols)], "col_id int, m double")
+    missing.center_rows(cells, rows, mean, n_cols, lambda value: value * 2).write.parquet(str(tmp_path / "rows"))
+    found = spark.read.parquet(str(tmp_path / "rows"))
+    assert sum(f.stat().st_size for f in (tmp_path / "rows").glob("*.parquet")) < 0.8 * found.count()
+    per_row = found.groupBy("row_id").agg(F.count("*"), F.countDistinct("col_id"), F.sum("value")).collect()
+    base = sum(j / 1024 for j in range(n_cols))
+    stored = {r["row_id"]: [] for r in per_row}
+    for r, _, v in cells.collect():
+        stored[r].append(v)
+    assert len(per_row) == n_rows + 1
+    for r, n, columns, total in per_row:
+        times, more = (2, 93 / 1024) if r == 3 else (1, 0)
+        assert (n, columns) == (times * (n_cols + max(0, len(stored[r]) - 1)), n_cols)
+        assert abs(total - 2 * times * (sum(stored[r]) - base - more)) < 1e-6
+
+
 LONG_LINES = """
 import sys
 from pyspark.sql import SparkSession, functions as F
