@@ -372,6 +372,30 @@ def test_centred_rows_take_little_room(spark, tmp_path, n_rows, n_cols):
         assert abs(total - 2 * times * (sum(stored[r]) - base - more)) < 1e-6
 
 
+def test_dense_lines_take_little_room(spark, tmp_path):
+    """Zeros of lines in Parquet take next to no room; a codec that the session has stays."""
+    from factorloom.sinks.text import dense_lines
+
+    n_rows, n_cols, codec = 30, 200_000, "spark.sql.parquet.compression.codec"
+    cells = [(i, (i * 7919 + j * 50) % n_cols, j - 2.5) for i in range(0, n_rows, 2) for j in range(5)] + [(2, 7, 0.0)]
+    for name in ("own", "snappy"):
+        session, path = spark.newSession(), str(tmp_path / name)
+        if name == "snappy":
+            session.conf.set(codec, name)
+        table = session.createDataFrame(cells, "row_id long, col_id int, value double")
+        dense_lines(table, row_spine(session, 0, n_rows), n_cols).write.parquet(path)
+        files = list((tmp_path / name).glob("*.parquet"))
+        assert {"own": "zstd", "snappy": "snappy"}[name] == session.conf.get(codec) and all(f".{session.conf.get(codec)}." in f.name for f in files)
+        if name == "own":
+            assert sum(f.stat().st_size for f in files) < n_rows * n_cols * len("0.0 ") / 200
+        for row, line in spark.read.parquet(path).collect():
+            expected = ["0.0"] * n_cols
+            for i, j, v in cells:
+                if i == row and v:
+                    expected[j] = str(v)
+            assert line == " ".join(expected) + " "
+
+
 LONG_LINES = """
 import sys
 from pyspark.sql import SparkSession, functions as F
