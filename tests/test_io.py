@@ -3,6 +3,7 @@ import sys
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from matrices import SAMPLE, factor_array, to_array, to_cells
 from pyspark.sql import functions as F
@@ -322,6 +323,35 @@ def test_compressed_text_is_read_back(spark, tmp_path):
         write_matrix(table, str(tmp_path / "other"), "lil", row_spine(spark, 0, 3), compression="lzo")
 
 
+def test_dense_numbers_are_those_of_a_cast(spark, monkeypatch):
+    """Found in bytes, many lines at once, as by splitting and casting each token."""
+    from factorloom.sources import dense
+
+    tokens = ["0", "0.0", "00", ".0", "0.", "-0.0", "+7", "1e5", "1e400", "-1E-400", "1.5d", "2F", "0x1.8p3", "-0x1p5000", "NaN", "nan", "+NaN", "-nan", "iNf", "-Infinity"]
+    tokens += ["\x1c3", "12345678901234567890.123", "4.9e-324", "0.1"]
+    bad = ["", ".", "x", "1_0", "1e", "e5", "0.0.0", "--1", "٣", "1,5", "0x12", "++Inf"]
+    texts = [*tokens, *bad, *[f"0.0 {t} 1" for t in tokens + bad], " ".join(tokens), None, "   ", "\t", "\t1 2", "1 2\t", " \t1", "  1\t\n 2  ", "5\x0b6\x0c7\r8", "0 0 0.0 ", "é 1"]
+    lines = spark.createDataFrame(list(enumerate(texts)), "line_no long, value string")
+    plain = in_text.parse_dense(lines, sep=r"[\t\n\x0B\f\r ]+")
+    as_text = lambda df: sorted(map(str, df.collect()))
+    assert as_text(in_text.parse_dense(lines)) == as_text(plain)
+    assert as_text(in_text.parse_dense(lines, zeros=False)) == as_text(plain.filter("value <> 0"))
+    monkeypatch.setattr(dense, "GROUP", 10)
+    pieces = pa.RecordBatch.from_pydict({"row_id": list(range(len(texts))), "value": texts}, pa.schema([("row_id", pa.int64()), ("value", pa.large_string())]))
+    found = [r for b in dense.dense_cells(iter([pieces.slice(1), pieces.slice(0, 1)]), True) for r in b.to_pylist()]
+    assert sorted(str(tuple(r.values())) for r in found) == sorted(str(tuple(r)) for r in plain.collect())
+
+
+def test_dense_files_are_written_and_read_by_many_tasks(spark, tmp_path):
+    """Dense text is far larger than its cells, so their bytes don't say how many tasks write it; and its zeros needn't become rows."""
+    path = str(tmp_path / "dense")
+    cells = spark.range(400).selectExpr("id % 40 AS row_id", "cast(id AS int) AS col_id", "id + 1D AS value")
+    write_matrix(cells, path, "dense", row_spine(spark, 0, 40), 400, compression="gzip")
+    assert len(list((tmp_path / "dense").iterdir())) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = in_text.read_lines(spark, path, skip_blank=False)
+    assert sorted(in_text.parse_dense(lines, zeros=False).collect()) == sorted(cells.collect())
+
+
 def test_centred_rows_are_made_where_they_are_used(spark):
     """All columns of a row, gaps and stored cells, without an exchange of what is made; repeats stay."""
     from factorloom.operators import missing
